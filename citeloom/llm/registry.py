@@ -23,8 +23,15 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citeloom.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_best_fit_packing": op1_best_fit_packing}
+    named = (op1_best_fit_packing, op2_mixing)
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
