@@ -27,61 +27,78 @@ from citeloom.session import Scratch
 
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 #: Pieces that share one rank window; larger length classes are split over several.
-RANK_GROUP = 4000
+RANK_GROUP = 500
+
+
+class Generations:
+    """A bounded cache: when the young generation is full it becomes the old one, and what is used again moves back."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, keys: set) -> set:
+        """Those of the keys that neither generation holds; the others are in ``young`` afterwards."""
+        new = keys.difference(self.young)
+        if len(self.young) + len(new) > self.most:
+            self.young, self.old = {}, self.young
+            new = keys
+        old = self.old
+        again = {k: old[k] for k in new if k in old}
+        self.young.update(again)
+        return new.difference(again)
 
 
 class WordTokenizer:
     """Token ids of whole texts as little-endian uint32 bytes, by word caches in front of the tokenizer.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its words in turn.
-    Words of plain letters are taken apart by the tokenizer's own pre-token pattern first: pre-tokens repeat far more
-    often than words with their punctuation. Both caches are emptied when full, so memory is bounded.
+    The tokenizer drops white space and never joins across it, so a text's ids are those of its words in turn; it ignores
+    case, so ASCII letters are lower-cased first. Words are taken apart by the tokenizer's own pre-token
+    pattern: pre-tokens repeat far more often than words with their punctuation.
     """
 
     #: Fixed value: the tokenizer file's pre-token pattern.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 400_000):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.most = most
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words, self.parts = Generations(most), Generations(most)
         self.find = regex.compile(self.PATTERN).findall
 
     def encode(self, text: str) -> bytes:
-        words = text.encode().split()
-        known = self.words
-        if new := {w for w in words if w not in known}:
-            if len(known) + len(new) > self.most:
-                known.clear()
-                new = set(words)
+        words = text.encode().lower().split()
+        if new := self.words.missing(set(words)):
             self._learn(new)
-        return b"".join(map(known.__getitem__, words))
+        return b"".join(map(self.words.young.__getitem__, words))
 
     def _learn(self, new: set[bytes]) -> None:
-        split: dict[bytes, list[str]] = {}
+        split: dict[bytes, list[bytes]] = {}
+        known = self.words.young
         for w in new:
+            core = w.rstrip(self.PUNCTUATION)
+            if core.isalpha():
+                split[w] = [core, w[len(core) :]] if len(core) < len(w) else [core]
+                continue
             text = w.decode()
             # below U+0250 composition changes nothing and lower-casing goes letter by letter
             if len(w) < 200 and (w.isascii() or max(text) < "ɐ"):
-                split[w] = self.find("".join(map(str.lower, text)))
+                split[w] = [p.encode() for p in self.find("".join(map(str.lower, text)))]
             else:
-                self.words[w] = self._raw(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if len(self.parts) > self.most:
-            self.parts.clear()
-        parts = self.parts
-        if missing := list({p for found in split.values() for p in found if p not in parts}):
-            coded = self.tokenizer.encode(missing, is_pretokenized=True, add_special_tokens=False)
+                known[w] = self._raw(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        missing = list(self.parts.missing({p for found in split.values() for p in found}))
+        parts = self.parts.young
+        if missing:
+            coded = self.tokenizer.encode([p.decode() for p in missing], is_pretokenized=True, add_special_tokens=False)
             raw, at = self._raw(coded.ids), 0
             for p, n in zip(missing, np.bincount(np.array(coded.word_ids), minlength=len(missing)).tolist()):
                 parts[p] = raw[at : at + 4 * n]
                 at += 4 * n
         for w, found in split.items():
-            self.words[w] = b"".join([parts[p] for p in found])
+            known[w] = b"".join([parts[p] for p in found])
 
     @staticmethod
     def _raw(ids: list[int]) -> bytes:
