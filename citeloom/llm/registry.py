@@ -42,6 +42,12 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citeloom.llm.rules import judge_with_statistics
+
+    return judge_with_statistics(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from citeloom.llm.toxicity import score_toxicity
 
@@ -49,9 +55,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_best_fit_packing, op2_mixing, op4_quality_classifier, op5_simhash_near_dedup, op7_toxicity)
+    named = (op1_best_fit_packing, op2_mixing, op4_quality_classifier, op5_simhash_near_dedup, op6_quality_rules, op7_toxicity)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from citeloom.llm.rules import RULES_SQL
+
+    return {"op6_quality_rules": RULES_SQL}
