@@ -54,8 +54,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citeloom.llm.licences import scan_licences
+
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_best_fit_packing, op2_mixing, op4_quality_classifier, op5_simhash_near_dedup, op6_quality_rules, op7_toxicity)
+    named = (op1_best_fit_packing, op2_mixing, op4_quality_classifier, op5_simhash_near_dedup, op6_quality_rules, op7_toxicity, op10_license_scan)
     return {f.__name__: f for f in named}
 
 
