@@ -61,12 +61,19 @@ class Scratch:
         self.base = f"{scratch_root(spark)}/citeloom/{label}-{os.getpid()}-{uuid.uuid4().hex[:12]}"
         self._n = 0
 
-    def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Write df and read it back."""
+    def keep(self, df: DataFrame, name: str = "t", partition_by: str | None = None) -> DataFrame:
+        """Write df, in folders by a column if one is named, and read it back."""
         self._n += 1
         path = f"{self.base}/{self._n:03d}-{name}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
+        return self._read(path, df)
+
+    def again(self, table: DataFrame) -> DataFrame:
+        """A second reading of a written table, for plans that join it with itself."""
+        return self._read(table._scratch_path, table)
+
+    def _read(self, path: str, like: DataFrame) -> DataFrame:
+        out = self.spark.read.schema(like.schema).parquet(path)
         out._scratch_path = path
         return out
 
