@@ -105,11 +105,21 @@ class WordTokenizer:
         return np.array(ids, dtype="<u4").tobytes()
 
 
+_CODERS: dict[str, WordTokenizer] = {}
+
+
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer per worker process, so that its caches outlive a task."""
+    if path not in _CODERS:
+        _CODERS[path] = WordTokenizer(path)
+    return _CODERS[path]
+
+
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int, end_id: int, with_ids: bool = False) -> DataFrame:
     """One row per piece of each document: place, length and checksum of its ids, and the ids if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordTokenizer(tokenizer_path)
+        coder = word_tokenizer(tokenizer_path)
         end, width = int(end_id).to_bytes(4, "little"), 4 * max_tokens
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]

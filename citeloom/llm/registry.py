@@ -29,6 +29,15 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citeloom.llm.labelled import held_out
+    from citeloom.llm.ppm import score_documents
+
+    out = held_out("doc_id", 7, 2)
+    scored = score_documents(table(spark, sf_dir, "documents"), train=~out)
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from citeloom.llm.quality import score_quality
 
@@ -61,7 +70,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_best_fit_packing, op2_mixing, op4_quality_classifier, op5_simhash_near_dedup, op6_quality_rules, op7_toxicity, op10_license_scan)
+    named = (op1_best_fit_packing, op2_mixing, op3_lm_scoring, op4_quality_classifier, op5_simhash_near_dedup, op6_quality_rules, op7_toxicity, op10_license_scan)
     return {f.__name__: f for f in named}
 
 
