@@ -63,6 +63,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citeloom.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from citeloom.llm.licences import scan_licences
 
@@ -70,11 +76,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_best_fit_packing, op2_mixing, op3_lm_scoring, op4_quality_classifier, op5_simhash_near_dedup, op6_quality_rules, op7_toxicity, op10_license_scan)
+    named = (op1_best_fit_packing, op2_mixing, op3_lm_scoring, op4_quality_classifier, op5_simhash_near_dedup, op6_quality_rules, op7_toxicity, op8_exact_top_k, op10_license_scan)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
     from citeloom.llm.rules import RULES_SQL
+    from citeloom.llm.topk import TOP_K_SQL
 
-    return {"op6_quality_rules": RULES_SQL}
+    return {"op6_quality_rules": RULES_SQL, "op8_exact_top_k": TOP_K_SQL}
