@@ -69,6 +69,12 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citeloom.llm.urls import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from citeloom.llm.licences import scan_licences
 
@@ -76,7 +82,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_best_fit_packing, op2_mixing, op3_lm_scoring, op4_quality_classifier, op5_simhash_near_dedup, op6_quality_rules, op7_toxicity, op8_exact_top_k, op10_license_scan)
+    named = (op1_best_fit_packing, op2_mixing, op3_lm_scoring, op4_quality_classifier, op5_simhash_near_dedup, op6_quality_rules, op7_toxicity, op8_exact_top_k, op9_url_filter, op10_license_scan)
     return {f.__name__: f for f in named}
 
 
