@@ -8,6 +8,7 @@ from functools import lru_cache, reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Character sets of the normalisation and of the script tests.
 FORMATTING = r"[\x{0640}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}]"
@@ -27,7 +28,7 @@ MODEL_CITATION = r"(?iU)\[\d+\]|\bE\d+\b"
 NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _compatibility(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 

@@ -2,10 +2,515 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from citeloom.functions import numbers as N
+from citeloom.functions import text as T
+from citeloom.operators import answers as A
+from citeloom.operators import chunking as C
+from citeloom.operators import gate as G
+from citeloom.operators import index as I
+from citeloom.operators import retrieval as R
+from citeloom.operators import structure as S
+from citeloom.plans import fixtures as X
+from citeloom.sources import documents as D
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- retrieval -----------------------------------------------------------------------------------------------------
+
+
+def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings as a vector table: the label stands for the document and its type."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("string")
+    return rows.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), label.alias("document_id"), F.concat(F.lit("t"), label).alias("document_type"), F.lit(None).cast("string").alias("source_file"))
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One question per label: its first vector and that vector's document text."""
+    first = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("query_vector"), F.min("vec_id").alias("_v"))
+    return first.select(F.col("label").alias("query_id"), "query_vector", F.concat(F.lit("Article "), F.col("_v").cast("string"), F.lit(" of the law")).alias("query"))
+
+
+def hits(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    found = R.dense_topk(questions(spark, sf_dir), collection(spark, sf_dir), **options)
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_d"), F.concat(F.lit("Article "), F.col("doc_id").cast("string"), F.lit(". "), F.col("text")).alias("text"))
+    return found.join(texts, found["chunk_id"] == F.col("_d"), "left").drop("_d").withColumn("text", F.coalesce("text", F.lit("")))
+
+
+SCORED = """
+q AS (SELECT label AS query_id, min(vec_id) AS v FROM embeddings GROUP BY label),
+qv AS (SELECT q.query_id, q.v, CAST(e.embedding AS DOUBLE[]) AS qvec FROM q JOIN embeddings e ON e.vec_id = q.v),
+scored AS (
+  SELECT query_id, 'Article ' || v || ' of the law' AS query, vec_id AS chunk_id, CAST(label AS VARCHAR) AS document_id,
+         list_inner_product(CAST(embedding AS DOUBLE[]), qvec)
+           / (sqrt(list_inner_product(qvec, qvec)) * sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS score
+  FROM embeddings CROSS JOIN qv
+),
+"""
+RANKED = SCORED + "ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS dense_rank_no FROM scored),\n"
+HITS = RANKED + "hits AS (SELECT r.*, coalesce('Article ' || d.doc_id || '. ' || d.text, '') AS text FROM ranked r LEFT JOIN documents d ON d.doc_id = r.chunk_id WHERE dense_rank_no <= 20),\n"
+CAPPED = HITS + "capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY score DESC, chunk_id) AS n FROM hits) WHERE n <= 4),\n"
+# a deterministic second score in whole numbers, so that both engines order alike
+RERANK_NUMBER = "(chunk_id * 7919 + query_id * 104729) % 1000"
+RERANKED = CAPPED + f"""reranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, dense_rank_no) AS rerank_no
+  FROM (SELECT *, {RERANK_NUMBER} / 1000.0 AS rerank_score FROM capped)) WHERE rerank_no <= 6),
+"""
+
+
+def second_score() -> F.Column:
+    return (F.col("chunk_id") * 7919 + F.col("query_id") * 104729) % 1000 / 1000.0
+
+
+def ranked_columns(df: DataFrame, *more: str) -> DataFrame:
+    return df.select("query_id", "chunk_id", "document_id", F.round("score", 6).alias("score"), F.col("dense_rank_no").cast("long").alias("dense_rank_no"), *more)
+
+
+RANKED_COLUMNS = "query_id, chunk_id, document_id, round(score, 6) AS score, dense_rank_no"
+
+
+@query(f"WITH {RANKED} x AS (SELECT 1) SELECT {RANKED_COLUMNS} FROM ranked WHERE dense_rank_no <= 20")
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_columns(R.dense_topk(questions(spark, sf_dir), collection(spark, sf_dir)))
+
+
+@query(f"WITH {RANKED} x AS (SELECT 1) SELECT {RANKED_COLUMNS} FROM ranked WHERE dense_rank_no <= 20 AND score >= 0.3")
+def dense_topk_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_columns(R.dense_topk(questions(spark, sf_dir), collection(spark, sf_dir), threshold=0.3))
+
+
+@query(
+    f"WITH {SCORED} ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS dense_rank_no FROM scored WHERE document_id = '3') SELECT {RANKED_COLUMNS} FROM ranked WHERE dense_rank_no <= 20"
+)
+def dense_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_columns(R.dense_topk(questions(spark, sf_dir), collection(spark, sf_dir), filters={"document_type": "t3", "source": ""}))
+
+
+@query(f"WITH {CAPPED} x AS (SELECT 1) SELECT {RANKED_COLUMNS} FROM capped")
+def diversify_cap4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_columns(R.diversify(R.dense_topk(questions(spark, sf_dir), collection(spark, sf_dir))))
+
+
+def reranked(found: DataFrame) -> DataFrame:
+    return R.rerank(R.diversify(found), second_score())
+
+
+@query(f"WITH {RERANKED} x AS (SELECT 1) SELECT {RANKED_COLUMNS}, rerank_score, rerank_no FROM reranked")
+def rerank_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = reranked(R.dense_topk(questions(spark, sf_dir), collection(spark, sf_dir)))
+    return ranked_columns(found.withColumn("rerank_no", F.col("rerank_no").cast("long")), "rerank_score", "rerank_no")
+
+
+EVIDENCE = RERANKED + """tops AS (SELECT * FROM hits WHERE dense_rank_no = 1),
+every AS (
+  SELECT query_id, query, chunk_id, document_id, score, dense_rank_no, text, rerank_no FROM reranked
+  UNION ALL SELECT t.query_id, t.query, t.chunk_id, t.document_id, t.score, t.dense_rank_no, t.text, NULL FROM tops t
+    WHERE NOT EXISTS (SELECT 1 FROM reranked r WHERE r.query_id = t.query_id AND r.chunk_id = t.chunk_id)
+),
+evidence AS (SELECT * FROM (
+  SELECT e.*, row_number() OVER (PARTITION BY e.query_id ORDER BY e.dense_rank_no <> 1, e.rerank_no) AS evidence_no
+  FROM every e JOIN tops t ON t.query_id = e.query_id WHERE t.score - e.score <= {drop}) WHERE evidence_no <= 3),
+"""
+
+
+@query(f"WITH {EVIDENCE.replace('{drop}', '0.6')} x AS (SELECT 1) SELECT {RANKED_COLUMNS}, evidence_no FROM evidence")
+def select_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = R.dense_topk(questions(spark, sf_dir), collection(spark, sf_dir))
+    kept = R.select_evidence(found, reranked(found), n=3, max_drop=0.6)
+    return ranked_columns(kept.withColumn("evidence_no", F.col("evidence_no").cast("long")), "evidence_no")
+
+
+IDS = r"list_distinct(regexp_extract_all(lower({x}), '(?:المادة|قانون|قرار|مرسوم|article|law|decree|decision)\s*(?:رقم|no\.?|number)?\s*[\[(]?[\s:.-]*([0-9٠-٩]+)', 1))"
+GATE = RERANKED + f"""signals AS (
+  SELECT query_id, any_value(query) AS query, max(score) AS top, max(CASE WHEN dense_rank_no = 2 THEN score END) AS second, count(DISTINCT document_id) AS source_count,
+         list_distinct(flatten(list({IDS.replace('{x}', 'text')}))) AS named
+  FROM hits GROUP BY query_id
+), best AS (SELECT query_id, max(rerank_score) AS rr FROM reranked GROUP BY query_id),
+judged AS (SELECT s.*, b.rr, list_has_any({IDS.replace('{x}', 's.query')}, s.named) AS match FROM signals s JOIN best b ON b.query_id = s.query_id),
+reasons AS (SELECT *, CASE WHEN top < 0.82 AND NOT (match AND top >= 0.75) THEN 'dense_score_below_experimental_threshold' WHEN rr < 0.97 THEN 'rerank_score_below_experimental_threshold'
+  WHEN top < 0.82 THEN 'exact_identifier_override' ELSE 'sufficient' END AS reason FROM judged)
+SELECT query_id, reason IN ('exact_identifier_override', 'sufficient') AS sufficient, reason, round(top, 6) AS top_dense_score, round(top - second, 6) AS dense_margin, rr AS top_rerank_score,
+  source_count, match AS identifier_match FROM reasons
+"""
+
+
+@query(f"WITH {GATE}")
+def evidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hits(spark, sf_dir).withColumn("section_title", F.lit(None).cast("string"))
+    judged = G.assess(questions(spark, sf_dir).select("query_id", "query"), found, reranked(found), G.GateConfig(minimum_rerank=0.97))
+    return judged.select("query_id", "sufficient", "reason", F.round("top_dense_score", 6).alias("top_dense_score"), F.round("dense_margin", 6).alias("dense_margin"), "top_rerank_score", "source_count", "identifier_match")
+
+
+@query("SELECT d.doc_id AS chunk_id, CASE WHEN l.doc_id IS NOT NULL THEN d.text ELSE 'kept ' || d.doc_id END AS text FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def chunk_text_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id").distinct()
+    stored = docs.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("original_text"), F.lit(None).cast("string").alias("normalized_text"), F.lit(1).alias("seq"))
+    marked = labels.withColumn("_l", F.lit(1)).withColumnRenamed("doc_id", "_i")
+    empty = docs.join(marked, docs["doc_id"] == F.col("_i"), "left")
+    asked = empty.select(F.col("doc_id").alias("chunk_id"), F.when(F.col("_l").isNull(), F.concat(F.lit("kept "), F.col("doc_id").cast("string"))).otherwise("").alias("text"))
+    return R.fallback_texts(asked, stored)
+
+
+@query(f"""WITH {EVIDENCE.replace('{drop}', '2.0')}
+s AS (SELECT query_id, chunk_id, evidence_no, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM evidence),
+b AS (SELECT *, 3000 - coalesce(sum(length(t)) OVER (PARTITION BY query_id ORDER BY evidence_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM s WHERE t <> '')
+SELECT query_id, chunk_id, 'E' || row_number() OVER (PARTITION BY query_id ORDER BY evidence_no) AS evidence_id, '[' || row_number() OVER (PARTITION BY query_id ORDER BY evidence_no) || ']' AS marker,
+  substr(t, 1, CAST(room AS BIGINT)) AS quoted_text FROM b WHERE room > 0""")
+def prompt_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hits(spark, sf_dir)
+    evidence = R.select_evidence(found, reranked(found), n=3, max_drop=2.0)
+    return A.bounded_evidence(evidence, 3000).select("query_id", "chunk_id", "evidence_id", "marker", "quoted_text")
+
+
+@query()
+def answer_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citeloom.plans.pipeline import answer
+
+    asked = questions(spark, sf_dir).withColumn("language", F.lit("mixed"))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_d"), F.col("text").alias("original_text"))
+    held = collection(spark, sf_dir)
+    held = held.join(texts, held["chunk_id"] == F.col("_d"), "left").drop("_d").withColumn("section_title", F.lit(None).cast("string"))
+    out = answer(asked, held)
+    return out.withColumn("citations", F.to_json("citations")).withColumn("excerpts", F.to_json("excerpts")).drop("query_vector")
+
+
+# --- identity, duplicates, upsert ------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, sha256(text) AS file_hash FROM documents")
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("file_hash"))
+
+
+@query("SELECT sha256(text) AS file_hash, min(doc_id) AS first_doc, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1")
+def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("file_hash"))
+    return docs.groupBy("file_hash").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+
+
+@query("""
+WITH i AS (SELECT doc_id, sha256(text) AS document_id, CASE WHEN n_chars % 5 = 0 THEN 'b' ELSE 'a' END AS configuration, source AS metadata FROM documents),
+m AS (SELECT sha256(text) AS document_id, any_value(CASE WHEN n_chars % 7 = 0 THEN 'b' ELSE 'a' END) AS configuration, min(source) AS metadata, bool_and(n_chars % 3 <> 0) AS complete FROM documents GROUP BY 1 HAVING min(n_chars) % 2 = 0)
+SELECT i.doc_id, CASE WHEN m.document_id IS NULL THEN 'new' WHEN i.configuration <> m.configuration THEN 'reprocess' WHEN i.metadata <> m.metadata THEN 'conflict' WHEN NOT m.complete THEN 'reprocess' ELSE 'duplicate' END AS status
+FROM i LEFT JOIN m ON m.document_id = i.document_id
+""")
+def idempotency_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source", F.sha2("text", 256).alias("document_id"), F.lit(None).cast("int").alias("page_limit"))
+    inputs = docs.select("doc_id", "document_id", "page_limit", F.when(F.col("n_chars") % 5 == 0, "b").otherwise("a").alias("configuration"), F.col("source").alias("metadata"))
+    manifest = docs.groupBy("document_id", "page_limit").agg(
+        F.any_value(F.when(F.col("n_chars") % 7 == 0, "b").otherwise("a")).alias("configuration"), F.min("source").alias("metadata"), F.bool_and(F.col("n_chars") % 3 != 0).alias("complete"), F.min("n_chars").alias("_n")
+    )
+    return D.idempotency(inputs, manifest.where("_n % 2 = 0")).select("doc_id", "status")
+
+
+@query("""
+WITH old AS (SELECT vec_id, label FROM embeddings WHERE label < 6), new AS (SELECT vec_id, -label AS label FROM embeddings WHERE label > 3)
+SELECT * FROM old WHERE vec_id NOT IN (SELECT vec_id FROM new) UNION ALL SELECT * FROM new
+""")
+def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    new = rows.where("label > 3")
+    # each new row comes twice; the later version is the one that stays
+    versions = new.withColumn("v", F.lit(1)).union(new.withColumn("label", -F.col("label")).withColumn("v", F.lit(2)))
+    return I.upsert(rows.where("label < 6").withColumn("v", F.lit(0)), versions, key="vec_id", order=F.col("v")).drop("v")
+
+
+@query(r"""
+WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('chunk:' || doc_id)) AS d FROM documents)
+SELECT doc_id, substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-5' || substr(d, 14, 3) || '-' ||
+  substr('89ab', CAST((instr('0123456789abcdef', substr(d, 17, 1)) - 1) % 4 + 1 AS INTEGER), 1) || substr(d, 18, 1) || substr(d, 19, 2) || '-' || substr(d, 21, 12) AS point_id FROM h
+""")
+def point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.uuid5(F.concat(F.lit(I.POINT_PREFIX), F.col("doc_id").cast("string"))).alias("point_id"))
+
+
+@query()
+def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", I.hash_embedding(F.col("text")).alias("v"))
+    return docs.select("doc_id", F.to_json("v").alias("vector"), F.round(R.dot(F.col("v"), F.col("v")), 5).alias("norm"))
+
+
+# --- text ------------------------------------------------------------------------------------------------------------
+
+ARABIC_RE = r"\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}"
+QUALITY_SQL = f"""
+seen AS (SELECT id, regexp_replace(text, '[\\s\\x0b\\x1c-\\x1f\\x85\\x{{00A0}}]', '', 'g') AS s FROM src),
+quality AS (SELECT id, length(s) AS character_count,
+  length(regexp_replace(s, '[^{ARABIC_RE}]', '', 'g')) / greatest(length(s), 1) AS arabic_ratio,
+  length(regexp_replace(s, '[^A-Za-zªºÀ-ÖØ-öø-ɏ]', '', 'g')) / greatest(length(s), 1) AS latin_ratio,
+  length(regexp_replace(s, '[^\\x{{FFFD}}]', '', 'g')) / greatest(length(s), 1) AS replacement_ratio FROM seen)
+"""
+SOURCE_SQL = f"src AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -id, text FROM {X.values(X.TEXTS, 'id, text')})"
+LANGUAGE_SQL = """CASE WHEN round_even(character_count * (arabic_ratio + latin_ratio), 0) < 3 OR arabic_ratio + latin_ratio = 0 THEN 'unknown'
+  WHEN arabic_ratio / (arabic_ratio + latin_ratio) >= 0.8 THEN 'ar' WHEN arabic_ratio / (arabic_ratio + latin_ratio) <= 0.2 THEN 'en' ELSE 'mixed' END"""
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fixed = X.frame(spark, X.TEXTS, "id long, text string").withColumn("id", -F.col("id"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").union(fixed)
+
+
+@query(f"WITH {SOURCE_SQL}, {QUALITY_SQL} SELECT id, character_count, round(arabic_ratio, 6) AS arabic_ratio, round(latin_ratio, 6) AS latin_ratio, round(replacement_ratio, 6) AS replacement_ratio FROM quality")
+def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = texts(spark, sf_dir).select("id", T.text_quality(F.col("text")).alias("q"))
+    ratios = [F.round(f"q.{n}", 6).alias(n) for n in ("arabic_ratio", "latin_ratio", "replacement_ratio")]
+    return q.select("id", F.col("q.character_count").cast("long").alias("character_count"), *ratios)
+
+
+@query(f"WITH {SOURCE_SQL}, {QUALITY_SQL} SELECT id, {LANGUAGE_SQL} AS language FROM quality")
+def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark, sf_dir).select("id", T.detect_language(T.text_quality(F.col("text"))).alias("language"))
+
+
+@query(f"WITH {SOURCE_SQL}, {QUALITY_SQL} SELECT id, character_count < 50 OR replacement_ratio > 0.01 OR arabic_ratio + latin_ratio < 0.2 AS needs_ocr FROM quality")
+def needs_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark, sf_dir).select("id", T.requires_ocr(T.text_quality(F.col("text")), "auto").alias("needs_ocr"))
+
+
+NORMALIZE_SQL = r"""
+array_to_string(list_filter(list_transform(string_split_regex(
+  translate(regexp_replace(regexp_replace(regexp_replace(text, '[\x{0640}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}]', '', 'g'),
+    '[\x{E000}-\x{F8FF}]+', ' ', 'g'), '[\x{0610}-\x{061A}\x{064B}-\x{065F}\x{0670}\x{06D6}-\x{06ED}]', '', 'g'), 'آأإٱىیک', 'ااااييك'),
+  '\r\n|[\n\r]'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10))
+"""
+
+
+@query(f"WITH {SOURCE_SQL} SELECT id, {NORMALIZE_SQL} AS normalized FROM src")
+def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark, sf_dir).select("id", T.normalize_text(F.col("text")).alias("normalized"))
+
+
+@query(f"WITH {SOURCE_SQL} SELECT id, array_to_string(list_transform(regexp_extract_all(text, '[٠-٩۰-۹]+|[^٠-٩۰-۹]+'), lambda x: CASE WHEN regexp_matches(x, '^[٠-٩۰-۹]') THEN reverse(x) ELSE x END), '') AS reversed FROM src")
+def reverse_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark, sf_dir).select("id", T.reverse_digit_runs(F.col("text")).alias("reversed"))
+
+
+def rtl_digit_storage(glyphs: DataFrame) -> DataFrame:
+    """page, rtl: more neighbouring Arabic digit pairs of a line run leftwards than rightwards."""
+    order = Window.partitionBy("page", "line").orderBy("pos")
+    both = F.col("c").rlike(f"^[{T.ARABIC_DIGITS}]$") & F.lead("c").over(order).rlike(f"^[{T.ARABIC_DIGITS}]$")
+    step = F.when(both, F.signum(F.lead("x").over(order) - F.col("x"))).otherwise(0)
+    return glyphs.withColumn("_s", step).groupBy("page").agg((F.coalesce(F.sum("_s"), F.lit(0)) < 0).alias("rtl"))
+
+
+@query(f"""
+WITH g AS (SELECT * FROM {X.values(X.GLYPHS, 'page, line, pos, c, x')}),
+n AS (SELECT *, lead(c) OVER w AS c2, lead(x) OVER w AS x2 FROM g WINDOW w AS (PARTITION BY page, line ORDER BY pos))
+SELECT page, coalesce(sum(CASE WHEN regexp_matches(c, '^[٠-٩۰-۹]$') AND regexp_matches(c2, '^[٠-٩۰-۹]$') THEN sign(x2 - x) ELSE 0 END), 0) < 0 AS rtl FROM n GROUP BY page
+""")
+def rtl_digit_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rtl_digit_storage(X.frame(spark, X.GLYPHS, "page int, line int, pos int, c string, x double"))
+
+
+IDENTIFIERS_SQL = f"list_sort(list_distinct(list_transform({IDS.replace('{x}', 'text')}, lambda x: translate(x, '٠١٢٣٤٥٦٧٨٩', '0123456789'))))"
+
+
+@query(f"WITH {SOURCE_SQL} SELECT id, array_to_string({IDENTIFIERS_SQL}, ',') AS identifiers FROM src")
+def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark, sf_dir).select("id", F.array_join(F.array_sort(T.identifiers(F.col("text"))), ",").alias("identifiers"))
+
+
+@query(r"SELECT id, answer_language, citation FROM (SELECT id, regexp_matches(text, '\[[0-9]+\]|\b[eE][0-9]+\b') AS citation, " + f"""
+  CASE WHEN n = 0 THEN false WHEN id % 2 = 0 THEN la / n >= 0.6 ELSE ar / n >= 0.6 END AS answer_language
+  FROM (SELECT id, text, length(l) AS n, length(regexp_replace(l, '[^{ARABIC_RE}]', '', 'g')) AS ar, length(regexp_replace(l, '[^A-Za-zÀ-ɏ]', '', 'g')) AS la
+    FROM (SELECT id, text, regexp_replace(text, '[^\\p{{L}}]', '', 'g') AS l FROM documents_and)))""".replace("documents_and", "(SELECT doc_id AS id, text FROM documents)"))
+def answer_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    language = F.when(F.col("id") % 2 == 0, "en").otherwise("ar")
+    return docs.select("id", T.answer_matches_language(F.col("text"), language).alias("answer_language"), T.holds_model_citation(F.col("text")).alias("citation"))
+
+
+# --- numbers ---------------------------------------------------------------------------------------------------------
+
+NUM = r"(?:[0-9]+(?:[.,][0-9]+)*|[٠-٩]+(?:[٫،.][٠-٩]+)*)"
+NORM_NUM = "trim(replace(translate(translate({v}, '٠١٢٣٤٥٦٧٨٩', '0123456789'), '٫،', '.,'), ',', ''), '.')"
+NUMBERS_SQL = "list_distinct(list_transform(regexp_extract_all({t}, '" + NUM + "'), lambda v: " + NORM_NUM.replace("{v}", "v") + "))"
+WORD_CASE = "CASE v " + " ".join(f"WHEN '{k}' THEN '{n}'" for k, n in N.NUMBER_WORDS.items()) + " END"
+MILLIONS_SQL = (
+    "list_distinct(list_concat(list_transform(regexp_extract_all({t}, '(?i)(" + NUM + r")\s*(?:" + N.MILLION + ")', 1), lambda v: " + NORM_NUM.replace("{v}", "v") + " || ' million'), "
+    "list_transform(regexp_extract_all({t}, '(" + "|".join(N.NUMBER_WORDS) + r")\s*(?:" + N.ARABIC_MILLION + ")', 1), lambda v: " + WORD_CASE + " || ' million')))"
+)
+THRESHOLD_SQL = "list_filter(" + MILLIONS_SQL + ", lambda m: " + " OR ".join(f"regexp_matches(lower({{t}}), replace('{p}', '{{n}}', replace(replace(m, ' million', ''), '.', '\\.')))" for p in N.THRESHOLDS) + ")"
+
+
+def sorted_list(sql: str, column: str = "text") -> str:
+    return f"array_to_string(list_sort({sql.replace('{t}', column)}), ',')"
+
+
+@query(f"WITH {SOURCE_SQL} SELECT id, {sorted_list(NUMBERS_SQL)} AS numbers FROM src")
+def extract_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark, sf_dir).select("id", F.array_join(F.array_sort(N.numbers(F.col("text"))), ",").alias("numbers"))
+
+
+@query(f"WITH {SOURCE_SQL} SELECT id, {sorted_list(MILLIONS_SQL)} AS millions, {sorted_list(THRESHOLD_SQL)} AS thresholds FROM src")
+def million_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = lambda c: F.array_join(F.array_sort(c), ",")
+    return texts(spark, sf_dir).select("id", joined(N.million_values(F.col("text"))).alias("millions"), joined(N.threshold_values(F.col("text"))).alias("thresholds"))
+
+
+def minus(a: str, b: str) -> str:
+    return f"list_filter({a}, lambda z: NOT list_contains({b}, z))"
+
+
+CLAIM_SQL = (
+    "list_distinct(list_concat(list_concat("
+    + minus(minus(NUMBERS_SQL.replace("{t}", "answer"), NUMBERS_SQL.replace("{t}", "question")), NUMBERS_SQL.replace("{t}", "evidence"))
+    + ", "
+    + minus(THRESHOLD_SQL.replace("{t}", "answer"), THRESHOLD_SQL.replace("{t}", "evidence"))
+    + "), "
+    + minus(minus(MILLIONS_SQL.replace("{t}", "answer"), MILLIONS_SQL.replace("{t}", "question")), MILLIONS_SQL.replace("{t}", "evidence"))
+    + "))"
+)
+
+
+@query(f"SELECT id, len(bad) = 0 AS ok, array_to_string(list_sort(bad), ',') AS unsupported FROM (SELECT id, {CLAIM_SQL} AS bad FROM {X.values(X.CLAIMS, 'id, question, answer, evidence')})")
+def numeric_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = X.frame(spark, X.CLAIMS, "id int, question string, answer string, evidence string")
+    held = rows.select("id", N.validate_numeric_claims(F.col("question"), F.col("answer"), F.col("evidence")).alias("v"))
+    return held.select("id", "v.ok", F.array_join("v.unsupported", ",").alias("unsupported"))
+
+
+# --- structure and chunks --------------------------------------------------------------------------------------------
+
+
+@query(r"""
+WITH p AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\n]*\n|[^\n]+$')) AS line, generate_subscripts(regexp_extract_all(text, '[^\n]*\n|[^\n]+$'), 1) AS line_no FROM documents)
+SELECT doc_id, line_no, CAST(sum(length(line)) OVER (PARTITION BY doc_id ORDER BY line_no) - length(line) AS INTEGER) AS start_char, CAST(sum(length(line)) OVER (PARTITION BY doc_id ORDER BY line_no) AS INTEGER) AS end_char FROM p
+""")
+def line_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = S.line_segments(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("start").alias("start_char"), F.col("end").alias("end_char"))
+
+
+@query(r"""
+WITH p AS (SELECT doc_id, n_chars, unnest(regexp_extract_all(text, '[^\n]*\n|[^\n]+$')) AS line, generate_subscripts(regexp_extract_all(text, '[^\n]*\n|[^\n]+$'), 1) AS line_no FROM documents),
+s AS (SELECT *, sum(length(line)) OVER w AS e, sum(length(line)) OVER w - length(line) AS b FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+t AS (SELECT doc_id, max(e) AS total FROM s GROUP BY doc_id)
+SELECT s.doc_id, min(line_no) AS locator_start, max(line_no) AS locator_end FROM s JOIN t ON t.doc_id = s.doc_id WHERE e > total // 4 AND b < total // 2 + 1 GROUP BY s.doc_id
+""")
+def locator_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Locators of the second quarter of each document, from its line segments on the row."""
+    docs = table(spark, sf_dir, "documents").where("text != ''").select("doc_id", "text")
+    pieces = F.regexp_extract_all("text", F.lit(r"([^\n]*\n|[^\n]+$)"), F.lit(1))
+    held = docs.withColumn("seg", D._segments(pieces, lambda p: F.lit("line"), lambda p: p)).withColumn("total", F.length("text"))
+    found = C.locator_range(F.col("seg"), F.floor(F.col("total") / 4), F.floor(F.col("total") / 2) + 1, F.lit(1), F.size("seg"))
+    return held.select("doc_id", found.alias("l")).select("doc_id", F.col("l.start").cast("long").alias("locator_start"), F.col("l.end").cast("long").alias("locator_end"))
+
+
+KINDS_SQL = r"""
+SELECT id, CASE WHEN t = '' THEN 'paragraph' WHEN regexp_matches(t, '^(الباب|الفصل|القسم|الكتاب|الجزء)( |$)') THEN 'heading' WHEN regexp_matches(t, '^(المادة|مادة)') THEN 'article'
+  WHEN regexp_matches(t, '(?i)^(part|chapter|section)\b') THEN 'heading' WHEN regexp_matches(t, '(?i)^article') THEN 'article'
+  WHEN regexp_matches(t, '^(?:\(?[0-9٠-٩]+\)?|[أ-يA-Za-z])\s*[-–—.):]\s+') THEN 'clause' ELSE 'paragraph' END AS kind,
+ CASE WHEN regexp_matches(t, '^(الباب|الكتاب|الجزء)( |$)') OR regexp_matches(t, '(?i)^part\b') THEN 'part' WHEN regexp_matches(t, '^الفصل( |$)') OR regexp_matches(t, '(?i)^chapter\b') THEN 'chapter'
+  WHEN regexp_matches(t, '^القسم( |$)') OR regexp_matches(t, '(?i)^section\b') THEN 'section' WHEN regexp_matches(t, '^(المادة|مادة)') OR regexp_matches(t, '(?i)^article') THEN 'article' END AS section_type,
+ CASE WHEN regexp_matches(t, '^(المادة|مادة)') THEN trim(regexp_extract(t, '^(?:المادة|مادة)\s*(?:\([^)]{1,30}\)|\S{1,30})?')) WHEN regexp_matches(t, '(?i)^article') THEN trim(regexp_extract(t, '(?i)^article\s*(?:\([^)]{1,30}\)|[0-9A-Za-z.-]{1,30})?'))
+  WHEN regexp_matches(t, '^(الباب|الفصل|القسم|الكتاب|الجزء)( |$)') OR regexp_matches(t, '(?i)^(part|chapter|section)\b') THEN substr(t, 1, 200) END AS title
+FROM (SELECT id, trim(translate(text, 'آأإٱىیک', 'ااااييك')) AS t FROM """ + X.values(X.LINES, "id, text") + ")"
+
+
+@query(KINDS_SQL)
+def classify_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.frame(spark, X.LINES, "id int, text string").select("id", S.classify(F.col("text")).alias("c")).select("id", "c.kind", "c.section_type", "c.title")
+
+
+def headed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as two records; the second line of the first opens a chapter, some second records open an article."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    one = F.concat(F.lit("Opening words.\nCHAPTER "), F.col("doc_id").cast("string"), F.lit("\n"), F.col("text"))
+    two = F.concat(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Article "), F.col("doc_id").cast("string"), F.lit("\n"))).otherwise(""), F.lit("1. First clause\n\n"), F.col("text"))
+    return docs.select("doc_id", F.lit(1).alias("record_no"), one.alias("text")).union(docs.select("doc_id", F.lit(2).alias("record_no"), two.alias("text")))
+
+
+SECTIONS_SQL = r"""
+WITH r AS (SELECT doc_id, 1 AS record_no, 'Opening words.' || chr(10) || 'CHAPTER ' || doc_id || chr(10) || text AS text FROM documents
+  UNION ALL SELECT doc_id, 2, CASE WHEN doc_id % 3 = 0 THEN 'Article ' || doc_id || chr(10) ELSE '' END || '1. First clause' || chr(10) || chr(10) || text FROM documents),
+p AS (SELECT doc_id, record_no, unnest(regexp_extract_all(text, '[^\n]*\n|[^\n]+$')) AS line, generate_subscripts(regexp_extract_all(text, '[^\n]*\n|[^\n]+$'), 1) AS line_no FROM r),
+c AS (SELECT *, trim(regexp_replace(line, '\s+', ' ', 'g')) AS t, sum(length(line)) OVER (PARTITION BY doc_id, record_no ORDER BY line_no) AS e FROM p),
+k AS (SELECT *, regexp_matches(t, '(?i)^(part|chapter|section)\b') AS h, regexp_matches(t, '(?i)^article') AS a,
+  regexp_matches(t, '^(?:\(?[0-9]+\)?|[A-Za-z])\s*[-–—.):]\s+') AS cl FROM c),
+s AS (SELECT *, sum(CASE WHEN h OR a THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, record_no ORDER BY line_no) AS section_no,
+  last_value(CASE WHEN h THEN lower(regexp_extract(t, '(?i)^(part|chapter|section)')) WHEN a THEN 'article' END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY record_no, line_no) AS st,
+  last_value(CASE WHEN h THEN substr(t, 1, 200) WHEN a THEN trim(regexp_extract(t, '(?i)^article\s*(?:\([^)]{1,30}\)|[0-9A-Za-z.-]{1,30})?')) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY record_no, line_no) AS ti FROM k)
+SELECT doc_id, record_no, CAST(section_no AS BIGINT) AS section_no, CAST(min(e - length(line)) AS INTEGER) AS start_char, CAST(max(e) AS INTEGER) AS end_char, coalesce(any_value(st), 'document') AS section_type, any_value(ti) AS section_title,
+  coalesce(string_agg(CASE WHEN t = '' THEN e WHEN cl THEN e - length(line) END, ',' ORDER BY line_no), '') AS breaks
+FROM s GROUP BY doc_id, record_no, section_no HAVING max(length(t)) > 0
+"""
+
+
+@query(SECTIONS_SQL)
+def detect_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = S.detect_sections(headed(spark, sf_dir))
+    return found.withColumn("breaks", F.array_join(F.transform("preferred_breaks", lambda b: b.cast("string")), ",")).drop("preferred_breaks")
+
+
+CHUNKS_SQL = r"""
+w AS (SELECT doc_id, source, regexp_extract_all(text, '\S+') AS words FROM documents),
+k AS (SELECT doc_id, source, words, len(words) AS n, CASE WHEN len(words) + 3 <= 480 THEN 0 ELSE CAST(ceil((len(words) - 477) / 337.0) AS INTEGER) END AS last FROM w WHERE len(words) > 0),
+c AS (SELECT doc_id, source, words, n, last, unnest(range(0, last + 1)) AS i FROM k),
+chunks AS (SELECT doc_id, source, CAST(i AS INTEGER) AS chunk_index, CAST(i * 337 AS INTEGER) AS first_word, CAST(CASE WHEN i = last THEN n - i * 337 ELSE 397 END AS INTEGER) AS n_words,
+  array_to_string(words[i * 337 + 1 : i * 337 + CASE WHEN i = last THEN n - i * 337 ELSE 397 END], ' ') AS chunk_text FROM c)
+"""
+
+
+def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.chunk_words(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT doc_id, chunk_index, first_word, n_words, n_words + 3 AS token_count, sha256(chunk_text) AS text_hash FROM chunks")
+def chunk_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunked(spark, sf_dir).select("doc_id", "chunk_index", "first_word", "n_words", "token_count", F.sha2("chunk_text", 256).alias("text_hash"))
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT doc_id, chunk_index, sha256('d' || doc_id || ':1:1.2.0:txt:line:1:1:' || first_word || ':' || (first_word + n_words) || ':document:') AS chunk_id FROM chunks")
+def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = F.lit(1)
+    ident = C.stable_chunk_id(F.concat(F.lit("d"), F.col("doc_id").cast("string")), one, F.lit("txt"), F.lit("line"), one, one, F.col("first_word"), F.col("first_word") + F.col("n_words"), F.lit("document"), F.lit(None))
+    return chunked(spark, sf_dir).select("doc_id", "chunk_index", ident.alias("chunk_id"))
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT source, count(DISTINCT doc_id) AS documents, count(*) AS chunks, CAST(sum(n_words) AS BIGINT) AS words, count_if(n_words + 3 > 400) AS over_target FROM chunks GROUP BY source")
+def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # counts per document come from the chunk rows themselves: every document's first chunk has index 0
+    rows = chunked(spark, sf_dir).groupBy("source")
+    return rows.agg(F.count_if(F.col("chunk_index") == 0).alias("documents"), F.count(F.lit(1)).alias("chunks"), F.sum("n_words").cast("long").alias("words"), F.count_if(F.col("token_count") > 400).alias("over_target"))
+
+
+# --- answers ---------------------------------------------------------------------------------------------------------
+
+ANSWER_EXPECTED = [(1, True, "E1"), (2, False, ""), (3, False, ""), (4, False, ""), (5, False, ""), (6, True, "E2"), (7, True, ""), (8, False, ""), (9, False, ""), (10, False, ""), (11, False, ""), (12, True, "E2")]
+
+
+@query(f"SELECT id, valid, ids FROM {X.values(ANSWER_EXPECTED, 'id, valid, ids')}")
+def structured_answer_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = X.frame(spark, X.ANSWERS, "id int, raw string, language string")
+    held = rows.select("id", A.acceptable(F.col("raw"), F.array(F.lit("E1"), F.lit("E2")), F.col("language")).alias("a"))
+    return held.select("id", F.col("a").isNotNull().alias("valid"), F.coalesce(F.array_join("a.evidence_ids", ","), F.lit("")).alias("ids"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
