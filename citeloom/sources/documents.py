@@ -32,7 +32,9 @@ OPTIONAL = ("section_title", "page_start", "page_end")
 
 
 def scan_files(spark: SparkSession, folder: str) -> DataFrame:
-    """The documents of a folder (not of those below it) as bytes: path, source_format, length, content, document_id."""
+    """The documents of a folder (not of those below it) as bytes: path, source_format, length, content, document_id.
+
+    Spark's file scan passes over files of no bytes."""
     files = spark.read.format("binaryFile").load(folder)
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     return files.withColumn("source_format", suffix).where(suffix.isin(*SUFFIXES)).withColumn("document_id", F.sha2("content", 256)).drop("modificationTime")
