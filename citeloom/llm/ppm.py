@@ -307,10 +307,11 @@ def _score_words(words: DataFrame, slices: DataFrame, classes: int) -> DataFrame
             for s in range(0, len(found), 400_000):
                 scored.append(trie.score(found[s : s + 400_000], [k[s : s + 400_000] for k in keys]))
             columns.append(np.bincount(word, np.concatenate(scored), len(some)))
-        flat = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(columns, axis=1).ravel()), classes).cast(pa.list_(pa.float64()))
+        # single precision: this column goes to every block of documents that holds the word
+        flat = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(columns, axis=1).ravel().astype(np.float32)), classes).cast(pa.list_(pa.float32()))
         return pa.table({"word": pa.array(some, pa.binary()), "count": pa.array(counts.sum(axis=1)), "log_p": flat})
 
-    return words.groupBy("block").cogroup(slices.groupBy("block")).applyInArrow(run, "word binary, count bigint, log_p array<double>")
+    return words.groupBy("block").cogroup(slices.groupBy("block")).applyInArrow(run, "word binary, count bigint, log_p array<float>")
 
 
 def _suffixes(context: np.ndarray, prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
@@ -331,11 +332,13 @@ def score_documents(
     trains = F.lit(True) if train is None else train
     cls, classes = F.lit(0), 1
     if class_col and class_col in docs.columns:
-        top = docs.where(trains & F.col(class_col).isNotNull()).groupBy(class_col).count().orderBy(F.desc("count"), class_col).limit(most_classes)
-        named = [r[0] for r in top.collect()]  # at most most_classes rows
-        classes = len(named) + 1
-        for i, value in enumerate(named, 1):
-            cls = F.when(F.col(class_col) == value, i).otherwise(cls)
+        top = docs.where(trains).groupBy(class_col).count().orderBy(F.col(class_col).isNull(), F.desc("count"), class_col).limit(most_classes + 1)
+        found = [r[0] for r in top.collect()]  # at most most_classes + 1 rows
+        named = [v for v in found if v is not None][:most_classes]
+        # the rest has a trie where training rows belong to it
+        classes = max(1, len(named) + (len(found) > len(named)))
+        for i, value in enumerate(named):
+            cls = F.when(F.col(class_col) == value, i).otherwise(F.lit(classes - 1) if i == 0 else cls)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), trains.alias("train"), cls.cast("int").alias("cls"))
     parts = scratch.keep(_bags(source, classes), "bags", partition_by="kind")
     bags = parts.where("kind = 0").select("block", "doc_id", "n_tokens", "bag")

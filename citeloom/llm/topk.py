@@ -10,7 +10,8 @@ possible members are rescored with integers, so the result is exact whatever the
 
 Defined results: vectors that are null or hold null or non-finite components take no part, as queries or as candidates; null ids take no
 part. Rows with the query's own id are not its candidates. Vectors of different lengths are compared as if the shorter one ended
-in zeros. Ties go to the smaller vec_id; repeated rows each count as a candidate. Products beyond 2^53 are summed as Python integers.
+in zeros. Ties go to the smaller vec_id; repeated rows each count as a candidate. Products beyond 2^53 are summed as Python integers; one that no long
+holds is an error.
 """
 
 from __future__ import annotations
