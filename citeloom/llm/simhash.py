@@ -209,7 +209,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     own = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))
     found = near_duplicates(docs.select(own.alias("doc_id"), F.col(text_col).alias("text")), width=width, distance=distance)
     kept = scratch.keep(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count(F.lit(1)).alias("_n")), "kept")
-    rows = docs.withColumn("_own_id", own).join(kept.select("_kept_id"), F.col("_own_id") == F.col("_kept_id"), "left_semi")
+    # by a shuffle at every size: what is kept grows with the documents
+    rows = docs.withColumn("_own_id", own).join(kept.select("_kept_id").hint("merge"), F.col("_own_id") == F.col("_kept_id"), "left_semi")
     if not kept.where("_n > 1").isEmpty():
         rows = rows.dropDuplicates(["_own_id"])
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
