@@ -76,7 +76,12 @@ def docx_error(content: bytes, limit: int) -> str | None:
 
 
 def docx_blocks(content: bytes) -> list[tuple[str, str]]:
-    """(text, kind) of body paragraphs and table rows in order; cells are joined by tabs."""
+    """(text, kind) of body paragraphs and table rows in order; cells are joined by tabs.
+
+    A file that fails its checks gives none: Spark may evaluate this before it filters such files out.
+    """
+    if docx_error(content, SIZE_LIMIT):
+        return []
     with zipfile.ZipFile(io.BytesIO(content)) as held:
         body = ElementTree.fromstring(held.read("word/document.xml")).find(f"{WORD}body")
 
@@ -148,7 +153,7 @@ def text_records(files: DataFrame, expected: str = "auto") -> DataFrame:
 
 def word_records(files: DataFrame, expected: str = "auto") -> DataFrame:
     """One source record per Word document: body paragraphs and table rows, each closed by a line end."""
-    held = files.where("source_format = 'docx'").select("document_id", F.col("path").alias("source_file"), "source_format", _docx_blocks("content").alias("_b"))
+    held = files.where("source_format = 'docx'").select("document_id", F.col("path").alias("source_file"), "source_format", _docx_blocks(F.when(F.col("source_format") == "docx", F.col("content"))).alias("_b"))
     line = lambda p: F.concat(p["text"], F.lit("\n"))
     held = held.withColumn("original_text", F.array_join(F.transform("_b", line), ""))
     return _record(held.withColumn("source_segments", _segments(F.col("_b"), lambda p: p["kind"], line)).drop("_b"), "docx", "block", expected)

@@ -202,3 +202,20 @@ def test_settings(tmp_path):
     assert retrieval.metadata_filter({"source": ""}) is not None
     with pytest.raises(ValueError):
         retrieval.metadata_filter({"colour": "x"})
+
+
+def test_console(spark, tmp_path, monkeypatch, capsys):
+    from citeloom import cli
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.txt").write_text("Article 7 Terms\nThe term of notice is two months for every lease.")
+    (folder / "b.txt").write_bytes(b"\xff\xfe")
+    monkeypatch.setenv("CITELOOM_INDEX_PATH", str(tmp_path / "index"))
+    monkeypatch.setenv("CITELOOM_GENERATOR_URL", "http://127.0.0.1:9")
+    assert cli.main(["ingest", str(folder), "--records", str(tmp_path / "records")]) == 1
+    assert "indexed" in capsys.readouterr().out
+    assert cli.main(["ask", "Article 7 Terms The term of notice is two months for every lease.", "--language", "en"]) == 0
+    said = capsys.readouterr().out
+    assert "[1]" in said and "Article 7" in said
+    assert cli.main(["health"]) == 1 and "version 1" in capsys.readouterr().out
