@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from citeloom.functions.text import all_of, first_filled
 
 CAP_PER_DOCUMENT = 4
 FILTER_KEYS = ("language", "document_type", "source", "document_id")
-#: Questions up to this many are broadcast against the collection; more go through the block index of another engine part.
+#: Questions up to this many are broadcast against the collection at once; more go in blocks of about this many.
 BROADCAST_QUESTIONS = 10_000
 
 
@@ -38,9 +39,17 @@ def dense_topk(questions: DataFrame, collection: DataFrame, *, k: int = 20, filt
     The filter reaches the scan; the questions, which are few against the collection, are counted and broadcast; each task keeps k rows
     per question before the shuffle by question.
     """
-    few = questions.limit(BROADCAST_QUESTIONS + 1).count() <= BROADCAST_QUESTIONS
+    blocks = -(-questions.count() // BROADCAST_QUESTIONS)
+    if blocks > 1:
+        block = F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks))
+        parts = [_topk_of_block(questions.where(block == b), collection, k, filters, threshold) for b in range(2 * blocks)]
+        return reduce(DataFrame.union, parts)
+    return _topk_of_block(questions, collection, k, filters, threshold)
+
+
+def _topk_of_block(questions: DataFrame, collection: DataFrame, k: int, filters: dict[str, str | None] | None, threshold: float | None) -> DataFrame:
     kept = collection.where(metadata_filter(filters)) if filters else collection
-    scored = kept.crossJoin(F.broadcast(questions)) if few else kept.join(questions)
+    scored = kept.crossJoin(F.broadcast(questions))
     scored = scored.withColumn("score", cosine(F.col("vector"), F.col("query_vector"))).drop("vector", "query_vector")
     if threshold is not None:
         scored = scored.where(F.col("score") >= threshold)

@@ -219,3 +219,11 @@ def test_console(spark, tmp_path, monkeypatch, capsys):
     said = capsys.readouterr().out
     assert "[1]" in said and "Article 7" in said
     assert cli.main(["health"]) == 1 and "version 1" in capsys.readouterr().out
+
+
+def test_questions_in_blocks(spark, monkeypatch):
+    rows = spark.range(30).select(F.col("id").alias("chunk_id"), F.array(F.sin("id"), F.cos("id"), F.lit(0.3)).alias("vector"))
+    asked = spark.range(9).select(F.col("id").alias("query_id"), F.array(F.cos("id"), F.sin("id"), F.lit(0.1)).alias("query_vector"))
+    whole = sorted(map(tuple, retrieval.dense_topk(asked, rows, k=3).collect()))
+    monkeypatch.setattr(retrieval, "BROADCAST_QUESTIONS", 4)
+    assert sorted(map(tuple, retrieval.dense_topk(asked, rows, k=3).collect())) == whole and len(whole) == 27
