@@ -45,7 +45,7 @@ from citeloom.session import Scratch
 ORDER = 5
 SPACE, END, ALPHABET = 32, 256, 257
 #: Bytes of text per block of documents, and words per block of vocabulary.
-BLOCK_BYTES, BLOCK_WORDS = 32 << 20, 100_000
+BLOCK_BYTES, BLOCK_WORDS = 32 << 20, 50_000
 _MIX = np.random.default_rng(11).integers(1, 1 << 63, ALPHABET, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
