@@ -6,7 +6,7 @@ and, behind it, what is trained on the windows that toxic documents hold far mor
 many bytes shorter the toxic dictionary compresses it; ordinary text gains nothing. A window is repeated within
 its block so that even one word is worth coding. Ordinary windows that do show a gap in training are added to the
 ordinary content (on both sides), which takes their gap away. The threshold on the gap and the probability for each count of
-windows above it are calibrated on the sample. A document's score is the probability for its count.
+windows above it are calibrated on the sample; listed toxic windows count more than once. A document's score is the probability for its count.
 
 Defined results: null and empty texts have no windows, hence the score of a count of nought; without toxic labels every
 score is that of a count of nought. Repeated rows score alike.
@@ -31,9 +31,9 @@ from citeloom.session import Scratch
 MOST_PER_CLASS = 6000
 #: Windows that each dictionary is trained on, at most, and the dictionaries' bytes.
 ORDINARY_WINDOWS, TOXIC_WINDOWS, ORDINARY_BYTES, TOXIC_BYTES = 6000, 1000, 16384, 4096
-#: Significance of a toxic window: at least so many standard deviations, and this share of the highest.
-SIGMA, SHARE = 5.0, 0.4
-REPEATS, TOP_COUNT = 6, 4
+#: Significance in standard deviations of a toxic window, at least, and of a sure one. No window is measured by another one.
+SIGMA, SURE = 5.0, 15.0
+REPEATS, TOP_COUNT = 6, 6
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -87,8 +87,8 @@ class Gap:
 class ToxicityModel:
     """What the scoring tasks need: two dictionaries, the threshold, and the probability by count. Its size is bounded."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, width: int, threshold: int = 1 << 30, probability: list[float] | None = None):
-        self.ordinary, self.toxic, self.width, self.threshold = ordinary, toxic, width, threshold
+    def __init__(self, ordinary: bytes, toxic: bytes, width: int, threshold: int = 1 << 30, probability: list[float] | None = None, listed: dict[bytes, int] | None = None):
+        self.ordinary, self.toxic, self.width, self.threshold, self.listed = ordinary, toxic, width, threshold, listed or {}
         self.probability = probability or [0.0] * (TOP_COUNT + 1)
 
 
@@ -98,10 +98,10 @@ class Counting:
     def __init__(self, model: ToxicityModel, most: int = 500_000):
         self.gap, self.model, self.most = Gap(model.ordinary, model.toxic), model, most
         self.seen: set[bytes] = set()
-        self.above: dict[bytes, int] = {}
+        self.above: dict[bytes, tuple[int, int]] = {}
 
-    def gaps(self, text: str | None) -> list[int]:
-        """The gap of each window that shows one of 1 byte at least."""
+    def gaps(self, text: str | None) -> list[tuple[int, int]]:
+        """The gap of each window that shows one of 1 byte at least, and how much it counts: once, a listed window by its significance."""
         if self.model.width > 1:
             units = windows(text, self.model.width)
         else:
@@ -113,14 +113,14 @@ class Counting:
         for unit in new:
             window = unit.strip(PUNCTUATION) if self.model.width == 1 else unit
             if window and (g := self.gap(window)) > 0:
-                self.above[unit] = g
+                self.above[unit] = g, self.model.listed.get(window, 1)
         self.seen |= new
         if self.above.keys().isdisjoint(distinct):
             return []
         return [self.above[u] for u in units if u in self.above]
 
     def count(self, text: str | None) -> int:
-        return min(TOP_COUNT, sum(g >= self.model.threshold for g in self.gaps(text)))
+        return min(TOP_COUNT, sum(k for g, k in self.gaps(text) if g >= self.model.threshold))
 
 
 def _document_frequencies(sample: DataFrame, width: int) -> DataFrame:
@@ -161,9 +161,10 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", width: in
     together = F.col("toxic") + F.col("ordinary")
     z = (F.col("toxic") - part * together) / F.sqrt(together * (part * (1 - part)))
     ranked = seen.where("toxic >= 3").select("window", "toxic", z.alias("z")).where(F.col("z") >= SIGMA)
-    toxic = [(bytes(r["window"]), r["toxic"], r["z"]) for r in ranked.orderBy(F.desc("z"), "window").limit(TOXIC_WINDOWS).collect()]
-    toxic = [(w, k) for w, k, s in toxic if s >= SHARE * toxic[0][2]]
-    chosen = {w for w, _ in toxic}
+    found = ranked.orderBy(F.desc("z"), "window").limit(TOXIC_WINDOWS).collect()
+    toxic = [(bytes(r["window"]), r["toxic"]) for r in found]
+    # a listed window counts twice as much as one that is only like it, a sure one four times
+    chosen = {bytes(r["window"]): 4 if r["z"] >= SURE else 2 for r in found}
     common = seen.where("ordinary > 0").orderBy(F.desc("ordinary"), "window").limit(ORDINARY_WINDOWS).collect()
     ordinary = train_dictionary([(bytes(r["window"]), r["ordinary"]) for r in common if bytes(r["window"]) not in chosen], ORDINARY_BYTES)
     content = train_dictionary(toxic, TOXIC_BYTES) if toxic else b""
@@ -172,11 +173,11 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", width: in
         if not alarms:
             break
         ordinary = b" " + b" ".join(alarms) + ordinary
-    model = ToxicityModel(ordinary, content, width)
+    model = ToxicityModel(ordinary, content, width, listed=chosen)
     return _calibrated(docs, sample, model, share, {0: n0, 1: n1})
 
 
-def _alarms(seen: DataFrame, model: ToxicityModel, chosen: set[bytes], most: int = 1000) -> list[bytes]:
+def _alarms(seen: DataFrame, model: ToxicityModel, chosen: dict[bytes, int], most: int = 1000) -> list[bytes]:
     """The windows of ordinary documents that show a gap, the most frequent first."""
     held = seen.sparkSession.sparkContext.broadcast(model)
 
@@ -203,7 +204,7 @@ def _calibrated(docs: DataFrame, sample: DataFrame, model: ToxicityModel, share:
                 for threshold in range(1, highest + 1):
                     y.append(label)
                     t.append(threshold)
-                    c.append(min(TOP_COUNT, sum(g >= threshold for g in gaps)))
+                    c.append(min(TOP_COUNT, sum(k for g, k in gaps if g >= threshold)))
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32()) for v in (y, t, c)], ["y", "t", "c"])
 
     counted = sample.select("text", F.col("y").cast("int")).mapInArrow(run, "y int, t int, c int").groupBy("y", "t", "c").count().collect()
@@ -220,7 +221,7 @@ def _calibrated(docs: DataFrame, sample: DataFrame, model: ToxicityModel, share:
         loss = -(mass[1] * np.log(q) + mass[0] * np.log(1 - q)).sum()
         if loss < best[0] - 1e-12:
             best = (loss, threshold, p.tolist())
-    return ToxicityModel(model.ordinary, model.toxic, model.width, best[1], best[2])
+    return ToxicityModel(model.ordinary, model.toxic, model.width, best[1], best[2], model.listed)
 
 
 def scorer(model):

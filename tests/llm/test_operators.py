@@ -214,6 +214,23 @@ def test_toxicity_finds_planted_words(spark, docs, empty):
     assert score_toxicity(empty, none).count() == 0 and score_toxicity(docs, none).count() == docs.count()
 
 
+def test_toxic_words_of_a_small_language_count(spark):
+    from citeloom.llm.toxicity import score_toxicity
+    from tests.llm.conftest import words
+
+    rng, rows = random.Random(3), []
+    mean = [f"gr{x}bvold" for x in ("a", "emi", "ilo", "osu", "uka", "yte")]
+    for i in range(800):
+        small, bad = i % 5 == 0, i % 8 < 1
+        planted = rng.sample(mean, 2) if small and bad else ["scoundrel"] if bad else []
+        rows.append((i, " ".join([words(i, 40), *planted, words(2000 + i, 40)]), int(bad), small))
+    made = spark.createDataFrame(rows, "doc_id long, text string, toxic int, small boolean")
+    found = {r.doc_id: r.predicted for r in score_toxicity(made.select("doc_id", "text"), made.select("doc_id", "toxic")).collect()}
+    caught = [found[i] for i, _, bad, small in rows if bad and small]
+    assert len(caught) == 20 and sum(caught) >= 18
+    assert sum(found[i] for i, _, bad, _ in rows if not bad) <= 5
+
+
 # --- near duplicates
 
 
