@@ -424,3 +424,23 @@ def test_licences_match_brute_force(spark, docs, empty):
     held = spark.createDataFrame([(1, "Words.\nReleased under the MIT License.\nMore."), (1, "Released under the MIT License."), (None, "Licensed under CC BY-NC 4.0.")], "doc_id long, text string")
     assert Counter((r.doc_id, r.licence) for r in scan_licences(held).collect()) == Counter({(1, "MIT"): 2, (None, "CC-BY-NC-4.0"): 1})
     assert scan_licences(empty).count() == 0 and scan_licences(docs).count() == 0
+
+
+def test_every_licence_wins_over_its_relatives():
+    from citeloom.llm.licences import TEMPLATES, Scanner
+
+    scanner = Scanner(TEMPLATES, 0.8)
+    for name, texts in TEMPLATES.items():
+        for text in texts:
+            words = ["start", "of", "it", *text.split(), "and", "more"]
+            if len(words) > 60:
+                words[40] = "changed"
+            found = scanner.matches(" ".join(words))
+            assert found and {m[0] for m in found} == {name}, (name, text[:80], found)
+    fsf = "This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {} License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+    headers = [
+        ("GPL-2.0", "program", ";", "General Public", ";", "2"), ("GPL-3.0", "program", ":", "General Public", ",", "3"), ("AGPL-3.0", "program", ":", "Affero General Public", ",", "3"),
+        ("LGPL-2.1", "library", ";", "Lesser General Public", ";", "2.1"), ("LGPL-3.0", "library", ":", "Lesser General Public", ",", "3"), ("LGPL-3.0", "program", ":", "Lesser General Public", ",", "3"),
+    ]
+    for name, *parts in headers:
+        assert [m[0] for m in scanner.matches(fsf.format(*parts))] == [name]
