@@ -1,30 +1,30 @@
 """Language-model scores by prediction by partial matching (PPM) over bytes.
 
 Text: its words (runs of bytes that are not ASCII white space, A-Z lower-cased), each coded byte by byte and closed by one space, then an end
-symbol. A symbol's contexts are all bytes since the space before its word, and the last ORDER, ORDER - 1, ..., 0 of these. The trie
-holds for each context how often each symbol followed it in the training documents. A symbol is sought from the longest context
-down; each step down costs the escape probability, and symbols that a longer context holds are excluded from the
+symbol: a second space. A symbol's contexts are the last ORDER, ORDER - 1, ..., 0 bytes of the text, across words; before a text
+stand spaces. The trie holds for each context how often each symbol followed it in the training documents. A symbol is sought from the
+longest context down; each step down costs the escape probability, and symbols that a longer context holds are excluded from the
 shorter one (they would have been coded there). Below the empty context all remaining symbols are alike. With counts n a
 symbol weighs 2n - 1 and the escape weighs the number of distinct symbols (method D).
 
 There is one trie for each frequent value of a class column (languages) and one for the rest; a text's probability is
 the mixture over classes, so it depends on the text alone. Inside a document the model adapts: a token's probability mixes the
-pretrained one, with weight ``strength``, and the document's tokens so far. Both keep it a probability over texts.
+pretrained one, given all that stands before it, with weight ``strength``, and the document's tokens so far. Both keep it a
+probability over texts.
 
-As contexts end at the word, a word's code length is the same wherever it stands. So the tries are counted from
-the vocabulary with its frequencies, each distinct word is scored once, and a document's score follows from its bag of words.
-Nothing is broadcast and nothing that grows with the corpus reaches the driver:
+A symbol and its longest context are a gram of ORDER + 1 bytes, and its code length depends on the gram alone. So the distinct grams
+of a block of documents are counted, scored once, and go back to the block. Most recent byte first, sorted grams stand by
+context at every order. The contexts of up to LOW bytes are broadcast: they are bounded by the bytes there are, not by the corpus.
+Nothing that grows with the corpus is broadcast or reaches the driver:
 
-1. one pass over the documents writes, per block of documents, a bag of local word numbers per document and the block's
-   distinct words with their training counts;
-2. counts are summed by word; a pass over the sorted vocabulary writes the tries' counts and which contexts each block of words
-   needs. Short contexts are summed over all blocks. A whole prefix lies inside one sorted block, save those of a block's
-   first and last word, which are summed like the short ones;
-3. each block of words meets the nodes of its contexts and is scored;
-4. the scored words go back to the document blocks that hold them, and bags become scores.
+1. one pass over the documents writes their words in order as local numbers, per block of documents the block's
+   distinct words with their training counts, and its distinct grams with theirs, dealt to buckets by their last LOW + 1 bytes of context;
+2. word counts are summed by word, for the base score; gram counts of the short contexts are summed;
+3. each group of buckets holds all nodes of its longer contexts, and scores the grams of all blocks;
+4. word counts and gram scores go back to the document blocks, which are read again in order.
 
 Defined results: null text counts as empty: one token, the end. Null ids belong to the training part. Null classes belong to the rest.
-Without any training document all counts are nought and every symbol is one of 257 alike. Repeated rows count, and are scored, as
+Without any training document all counts are nought and every symbol is one of 256 alike. Repeated rows count, and are scored, as
 often as they occur. Other columns are ignored.
 """
 
@@ -41,52 +41,72 @@ from pyspark.sql import functions as F
 
 from citeloom.session import Scratch
 
-#: Longest context in bytes; six symbols and the length fit one long.
-ORDER = 5
-SPACE, END, ALPHABET = 32, 256, 257
-#: Bytes of text per block of documents, and words per block of vocabulary.
-BLOCK_BYTES, BLOCK_WORDS = 32 << 20, 50_000
-_MIX = np.random.default_rng(11).integers(1, 1 << 63, ALPHABET, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Longest context in bytes, so that a gram fits one long with its class, and the longest that is broadcast.
+ORDER, LOW = 5, 2
+SPACE, ALPHABET = 32, 256
+#: Bytes of text per block of documents, words of vocabulary per group of buckets, buckets, and symbols taken at once.
+BLOCK_BYTES, BLOCK_WORDS, BUCKETS, CHUNK = 32 << 20, 50_000, 256, 1 << 18
+#: The class number of documents that are not trained on.
+OUT = 15
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def symbols(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The coded symbols of words in turn, the index of each symbol's word, and its place in the word.
 
-    The empty word stands for the end of a document.
+    The empty word stands for the end of a document; what follows is another document.
     """
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     sizes = lengths + 1
     out = np.frombuffer(b" ".join(words) + b" ", np.uint8).astype(np.int64)
     ends = np.cumsum(sizes) - 1
-    out[ends[lengths == 0]] = END
     word = np.repeat(np.arange(len(words)), sizes)
     place = np.arange(len(out)) - np.repeat(ends - lengths, sizes)
     return out, word, place
 
 
+def grams(found: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Each symbol with the ORDER bytes before it, the last one on top, the symbol lowest."""
+    starts = np.flatnonzero(np.concatenate(([True], (found[:-1] == SPACE) & (place[:-1] == 0))))
+    lengths = np.diff(starts, append=len(found))
+    out = found.copy()
+    for k in range(1, ORDER + 1):
+        shift = 8 * (ORDER + 1 - k)
+        out[k:] |= found[:-k] << shift
+        # what lies before the document
+        for j in range(k):
+            at = starts[lengths > j] + j
+            out[at] = (out[at] & ~(255 << shift)) | (SPACE << shift)
+    return out
+
+
+def levels(gram: np.ndarray) -> list[np.ndarray]:
+    """Per order, each gram's context as a number: the bytes themselves, with their number on top."""
+    context = gram >> 8
+    return [(context >> (8 * (ORDER - k))) | (k << 40) for k in range(ORDER + 1)]
+
+
 def context_keys(found: np.ndarray, word: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
-    """Per level, each symbol's context as a number, -1 where the level has none for it.
+    """Per order, each coded symbol's context."""
+    return levels(grams(found, place))
 
-    Levels 0 to ORDER: the last bytes themselves, with their number on top. The level above: all bytes since the space,
-    where these are more than ORDER, as a hash.
-    """
-    depth = place + 1
-    keys = [np.zeros(len(found), np.int64)]
-    before = np.concatenate(([SPACE], np.where(found[:-1] == END, SPACE, found[:-1])))
-    packed, shifted = np.zeros(len(found), np.int64), before
-    for k in range(1, ORDER + 1):
-        packed = packed + (shifted << (8 * (k - 1)))
-        keys.append(np.where(depth >= k, packed | (k << 48), -1))
-        shifted = np.concatenate(([SPACE], shifted[:-1]))
-    with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(int(place.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64))
-        each = _MIX[found] * power[place]
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(each, dtype=np.uint64)))
-        starts = np.arange(len(found)) - place
-        prefix = (total[:-1] - total[starts]) * np.uint64(0xD6E8FEB86659FD93)
-    prefix = (prefix ^ (prefix >> np.uint64(32))) & np.uint64((1 << 62) - 1)
-    keys.append(np.where(depth > ORDER, prefix.astype(np.int64) | (1 << 62), -1))
-    return keys
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and the sum of each one's numbers."""
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[start], np.add.reduceat(n, start)
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    return zlib.compress(np.diff(keys, prepend=0).tobytes(), 1)
+
+
+def _unpacked(held: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(held), np.int64))
 
 
 def edges(found: np.ndarray, keys: list[np.ndarray], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -153,63 +173,115 @@ class Trie:
         return logp
 
 
-def mixture(log_p: np.ndarray, tf: np.ndarray, prior: np.ndarray, strength: float) -> float:
-    """log10 of the mixture over classes of an adaptive document's probability; ``log_p`` has a row per class."""
-    n = int(tf.sum())
-    before = np.arange(n) - np.repeat(np.cumsum(tf) - tf, tf)
+def _shrunk(values: np.ndarray) -> bytes:
+    """Values of four bytes, compressed with like bytes side by side."""
+    return zlib.compress(np.ascontiguousarray(values.reshape(-1).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _grown(held: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(held), np.uint8).reshape(4, -1).T).view(kind).reshape(-1)
+
+
+def mixture(log_p: np.ndarray, tokens: np.ndarray, prior: np.ndarray, strength: float) -> float:
+    """log10 of the mixture over classes of an adaptive document's probability; ``log_p`` has a row per token, in order."""
+    n = len(tokens)
+    order = np.argsort(tokens, kind="stable")
+    held = tokens[order]
+    at = np.arange(n)
+    before = np.empty(n)
+    before[order] = at - np.maximum.accumulate(np.where(np.concatenate(([True], held[1:] != held[:-1])), at, 0))
+    each = log_p + np.log10(strength)
     again = before > 0
-    each = np.repeat(log_p, tf, axis=1)
-    each = np.where(again, np.log10(strength * 10.0 ** np.maximum(each, -300) + before, where=again, out=np.zeros(each.shape)), each + np.log10(strength))
-    whole = each.sum(axis=1) - np.log10(strength + np.arange(n)).sum() + prior
+    each[again] = np.log10(strength * 10.0 ** np.maximum(log_p[again], -300) + before[again, None])
+    whole = each.sum(axis=0) - np.log10(strength + at).sum() + prior
     top = whole.max()
     return float(top + np.log10((10.0 ** (whole - top)).sum()))
 
 
 def _bags(docs: DataFrame, classes: int) -> DataFrame:
-    """Step 1. kind 0: doc_id, block, n_tokens, bag. kind 1: block, number, word, counts by class."""
+    """Step 1. kind 0: doc_id, block, n_tokens, tokens. kind 1: block, number, word, training count; ends by class for the empty word. kind 2: block, bucket, grams, n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, block, size = TaskContext.get().partitionId() << 24, 0, 0
         number: dict[bytes, int] = {}
-        trained = [Counter() for _ in range(classes)]
+        trained: Counter = Counter()
+        ends = [0] * classes
+        waiting: list[bytes] = []
+        codes: list[int] = []
+        open_bytes = 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def fold() -> None:
+            """Counts the grams of the waiting words."""
+            nonlocal open_bytes
+            if waiting:
+                found, word, place = symbols(waiting)
+                gram = grams(found, place)
+                held.append(np.unique((gram << 4) | np.array(codes, np.int64)[word], return_counts=True))
+                if sum(len(k) for k, _ in held) > 8 * CHUNK:
+                    held[:] = [summed(*map(np.concatenate, zip(*held)))]
+            waiting.clear()
+            codes.clear()
+            open_bytes = 0
 
-        def vocabulary() -> Iterator[pa.RecordBatch]:
+        def out() -> Iterator[pa.RecordBatch]:
+            nonlocal block, size
+            fold()
             words = list(number)
             for at in range(0, len(words), 50_000):
                 some = words[at : at + 50_000]
-                counts = np.array([[c[w] for c in trained] for w in some], np.int64)
-                flat = pa.FixedSizeListArray.from_arrays(pa.array(counts.ravel()), classes).cast(pa.list_(pa.int64()))
-                yield _rows(len(some), kind=1, block=part + block, number=pa.array(range(at, at + len(some)), pa.int32()), word=pa.array(some, pa.binary()), counts=flat)
+                counts = pa.array([trained[w] for w in some], pa.int64())
+                last = pa.array([None if w else list(ends) for w in some], pa.list_(pa.int64()))
+                yield _rows(len(some), kind=1, block=part + block, number=pa.array(range(at, at + len(some)), pa.int32()), word=pa.array(some, pa.binary()), count=counts, ends=last)
+            if held:
+                keys, n = summed(*map(np.concatenate, zip(*held)))
+                bucket = (((keys >> (4 + 8 * (ORDER - LOW))).astype(np.uint64) * _MIX) >> np.uint64(56)).astype(np.int64) * BUCKETS >> 8
+                order = np.argsort(bucket, kind="stable")
+                keys, n, bucket = keys[order], n[order], bucket[order]
+                names, start = np.unique(bucket, return_index=True)
+                edge = [*start.tolist(), len(keys)]
+                blobs = [(_packed(keys[i:j]), zlib.compress(n[i:j].astype(np.int32).tobytes(), 1)) for i, j in zip(edge, edge[1:])]
+                yield _rows(len(names), kind=2, block=part + block, bucket=pa.array(names.astype(np.int32)), grams=pa.array([b[0] for b in blobs], pa.binary()), n=pa.array([b[1] for b in blobs], pa.binary()))
+            number.clear()
+            held.clear()
+            trained.clear()
+            ends[:] = [0] * classes
+            block, size = block + 1, 0
 
         for batch in batches:
-            ids, totals, bags, blocks = [], [], [], []
-            for doc, text, train, cls in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                words = (text or "").encode().lower().split()
+            ids, totals, orders, blocks = [], [], [], []
+            for doc, text, train, cls in zip(*(batch.column(i) for i in range(4))):
+                content = text.as_py() or ""
+                words = content.encode().lower().split()
                 words.append(b"")
-                bag = Counter(words)
-                if train:
-                    trained[cls].update(bag)
-                found = np.array(sorted((number.setdefault(w, len(number)), n) for w, n in bag.items()), np.int32)
-                found[1:, 0] = np.diff(found[:, 0])
-                ids.append(doc)
+                if train.as_py():
+                    trained.update(words)
+                    ends[cls.as_py()] += 1
+                waiting += words
+                codes += [cls.as_py() if train.as_py() else OUT] * len(words)
+                orders.append(_shrunk(np.array([number.setdefault(w, len(number)) for w in words], np.int32)))
+                ids.append(doc.as_py())
                 totals.append(len(words))
-                bags.append(zlib.compress(np.ascontiguousarray(found.T).tobytes(), 1))
                 blocks.append(part + block)
-                size += len(text or "")
+                size += len(content)
+                open_bytes += len(content)
+                if open_bytes > CHUNK:
+                    fold()
                 if size > BLOCK_BYTES:
-                    yield from vocabulary()
-                    number.clear()
-                    for c in trained:
-                        c.clear()
-                    block, size = block + 1, 0
-            yield _rows(len(ids), kind=0, block=pa.array(blocks, pa.int64()), doc_id=pa.array(ids, pa.int64()), n_tokens=pa.array(totals, pa.int64()), bag=pa.array(bags, pa.binary()))
-        yield from vocabulary()
-
-    types = {"kind": pa.int32(), "block": pa.int64(), "doc_id": pa.int64(), "n_tokens": pa.int64(), "bag": pa.binary(), "number": pa.int32(), "word": pa.binary(), "counts": pa.list_(pa.int64())}
+                    yield from out()
+            yield _rows(
+                len(ids), kind=0, block=pa.array(blocks, pa.int64()), doc_id=pa.array(ids, pa.int64()), n_tokens=pa.array(totals, pa.int64()), tokens=pa.array(orders, pa.binary())
+            )
+        yield from out()
+
+    types = {
+        "kind": pa.int32(), "block": pa.int64(), "doc_id": pa.int64(), "n_tokens": pa.int64(), "tokens": pa.binary(), "number": pa.int32(), "word": pa.binary(), "count": pa.int64(), "ends": pa.list_(pa.int64()),
+        "bucket": pa.int32(), "grams": pa.binary(), "n": pa.binary(),
+    }
     _rows = _row_maker(types)
-    return docs.mapInArrow(run, "kind int, block bigint, doc_id bigint, n_tokens bigint, bag binary, number int, word binary, counts array<bigint>")
+    return docs.mapInArrow(run, "kind int, block bigint, doc_id bigint, n_tokens bigint, tokens binary, number int, word binary, count bigint, ends array<bigint>, bucket int, grams binary, n binary")
 
 
 def _row_maker(types: dict[str, pa.DataType]):
@@ -230,94 +302,84 @@ def _row_maker(types: dict[str, pa.DataType]):
     return make
 
 
-def _boundary(word: np.ndarray, prefix: np.ndarray) -> np.ndarray:
-    """Which symbols have a prefix that the block's first or last word has too."""
-    edge = np.unique(prefix[(word == 0) | (word == word[-1])])
-    return (prefix >= 0) & np.isin(prefix, edge)
+def _short_contexts(counted: DataFrame) -> list[tuple[np.ndarray, ...]]:
+    """Step 2. Per class the trie's entries of up to LOW bytes of context: at most 2^24 grams of three bytes, in texts some ten thousands."""
+    cut = 4 + 8 * (ORDER - LOW)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            for held, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                key = _unpacked(held)
+                key, count = key[(key & 15) != OUT], np.frombuffer(zlib.decompress(counts), np.int32)[(key & 15) != OUT]
+                # last LOW bytes, symbol, class
+                short = ((key >> (cut + 8)) << 12) | (key & 0xFFF)
+                keys, n = summed(np.concatenate((keys, short)), np.concatenate((n, count)))
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
+
+    found = counted.select("grams", "n").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    key, n = found.column("key").to_numpy(), found.column("n").to_numpy()
+    out = []
+    for cls in range(OUT):
+        mine = (key & 15) == cls
+        gram = ((key[mine] >> 12) << (8 * (ORDER + 1 - LOW))) | ((key[mine] >> 4) & 255)
+        out.append(edges(gram & 255, levels(gram)[: LOW + 1], n[mine]))
+    return out
+
+
+def _score_grams(counted: DataFrame, short, classes: int, groups: int) -> DataFrame:
+    """Step 3. block, grams, log_p of each symbol after its context, by class. ``short``: a broadcast of the short contexts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        held = [_unpacked(g) for g in table.column("grams").to_pylist()]
+        n = np.concatenate([np.frombuffer(zlib.decompress(c), np.int32) for c in table.column("n").to_pylist()]).astype(np.int64)
+        key = np.concatenate(held)
+        gram, code = key >> 4, key & 15
+        every = np.unique(gram)
+        needed = np.unique(np.concatenate(levels(every)[: LOW + 1]))
+        log_p = np.zeros((len(every), classes), np.float32)
+        for cls in range(classes):
+            mine, count = summed(gram[code == cls], n[code == cls])
+            long = edges(mine & 255, levels(mine), count)
+            longer = long[0] >> 40 > LOW
+            low = short.value[cls]
+            wanted = np.isin(low[0], needed)
+            trie = Trie(*(np.concatenate((a[longer], b[wanted])) for a, b in zip(long, low)))
+            for at in range(0, len(every), 400_000):
+                some = every[at : at + 400_000]
+                log_p[at : at + 400_000, cls] = trie.score(some & 255, levels(some))
+        mine = [np.unique(k >> 4) for k in held]
+        return pa.table(
+            {
+                "block": table.column("block"),
+                "grams": pa.array([_packed(g) for g in mine], pa.binary()),
+                "log_p": pa.array([_shrunk(log_p[np.searchsorted(every, g)]) for g in mine], pa.binary()),
+            }
+        )
 
-def _trie_parts(vocabulary: DataFrame, classes: int) -> DataFrame:
-    """Step 2. kind 0: block, word, counts. kind 1: block, context. kind 2: cls, context, suffix, symbol, n."""
-    types = {"kind": pa.int32(), "block": pa.int64(), "word": pa.binary(), "counts": pa.list_(pa.int64()), "context": pa.int64(), "suffix": pa.int64(), "cls": pa.int32(), "symbol": pa.int32(), "n": pa.int64()}
-    _rows = _row_maker(types)
+    dealt = counted.select("block", "grams", "n", F.floor(F.col("bucket") * groups / BUCKETS).cast("int").alias("group"))
+    return dealt.groupBy("group").applyInArrow(run, "block bigint, grams binary, log_p binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        part, block = TaskContext.get().partitionId() << 24, 0
-        words: list[bytes] = []
-        counts: list[list[int]] = []
+class Scores:
+    """The scores of a block's grams, found by hash; the few that share a slot are sought by halving."""
 
-        def out() -> Iterator[pa.RecordBatch]:
-            found, word, place = symbols(words)
-            keys = context_keys(found, word, place)
-            weights = np.array(counts, np.int64).reshape(-1, classes)
-            keys[-1] = np.where(_boundary(word, keys[-1]), keys[-1], -1)
-            yield _rows(len(words), kind=0, block=part + block, word=pa.array(words, pa.binary()), counts=pa.array(counts, pa.list_(pa.int64())))
-            needed = np.unique(np.concatenate([np.unique(k) for k in keys]))
-            needed = needed[needed >= 0]
-            yield _rows(len(needed), kind=1, block=part + block, context=pa.array(needed))
-            for cls in range(classes):
-                context, suffix, symbol, n = edges(found, keys, weights[word, cls])
-                yield _rows(len(n), kind=2, cls=cls, context=pa.array(context), suffix=pa.array(suffix), symbol=pa.array(symbol.astype(np.int32)), n=pa.array(n))
+    def __init__(self, keys: np.ndarray, log_p: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.log_p = keys[order], log_p[order]
+        bits = max(4, int(len(keys)).bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        self.slots = np.zeros(1 << bits, np.int32)
+        self.slots[self._slot(self.keys)] = np.arange(len(keys))
 
-        for batch in batches:
-            words += batch.column(0).to_pylist()
-            counts += batch.column(1).to_pylist()
-            if len(words) >= BLOCK_WORDS:
-                yield from out()
-                words, counts, block = [], [], block + 1
-        if words:
-            yield from out()
-
-    return vocabulary.mapInArrow(run, "kind int, block bigint, word binary, counts array<bigint>, context bigint, suffix bigint, cls int, symbol int, n bigint")
-
-
-def _score_words(words: DataFrame, slices: DataFrame, classes: int) -> DataFrame:
-    """Step 3. word, count (over all classes), log_p by class."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        some = left.column("word").to_pylist()
-        counts = np.array(left.column("counts").to_pylist(), np.int64).reshape(-1, classes)
-        order = sorted(range(len(some)), key=some.__getitem__)
-        some, counts = [some[i] for i in order], counts[order]
-        found, word, place = symbols(some)
-        keys = context_keys(found, word, place)
-        inner = np.where(_boundary(word, keys[-1]), -1, keys[-1])
-        entries = right.column("entries").combine_chunks() if right.num_rows else None
-        columns = []
-        for cls in range(classes):
-            weight = counts[word, cls]
-            at = np.flatnonzero((inner >= 0) & (weight > 0))
-            context, _, symbol, n = edges(found[at], [inner[at]], weight[at])
-            local = (context, _suffixes(context, inner[at], keys[ORDER][at]), symbol, n)
-            if entries is not None and len(entries):
-                sizes = np.diff(entries.offsets.to_numpy())
-                flat = entries.flatten()
-                mine = flat.field("cls").to_numpy() == cls
-                parts = (
-                    np.repeat(right.column("context").to_numpy(), sizes)[mine],
-                    np.repeat(right.column("suffix").to_numpy(), sizes)[mine],
-                    flat.field("symbol").to_numpy().astype(np.int64)[mine],
-                    flat.field("n").to_numpy()[mine],
-                )
-                local = tuple(np.concatenate(p) for p in zip(local, parts))
-            trie = Trie(*local)
-            scored = [np.zeros(0)]
-            for s in range(0, len(found), 400_000):
-                scored.append(trie.score(found[s : s + 400_000], [k[s : s + 400_000] for k in keys]))
-            columns.append(np.bincount(word, np.concatenate(scored), len(some)))
-        # single precision: this column goes to every block of documents that holds the word
-        flat = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(columns, axis=1).ravel().astype(np.float32)), classes).cast(pa.list_(pa.float32()))
-        return pa.table({"word": pa.array(some, pa.binary()), "count": pa.array(counts.sum(axis=1)), "log_p": flat})
-
-    return words.groupBy("block").cogroup(slices.groupBy("block")).applyInArrow(run, "word binary, count bigint, log_p array<float>")
-
-
-def _suffixes(context: np.ndarray, prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
-    """The suffix of each context, given some symbols' prefixes and suffixes that cover them."""
-    known, first = np.unique(prefix, return_index=True)
-    return suffix[first][np.searchsorted(known, context)] if len(context) else np.zeros(0, np.int64)
+    def _slot(self, gram: np.ndarray) -> np.ndarray:
+        return ((gram.astype(np.uint64) * _MIX) >> self.shift).astype(np.int64)
+
+    def __call__(self, gram: np.ndarray) -> np.ndarray:
+        at = self.slots[self._slot(gram)]
+        other = np.flatnonzero(self.keys[at] != gram)
+        at[other] = np.searchsorted(self.keys, gram[other])
+        return self.log_p[at]
 
 
 def score_documents(
@@ -341,51 +403,72 @@ def score_documents(
             cls = F.when(F.col(class_col) == value, i).otherwise(F.lit(classes - 1) if i == 0 else cls)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), trains.alias("train"), cls.cast("int").alias("cls"))
     parts = scratch.keep(_bags(source, classes), "bags", partition_by="kind")
-    bags = parts.where("kind = 0").select("block", "doc_id", "n_tokens", "bag")
-    local = scratch.again(parts).where("kind = 1").select("block", "number", "word", "counts")
-    summed = local.groupBy("word").agg(F.array(*[F.sum(F.element_at("counts", i + 1)) for i in range(classes)]).alias("counts"))
-    vocabulary = scratch.keep(summed, "vocabulary")
-    every = F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)
-    ends = F.when(F.length("word") == 0, F.col("counts"))
-    sums = vocabulary.agg(F.sum(every), F.count(F.when(every > 0, 1)), F.count(F.lit(1)), F.max(ends)).first()
+    bags = parts.where("kind = 0").select("block", "doc_id", "n_tokens", "tokens")
+    local = scratch.again(parts).where("kind = 1").select("block", "number", "word", "count", "ends")
+    counted = scratch.again(parts).where("kind = 2").select("block", "bucket", "grams", "n")
+    vocabulary = scratch.keep(local.groupBy("word").agg(F.sum("count").alias("count")), "vocabulary")
+    sums = vocabulary.agg(F.sum("count"), F.count(F.when(F.col("count") > 0, 1)), F.count(F.lit(1))).first()
+    closed = local.where(F.length("word") == 0).agg(*[F.sum(F.element_at("ends", i + 1)) for i in range(classes)]).first()
     tokens, types, size = sums[0] or 0, sums[1], sums[2]
-    documents = np.array(sums[3] if sums[3] else [0] * classes, float)
+    documents = np.array([n or 0 for n in closed], float)
     prior = np.log10((documents + 1) / (documents + 1).sum())
-    blocks = max(1, -(-size // BLOCK_WORDS))
-    ordered = vocabulary.repartitionByRange(blocks, "word").sortWithinPartitions("word")
-    trie = scratch.keep(_trie_parts(ordered, classes), "trie", partition_by="kind")
-    counted = trie.where("kind = 2").groupBy("cls", "context", "suffix", "symbol").agg(F.sum("n").alias("n"))
-    # at most classes * 257 entries a node
-    nodes = counted.groupBy("context", "suffix").agg(F.collect_list(F.struct("cls", "symbol", "n")).alias("entries"))
-    slices = scratch.again(trie).where("kind = 1").select("block", "context").join(nodes, "context")
-    scored = scratch.keep(_score_words(scratch.again(trie).where("kind = 0").select("block", "word", "counts"), slices, classes), "scored")
-    scratch.drop(vocabulary)
-    held = local.select("block", "number", "word").join(scored, "word").select("block", "number", "count", "log_p")
+    groups = min(BUCKETS, max(1, -(-size // BLOCK_WORDS)))
+    short = spark.sparkContext.broadcast(_short_contexts(counted)[:classes])
+    scored = _score_grams(counted, short, classes, groups)
+    held = local.select("block", "number", "word").join(vocabulary, "word").select("block", "number", "word", "count")
+    right = held.unionByName(scored, allowMissingColumns=True)
     floor = np.log10(tokens + types + 1)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        n = right.num_rows
-        number = right.column("number").to_numpy()
-        count, log_p = np.zeros(n, np.int64), np.zeros((classes, n))
-        count[number] = right.column("count").to_numpy()
-        log_p[:, number] = right.column("log_p").combine_chunks().flatten().to_numpy().reshape(n, classes).T
+        counts = right.filter(right.column("number").is_valid())
+        gram_rows = right.filter(right.column("grams").is_valid())
+        count = np.zeros(counts.num_rows, np.int64)
+        number = counts.column("number").to_numpy()
+        count[number] = counts.column("count").to_numpy()
+        words = [b""] * counts.num_rows
+        for i, w in zip(number.tolist(), counts.column("word")):
+            words[i] = w.as_py()
         base = np.log10(count + 1.0) - floor
-        known, bases, scores = [], [], []
-        for bag in left.column("bag"):
-            index, tf = np.frombuffer(zlib.decompress(bag.as_py()), np.int32).reshape(2, -1).astype(np.int64)
-            index = np.cumsum(index)
-            known.append(int(tf[count[index] > 0].sum()))
-            bases.append(float((tf * base[index]).sum()))
-            scores.append(mixture(log_p[:, index], tf, prior, strength))
+        keys = np.concatenate([_unpacked(g.as_py()) for g in gram_rows.column("grams")])
+        log_p = np.concatenate([_grown(v.as_py(), np.float32).reshape(-1, classes) for v in gram_rows.column("log_p")])
+        scores = Scores(keys, log_p)
+        known, bases, out = [], [], []
+        waiting: list[bytes] = []
+        orders: list[np.ndarray] = []
+
+        def fold() -> None:
+            if not orders:
+                return
+            found, word, place = symbols(waiting)
+            by_word = np.add.reduceat(scores(grams(found, place)), np.flatnonzero(place == 0), axis=0, dtype=np.float64)
+            at = 0
+            for index in orders:
+                known.append(int((count[index] > 0).sum()))
+                bases.append(float(base[index].sum()))
+                out.append(mixture(by_word[at : at + len(index)], index, prior, strength))
+                at += len(index)
+            waiting.clear()
+            orders.clear()
+
+        size = 0
+        for order in left.column("tokens"):
+            orders.append(_grown(order.as_py(), np.int32))
+            some = [words[i] for i in orders[-1].tolist()]
+            waiting += some
+            size += sum(map(len, some)) + len(some)
+            if size > CHUNK:
+                fold()
+                size = 0
+        fold()
         return pa.table(
             {
                 "doc_id": left.column("doc_id"),
                 "n_tokens": left.column("n_tokens"),
                 "n_known": pa.array(known, pa.int64()),
                 "base_score": pa.array(bases, pa.float64()),
-                "score": pa.array(scores, pa.float64()),
+                "score": pa.array(out, pa.float64()),
             }
         )
 
-    out = bags.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(finish, "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+    out = bags.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(finish, "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(int(tokens)).cast("long"))

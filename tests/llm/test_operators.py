@@ -170,6 +170,65 @@ def test_small_blocks_give_the_same_scores(spark, docs, monkeypatch):
     assert whole == split
 
 
+def test_lm_score_depends_on_word_order(spark):
+    from citeloom.llm import ppm
+
+    rng = random.Random(8)
+    fluent = [" ".join(["the quick brown fox jumps over the lazy dog", "a small cat sleeps under the old table"][rng.randrange(2)] for _ in range(6)) for _ in range(60)]
+    mixed = []
+    for text in fluent:
+        words = text.split()
+        rng.shuffle(words)
+        mixed.append(" ".join(words))
+    rows = [(i, t, 1) for i, t in enumerate(fluent)] + [(1000 + i, t, 0) for i, t in enumerate(mixed[:30])]
+    made = spark.createDataFrame(rows, "doc_id long, text string, part int")
+    found = {r.doc_id: r for r in ppm.score_documents(made, train=F.col("part") == 1).collect()}
+    assert all(found[i].score > found[1000 + i].score + 5 for i in range(30))
+    assert all(math.isclose(found[i].base_score, found[1000 + i].base_score, abs_tol=1e-6) for i in range(30))
+
+
+def plain_ppm(text, trained):
+    """log10 of each symbol's probability, by plain counting over the stream."""
+
+    def stream(t):
+        return b" " * 5 + b"".join(w + b" " for w in (t or "").encode().lower().split()) + b" "
+
+    followed = defaultdict(Counter)
+    for t in trained:
+        s = stream(t)
+        for at in range(5, len(s)):
+            for k in range(6):
+                followed[s[at - k : at]][s[at]] += 1
+    s, out = stream(text), 0.0
+    for at in range(5, len(s)):
+        gone, left = set(), 256
+        for k in range(5, -1, -1):
+            seen = {b: n for b, n in followed.get(s[at - k : at], {}).items() if b not in gone}
+            if not seen:
+                continue
+            whole = sum(2 * n - 1 for n in seen.values()) + len(seen)
+            if s[at] in seen:
+                out += math.log10((2 * seen[s[at]] - 1) / whole)
+                break
+            out += math.log10(len(seen) / whole)
+            gone |= seen.keys()
+        else:
+            out -= math.log10(max(1, left - len(gone)))
+    return out
+
+
+def test_lm_scores_match_plain_counting_over_the_stream(spark):
+    from citeloom.llm import ppm
+    from tests.llm.conftest import words
+
+    texts = [words(i, 12) for i in range(20)] + ["", None, "Über naïve x", "on re"]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    # so strong a prior that documents hardly adapt
+    found = {r.doc_id: r.score for r in ppm.score_documents(made, train=F.col("doc_id") < 15, strength=1e12).collect()}
+    for i, text in enumerate(texts):
+        assert math.isclose(found[i], plain_ppm(text, texts[:15]), abs_tol=2e-3), i
+
+
 # --- classifiers
 
 
