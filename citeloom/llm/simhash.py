@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.llm.skew import hot_bar, with_label
 from citeloom.session import Scratch
 
 SEED = 42
@@ -55,13 +56,19 @@ def fingerprint(text: str | None, width: int = 4, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """doc_id, fp (the fingerprint's bits as a signed long)."""
+    return _fingerprinted(docs, F.col(id_col).cast("long"), text_col, width).withColumnRenamed("own", "doc_id")
+
+
+def _fingerprinted(docs: DataFrame, own: F.Column, text_col: str, width: int) -> DataFrame:
+    """own (what tells the row), fp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["own", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    rows = docs.select(own.alias("own"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"own {rows.schema['own'].dataType.simpleString()}, fp bigint")
 
 
 def block_layout(n: int, distance: int) -> tuple[list[int], list[tuple[int, ...]]]:
@@ -165,35 +172,43 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     around the least node of their component in a number of steps that grows with the logarithm of their length.
     """
     edges = scratch.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links")
-    before = None
+    before, total = None, edges.count()
+    if not total:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("v"), F.count_if(F.col("v") > F.col("u")).alias("_n")).select("u", F.least("u", "v").alias("m"), "_n")
+        large = with_label(both.where("v > u"), least, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = scratch.keep(large, "large_star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u")
+        least_small = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n"))
+        moved = with_label(large, least_small, "u", total)
         small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(moved.select("u", F.col("m").alias("v"))).distinct()
         small = scratch.keep(small, "small_star")
         seen = small.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first()
         scratch.drop(edges, large)
-        edges = small
+        edges, total = small, seen[0]
         if seen == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = seen
 
 
+def _rooted(scratch: Scratch, nodes: DataFrame, distance: int) -> DataFrame:
+    """nodes (one row per distinct fingerprint fp) with the root of each one's component."""
+    stars = components(scratch, links(scratch, nodes.select("fp"), distance))
+    return nodes.join(stars, nodes["fp"] == stars["node"], "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
     """One row per document: doc_id, fp, component_id (the least doc_id of its group)."""
     scratch = Scratch(docs.sparkSession, "simhash")
     printed = scratch.keep(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    nodes = scratch.keep(printed.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    stars = components(scratch, links(scratch, nodes.select("fp"), distance))
-    rooted = nodes.join(stars, nodes["fp"] == stars["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = scratch.keep(rooted, "rooted")
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.join(named, "root").select("fp", "component_id")
-    return printed.join(labels, "fp").select("doc_id", "fp", "component_id")
+    nodes = scratch.keep(printed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "nodes")
+    rooted = scratch.keep(_rooted(scratch, nodes, distance), "rooted")
+    sizes = rooted.agg(F.count(F.lit(1)), F.sum("copies")).first()
+    named = scratch.keep(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("_n")), "named")
+    labels = with_label(rooted, named, "root", sizes[0]).select("fp", "component_id", F.col("copies").alias("_n"))
+    labels = scratch.keep(labels, "labels")
+    return with_label(printed, labels, "fp", sizes[1] or 0).select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(fp: str = "fp") -> F.Column:
@@ -201,16 +216,31 @@ def hex_fingerprint(fp: str = "fp") -> F.Column:
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
-    """One document of each group, the one with the least id, with the columns it came with.
+    """One row of each group, with the columns it came with: the row with the least id, then the least MD5 of its text.
 
-    Rows without an id go by a hash of their text. Where an id occurs on several rows of those kept, one of them stays.
+    Rows are told apart by id and text, never by one of them alone: rows that share an id and differ in text are judged apart, rows without
+    an id come after those with one. Of rows equal in both, one stays, whatever their other columns hold.
     """
     scratch = Scratch(docs.sparkSession, "keep_one")
-    own = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))
-    found = near_duplicates(docs.select(own.alias("doc_id"), F.col(text_col).alias("text")), width=width, distance=distance)
-    kept = scratch.keep(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count(F.lit(1)).alias("_n")), "kept")
+    # a null text and an empty one are different rows
+    own = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).cast("long").alias("id"), F.col(text_col).isNull().alias("no_text"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"))
+    printed = scratch.keep(_fingerprinted(docs, own, text_col, width), "printed")
+    nodes = scratch.keep(printed.groupBy("fp").agg(F.min("own").alias("least")), "nodes")
+    chosen = _rooted(scratch, nodes, distance).groupBy("root").agg(F.min("least").alias("least")).select(_row_key(F.col("least")).alias("_row"))
+    chosen = scratch.keep(chosen, "chosen")
+    repeated = printed.groupBy(_row_key(F.col("own")).alias("_row")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    repeated = scratch.keep(repeated, "repeated")
+    rows = docs.withColumn("_row", _row_key(own))
     # by a shuffle at every size: what is kept grows with the documents
-    rows = docs.withColumn("_own_id", own).join(kept.select("_kept_id").hint("merge"), F.col("_own_id") == F.col("_kept_id"), "left_semi")
-    if not kept.where("_n > 1").isEmpty():
-        rows = rows.dropDuplicates(["_own_id"])
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = rows.join(chosen.hint("merge"), "_row", "left_semi")
+    if not repeated.isEmpty():
+        # rows that very many others equal are at most 2,000: they are reduced where they lie
+        hot = F.broadcast(repeated.where(F.col("_n") > hot_bar(printed.count())).select("_row"))
+        kept = rows.join(hot, "_row", "left_anti").join(chosen.hint("merge"), "_row", "left_semi").dropDuplicates(["_row"])
+        kept = kept.unionByName(rows.join(F.broadcast(hot.join(chosen, "_row", "left_semi")), "_row", "left_semi").dropDuplicates(["_row"]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _row_key(own: F.Column) -> F.Column:
+    """A row's id and text as one string."""
+    return F.concat_ws("/", F.coalesce(own["id"].cast("string"), F.lit("-")), F.when(own["no_text"], "-").otherwise(own["text"]))
