@@ -333,6 +333,42 @@ def test_near_duplicates_match_brute_force(spark, docs, empty, pairs):
     assert near_duplicates(empty).count() == 0 and keep_one(empty).count() == 0
 
 
+def test_keep_one_judges_rows_not_ids(spark):
+    from citeloom.llm.simhash import keep_one
+    from tests.llm.conftest import words
+
+    a, b = words(1, 40), words(2, 40)
+
+    def kept(rows):
+        made = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, _row int")
+        return sorted(((r.doc_id, r.text) for r in keep_one(made).collect()), key=str)
+
+    assert kept([(7, a), (7, b)]) == sorted([(7, a), (7, b)], key=str)
+    assert kept([(42, a), (None, None)]) == sorted([(42, a), (None, None)], key=str)
+    assert kept([(1, a), (7, a), (7, b)]) == sorted([(1, a), (7, b)], key=str)
+    assert kept([(5, ""), (42, a), (None, None)]) == sorted([(5, ""), (42, a)], key=str)
+    assert kept([(None, None), (None, "")]) == [(None, "")]
+    assert kept([(3, a)] * 200 + [(None, b)] * 90 + [(4, a)] * 5) == sorted([(3, a), (None, b)], key=str)
+
+
+def test_labels_of_hot_keys_are_the_same(spark):
+    from citeloom.llm.skew import with_label
+
+    rows = spark.range(3000).select(F.when(F.col("id") < 1200, 7).when(F.col("id") < 1300, 8).otherwise(F.col("id")).alias("key"), "id")
+    labels = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), (F.max("key") * 2).alias("label")).where("key != 2000")
+    found = with_label(rows, labels, "key", 3000).collect()
+    assert len(found) == 2999 and all(r.label == 2 * r.key for r in found)
+
+
+def test_components_of_a_hub(spark):
+    from citeloom.llm.simhash import components
+    from citeloom.session import Scratch
+
+    made = [(0, i) for i in range(1, 400)] + [(500 + i, 501 + i) for i in range(30)] + [(399, 530)]
+    stars = components(Scratch(spark, "test"), spark.createDataFrame(made, "a long, b long")).collect()
+    assert {r.root for r in stars} == {0} and {r.node for r in stars} >= set(range(1, 400)) | set(range(500, 531))
+
+
 @pytest.mark.parametrize("large", [50_000, 20])
 def test_links_join_what_brute_force_joins(spark, monkeypatch, large):
     from citeloom.llm import simhash
@@ -416,29 +452,115 @@ def test_top_k_matches_brute_force(spark):
     assert [r.vec_id for r in top_k(huge, k=2).orderBy("rank").collect()] == [2, 1]
 
 
+@pytest.mark.parametrize(("block", "queries", "share"), [(37, 8, 1.0), (8192, 65_536, 0.05)])
+def test_top_k_over_blocks_and_groups(spark, monkeypatch, block, queries, share):
+    from citeloom.llm import topk
+
+    monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "QUERIES", queries)
+    rng = np.random.default_rng(4)
+    # of few large components, so that the proof ends the search early
+    v = np.where(rng.random((700, 16)) < share, rng.normal(0, 0.5, (700, 16)), rng.normal(0, 0.01, (700, 16)))
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>").repartition(5)
+    whole = np.floor(64 * v).astype(int)
+    wanted = Counter()
+    for qid in range(0, 700, 20):
+        score = whole @ whole[qid]
+        order = sorted((i for i in range(700) if i != qid), key=lambda i: (-score[i], i))[:7]
+        wanted.update((qid, k, i, int(score[i])) for k, i in enumerate(order, 1))
+    assert Counter(collected(topk.top_k(df, k=7))) == wanted
+
+
 # --- urls
 
 
+def test_segment_equals_trying_every_cut():
+    from citeloom.llm.urls import LONGEST, segment
+
+    counts = {"cheap": 50, "pills": 40, "ch": 9, "che": 30, "ap": 30, "pill": 3, "s": 4, "e": 100, "pi": 7, "über": 5}
+    total, rng = 1000, random.Random(6)
+
+    def cost(words):
+        return sum(math.log(total / counts[w]) if w in counts else math.log(total) + len(w) * math.log(10) for w in words)
+
+    def cuts(label):
+        if not label:
+            yield []
+        for m in range(1, len(label) + 1):
+            for rest in cuts(label[m:]):
+                yield [label[:m], *rest]
+
+    for label in ["cheappills", "überpills", "qq", "", *("".join(rng.choice("cheapils") for _ in range(rng.randint(1, 9))) for _ in range(60))]:
+        found = segment(label, counts, total)
+        assert "".join(found) == label
+        best = min(map(cost, cuts(label)))
+        assert math.isclose(cost(found), best, abs_tol=1e-9)
+        assert len(found) == min(len(c) for c in cuts(label) if cost(c) < best + 1e-9)
+    assert segment("cheappills", counts, total) == ["cheap", "pills"]
+    assert "".join(segment("x" * 20_000, counts, total)) == "x" * 20_000 and max(map(len, segment("x" * 500, counts, total))) <= LONGEST
+
+
+def plain_learning(rows, seeds, rounds):
+    """log odds of each (pages, tokens, seeded) by the same learning, in plain Python."""
+    from citeloom.llm.urls import ALPHA, SIGN
+
+    pages, signs = sum(r[0] for r in rows), sum(r[0] for r in rows if r[2])
+    prior = (signs + 1) / (pages + 2)
+    start = math.log(prior / (1 - prior))
+    q = [SIGN / (SIGN + 1) if r[2] else 0.0 for r in rows]
+    for _ in range(rounds):
+        block, every = Counter(), Counter()
+        for (n, tokens, _), p in zip(rows, q):
+            for t in tokens:
+                block[t] += n * p
+                every[t] += n
+        odds = {t: math.log((block[t] + ALPHA * prior) / (every[t] - block[t] + ALPHA * (1 - prior))) - start for t in every}
+        score = [(math.log(SIGN) if r[2] else start) + sum(odds[t] for t in r[1]) for r in rows]
+        q = [1 / (1 + math.exp(-x)) for x in score]
+    return score
+
+
+def test_url_learning_matches_plain_python(spark):
+    from citeloom.llm.urls import ROUNDS, learn
+    from citeloom.session import Scratch
+
+    rng = random.Random(11)
+    rows = []
+    for _ in range(60):
+        seeded = rng.random() < 0.2
+        tokens = [rng.choice("abcdefgh") for _ in range(rng.randint(0, 5))] + (["win"] if seeded and rng.random() < 0.8 else [])
+        rows.append((rng.randint(1, 30), tokens, seeded))
+    keys = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "row long, pages long")
+    tokens = spark.createDataFrame([(i, r[0], t) for i, r in enumerate(rows) for t in r[1]], "row long, pages long, token string")
+    seeded = spark.createDataFrame([(i, True) for i, r in enumerate(rows) if r[2]], "row long, seeded boolean")
+    found = {r.row: r.score / 1e6 for r in learn(Scratch(spark, "test"), keys, tokens, seeded).collect()}
+    wanted = plain_learning(rows, (), ROUNDS)
+    assert all(math.isclose(found[i], w, abs_tol=1e-3) for i, w in enumerate(wanted)) and len(found) == len(rows)
+
+
 def test_urls(spark):
-    from citeloom.llm.urls import judge_urls, segment
+    from citeloom.llm.urls import judge_urls
 
-    assert segment("cheappills", {"cheap": 50, "pills": 40, "ch": 9}, 1000) == ["cheap", "pills"]
-    assert segment("qq", {}, 1000) == ["qq"] and segment("", {}, 10) == []
     rows = [
         (1, "https://A.COM/en/x?q#f", "<p>cheap words</p>"), (2, "http://sub.example.com/en/70", None), (3, "http://com.org/en/", ""), (4, "nothing here", ""), (5, None, None), (6, "x://example.net/de/81", ""),
         (7, "http://example.net/de/9", ""), (8, "http://b.org/es/", ""), (9, "http://b.org/ES/", ""), (10, "http://casino-win.org/en/1", ""), (10, "http://casino-win.org/en/1", ""), (11, "http://h.net?x=/de/", ""), (12, "http://casinowin.org/en/2", ""),
+        # learned from the company of seeds, and a seed among what is allowed everywhere
+        (13, "http://jumbowin.org/en/3", "jumbo " * 50), (14, "http://garden.org/en/adult/recipes", ""), (15, "http://fresh.org/en/onlinecasinowin", ""), (16, "http://" + "z" * 9000 + ".org/en/", ""),
     ]
-    rows += [(100 + i, f"http://quiet{i % 7}.org/en/{i}", "some words of text") for i in range(60)] + [(200 + i, f"http://casino-win.net/fr/{i}", "") for i in range(20)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("score", F.lit("s"))
-    found = {r.page_id: r for r in judge_urls(df).collect()}
-    assert judge_urls(df).count() == len(rows)
+    rows += [(100 + i, f"http://quiet{'abcdefg'[i % 7]}.org/en/{i}", "some words of text") for i in range(60)] + [(200 + i, f"http://casino-win.org/en/{i}", "") for i in range(20)]
+    rows += [(300 + i, f"http://poker-win.org/en/{i}", "") for i in range(20)] + [(400 + i, f"http://garden.org/en/recipes/{i}", "") for i in range(150)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("score", F.lit("s")).withColumn("row", F.lit(2)).withColumn("_place", F.lit(3))
+    held = judge_urls(df).collect()
+    found = {r.page_id: r for r in held}
+    assert len(held) == len(rows)
     got = {k: (found[k].host, found[k].path, found[k].rule) for k in range(1, 12)}
     assert got == {
         1: ("a.com", "/en/x", "com/en/"), 2: ("sub.example.com", "/en/70", "example.com/en/7"), 3: ("com.org", "/en/", None), 4: ("", "", None), 5: ("", "", None), 6: ("example.net", "/de/81", "example.net/de/8"),
         7: ("example.net", "/de/9", "net/de/"), 8: ("b.org", "/es/", "org/es/"), 9: ("b.org", "/ES/", None), 10: ("casino-win.org", "/en/1", None), 11: ("h.net", "", None),
     }
-    verdicts = {k: found[k].verdict for k in (1, 2, 6, 7, 8, 10, 12, 100)}
-    assert verdicts == {1: "block", 2: "allow", 6: "block", 7: "allow", 8: "block", 10: "block", 12: "block", 100: "allow"}
+    verdicts = {k: found[k].verdict for k in (1, 2, 6, 7, 8, 10, 12, 13, 14, 15, 16, 100, 400)}
+    assert verdicts == {1: "block", 2: "allow", 6: "block", 7: "allow", 8: "block", 10: "block", 12: "block", 13: "block", 14: "allow", 15: "block", 16: "allow", 100: "allow", 400: "allow"}, {k: found[k].score for k in verdicts}
+    assert sorted(map(str, held)) == sorted(map(str, judge_urls(df).collect()))
     assert judge_urls(df.limit(0)).count() == 0
 
 
