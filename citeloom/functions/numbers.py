@@ -47,12 +47,18 @@ def number_words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(words, lambda w: F.try_element_at(_word_map(), w)), lambda v: v.isNotNull()))
 
 
+def _names_millions(text: Column) -> Column:
+    """Whether a text can hold a million at all: what all spellings share."""
+    return F.lower(text).contains("million") | text.contains("ملي") | text.contains("ملايين")
+
+
 def million_values(text: Column) -> Column:
     """``"<n> million"`` for every amount in digits or in an Arabic number word."""
     digits = F.transform(F.regexp_extract_all(text, F.lit(rf"(?iU)({NUMBER})\s*(?:{MILLION})"), F.lit(1)), normalize_number)
     words = F.regexp_extract_all(text, F.lit(rf"(?iU)({'|'.join(NUMBER_WORDS)})\s*(?:{ARABIC_MILLION})"), F.lit(1))
     spelled = F.transform(words, lambda w: F.element_at(_word_map(), w))
-    return F.transform(F.array_union(digits, spelled), lambda n: F.concat(n, F.lit(" million")))
+    found = F.transform(F.array_union(digits, spelled), lambda n: F.concat(n, F.lit(" million")))
+    return F.when(text.isNotNull(), F.when(_names_millions(text), found).otherwise(F.array().cast("array<string>")))
 
 
 def million_number(value: Column) -> Column:
@@ -60,15 +66,14 @@ def million_number(value: Column) -> Column:
 
 
 def threshold_values(text: Column) -> Column:
-    """The million values that a threshold phrase states, in ASCII digits, in the lower-cased text."""
-    low = F.lower(text)
+    """The million values that a threshold phrase states, in ASCII digits, in the lower-cased text.
 
-    def stated(value: Column) -> Column:
-        number = F.concat(F.lit(r"\Q"), F.regexp_replace(value, " million", ""), F.lit(r"\E"))
-        patterns = F.array(*[F.lit("(?U)" + p) for p in THRESHOLDS])
-        return F.exists(patterns, lambda p: F.regexp_like(low, F.replace(p, F.lit("{n}"), number)))
-
-    return F.filter(million_values(text), stated)
+    A phrase and the word for million enclose nothing but white space and the number, so the number is captured and compared.
+    """
+    low = F.lower(text)
+    stated = F.flatten(F.array(*[F.regexp_extract_all(low, F.lit("(?U)" + p.replace("{n}", "([0-9][0-9.]*)")), F.lit(1)) for p in THRESHOLDS]))
+    values = million_values(text)
+    return F.when(F.size(values) > 0, F.array_intersect(values, F.transform(stated, lambda n: F.concat(n, F.lit(" million"))))).otherwise(values)
 
 
 def validate_numeric_claims(query: Column, answer: Column, evidence: Column) -> Column:

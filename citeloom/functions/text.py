@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache, reduce
 
@@ -19,7 +20,8 @@ FOLD_TO = "ااااييك"
 ARABIC = r"\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}"
 ANSWER_LATIN = r"A-Za-z\x{00C0}-\x{024F}"
 ARABIC_DIGITS = r"\x{0660}-\x{0669}\x{06F0}-\x{06F9}"
-WHITE = r"(?U)[\s\x1c-\x1f]"
+WHITE = r"[\t-\r\x1c-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+LINE_WHITE = r"[\t\x1f\x20\xA0\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 IDENTIFIER = r"(?iU)(?:المادة|قانون|قرار|مرسوم|article|law|decree|decision)\s*(?:رقم|no\.?|number)?\s*[\[(]?[\s:.-]*([0-9٠-٩]+)"
 MODEL_CITATION = r"(?iU)\[\d+\]|\bE\d+\b"
@@ -40,24 +42,78 @@ def reverse_digit_runs(text: Column) -> Column:
     return F.array_join(turned, "")
 
 
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def collapse_lines(text: Column) -> Column:
     """White space collapsed and trimmed line by line; empty lines dropped."""
-    lines = F.transform(F.split(text, LINE_END), lambda x: F.trim(F.regexp_replace(x, f"{WHITE}+", " ")))
-    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+    spaced = F.regexp_replace(text, f"{LINE_WHITE}+", " ")
+    return F.regexp_replace(F.regexp_replace(spaced, rf" ?(?:(?:{LINE_END}) ?)+", "\n"), r"\A[ \n]+|[ \n]+\z", "")
 
 
 def normalize_text(text: Column, reverse_runs: bool | Column = False, compose: bool = True) -> Column:
-    """The search form. ``compose`` runs NFKC, the one step without a built-in; ASCII passes it untouched."""
-    out = _compatibility(text) if compose else text
-    out = F.regexp_replace(out, FORMATTING, "")
+    """The search form. ``compose`` runs NFKC, the one step without a built-in. ASCII passes all steps but the last untouched and is not sent to Python."""
+    plain = is_ascii(text)
+    out = F.coalesce(_compatibility(F.when(~plain, text)), text) if compose else text
+    out = F.regexp_replace(out, f"{FORMATTING}+", "")
     out = F.regexp_replace(out, PRIVATE_USE, " ")
-    out = F.regexp_replace(out, DIACRITICS, "")
+    out = F.regexp_replace(out, f"{DIACRITICS}+", "")
     out = F.translate(out, FOLD_FROM, FOLD_TO)
     if isinstance(reverse_runs, Column):
         out = F.when(reverse_runs, reverse_digit_runs(out)).otherwise(out)
     elif reverse_runs:
         out = reverse_digit_runs(out)
-    return collapse_lines(out)
+    return collapse_lines(F.when(plain, text).otherwise(out))
+
+
+@lru_cache(1)
+def _plain_patterns() -> list[re.Pattern]:
+    """The patterns above as Python spells them; re has no code points beyond four digits in this form."""
+    spelled = lambda p: re.sub(r"\\x\{(\w+)\}", lambda m: f"\\U{int(m[1], 16):08X}", p)
+    return [re.compile(spelled(p)) for p in (FORMATTING, PRIVATE_USE, DIACRITICS, f"[{ARABIC_DIGITS}]+", LINE_END, f"[{ARABIC}]", r"\x{FFFD}")] + [re.compile(r"[\s\x1c-\x1f]+")]
+
+
+_FOLD = str.maketrans(FOLD_FROM, FOLD_TO)
+
+
+def normalized(text: str, reverse_runs: bool = False) -> str:
+    """normalize_text of one string, for code that runs inside tasks."""
+    formatting, private, marks, digits, ends, *_, white = _plain_patterns()
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
+        text = marks.sub("", private.sub(" ", formatting.sub("", text))).translate(_FOLD)
+        if reverse_runs:
+            text = digits.sub(lambda m: m[0][::-1], text)
+    lines = (white.sub(" ", x).strip(" ") for x in ends.split(text))
+    return "\n".join(x for x in lines if x)
+
+
+def quality_of(text: str) -> dict[str, float]:
+    """text_quality of one string."""
+    *_, arabic, replaced, white = _plain_patterns()
+    seen = white.sub("", text)
+    n = max(1, len(seen))
+    latin = sum(c.isalpha() and (c.isascii() or "LATIN" in unicodedata.name(c, "")) for c in seen)
+    return {
+        "character_count": len(seen), "arabic_ratio": len(arabic.findall(seen)) / n, "latin_ratio": latin / n, "replacement_ratio": len(replaced.findall(seen)) / n,
+        "control_ratio": sum(unicodedata.category(c) == "Cc" for c in seen) / n,
+    }
+
+
+def language_of(quality: dict[str, float], minimum: int = 3, mixed_share: float = 0.20) -> str:
+    """detect_language of one quality."""
+    script = quality["arabic_ratio"] + quality["latin_ratio"]
+    if not script or round(quality["character_count"] * script) < minimum:
+        return "unknown"
+    share = quality["arabic_ratio"] / script
+    return "ar" if share >= 1 - mixed_share else "en" if share <= mixed_share else "mixed"
+
+
+def needs_ocr(quality: dict[str, float], expected: str = "ar", minimum_characters: int = 50, minimum_script: float = 0.20) -> bool:
+    """requires_ocr of one quality."""
+    script = {"ar": quality["arabic_ratio"], "en": quality["latin_ratio"]}.get(expected, quality["arabic_ratio"] + quality["latin_ratio"])
+    return quality["character_count"] < minimum_characters or quality["replacement_ratio"] > 0.01 or quality["control_ratio"] > 0.01 or script < minimum_script
 
 
 @lru_cache(1)
@@ -74,17 +130,18 @@ def latin_class() -> str:
 
 
 def _share(text: Column, keep: str) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{keep}]", "")) / F.greatest(F.length(text), F.lit(1))
+    return F.length(F.regexp_replace(text, f"[^{keep}]+", "")) / F.greatest(F.length(text), F.lit(1))
 
 
 def text_quality(text: Column) -> Column:
     """struct of the number of visible characters and four shares of them."""
-    seen = F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, "")
+    seen = F.regexp_replace(F.coalesce(text, F.lit("")), f"{WHITE}+", "")
+    plain = is_ascii(seen)
     return F.struct(
         F.length(seen).alias("character_count"),
-        _share(seen, ARABIC).alias("arabic_ratio"),
-        _share(seen, latin_class()).alias("latin_ratio"),
-        _share(seen, r"\x{FFFD}").alias("replacement_ratio"),
+        F.when(plain, 0.0).otherwise(_share(seen, ARABIC)).alias("arabic_ratio"),
+        F.when(plain, _share(seen, "A-Za-z")).otherwise(_share(seen, latin_class())).alias("latin_ratio"),
+        F.when(plain, 0.0).otherwise(_share(seen, r"\x{FFFD}")).alias("replacement_ratio"),
         _share(seen, r"\p{Cc}").alias("control_ratio"),
     )
 
@@ -121,9 +178,9 @@ def ascii_digits(text: Column) -> Column:
 
 
 def answer_matches_language(answer: Column, language: Column, minimum: float = 0.6) -> Column:
-    letters = F.regexp_replace(answer, r"(?U)[^\p{IsAlphabetic}]", "")
+    letters = F.regexp_replace(answer, r"(?U)[^\p{IsAlphabetic}]+", "")
     n = F.length(letters)
-    share = lambda keep: F.length(F.regexp_replace(letters, f"[^{keep}]", "")) / F.greatest(n, F.lit(1))
+    share = lambda keep: F.length(F.regexp_replace(letters, f"[^{keep}]+", "")) / F.greatest(n, F.lit(1))
     return F.when(language == "mixed", True).when(n == 0, False).when(language == "ar", share(ARABIC) >= minimum).when(language == "en", share(ANSWER_LATIN) >= minimum).otherwise(False)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.functions.text import LINE_END, normalize_text
+from citeloom.functions.text import normalize_text
 
 # Heading and clause patterns, matched on the normalised line.
 ARABIC_SECTION = r"(?U)^(الباب|الفصل|القسم|الكتاب|الجزء)\b"
@@ -13,8 +13,12 @@ ARABIC_ARTICLE = r"(?U)^(?:المادة|مادة)\s*(?:\([^)]{1,30}\)|\S{1,30})?
 ENGLISH_SECTION = r"(?iU)^(part|chapter|section)\b"
 ENGLISH_ARTICLE = r"(?iU)^article\s*(?:\([^)]{1,30}\)|[0-9A-Za-z.-]{1,30})?"
 CLAUSE = r"(?U)^(?:\(?[0-9٠-٩]+\)?|[أ-يA-Za-z])\s*[-–—.):]\s+"
+#: What every heading, article and clause begins with.
+POSSIBLE = r"(?iU)^(?:ال[بفقكج]|الم|ماد|part|chap|sect|arti|[(0-9٠-٩]|[أ-يA-Za-z]\s*[-–—.):])"
 ARABIC_TYPES = {"الباب": "part", "الكتاب": "part", "الجزء": "part", "الفصل": "chapter", "القسم": "section"}
 TITLE_LIMIT = 200
+#: A line with its end mark.
+LINES = r"([^\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]*+(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}])|[^\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]++$)"
 # End of fixed values.
 
 
@@ -23,7 +27,7 @@ def line_segments(records: DataFrame, key: list[str], text: str = "text") -> Dat
 
     Offsets are running sums of line lengths inside each record of ``key``.
     """
-    pieces = F.regexp_extract_all(F.col(text), F.lit(rf"(?s)((?:(?!{LINE_END}).)*(?:{LINE_END})|(?:(?!{LINE_END}).)+$)"), F.lit(1))
+    pieces = F.regexp_extract_all(F.col(text), F.lit(LINES), F.lit(1))
     lines = records.select(*records.columns, F.posexplode(pieces).alias("_k", "line")).drop(text)
     upto = Window.partitionBy(*key).orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.length("line")).over(upto).cast("int")
@@ -33,7 +37,11 @@ def line_segments(records: DataFrame, key: list[str], text: str = "text") -> Dat
 
 def classify(line: Column, compose: bool = True) -> Column:
     """struct(kind, section_type, title) of a line; the first rule that matches wins."""
-    text = F.trim(normalize_text(line, compose=compose))
+    return classify_normalized(F.trim(normalize_text(line, compose=compose)))
+
+
+def classify_normalized(text: Column) -> Column:
+    """The same of a line that is normalised and trimmed. Its column is used many times: it should be one that is computed once."""
     label = F.regexp_extract(text, ARABIC_SECTION, 1)
     types = F.create_map(*[F.lit(x) for pair in ARABIC_TYPES.items() for x in pair])
     nothing = F.lit(None).cast("string")
@@ -54,20 +62,29 @@ def classify(line: Column, compose: bool = True) -> Column:
     )
 
 
+def detect_page(records: DataFrame, **options) -> DataFrame:
+    """detect_sections by its older name."""
+    return detect_sections(records, **options)
+
+
 def detect_sections(records: DataFrame, *, document: str = "doc_id", record: str = "record_no", text: str = "text", failed: str | None = None, compose: bool = True) -> DataFrame:
     """Sections (document, record, section_no, start_char, end_char, section_type, section_title, preferred_breaks).
 
     A heading or article line opens a section; the last heading holds for later records of the document until another comes. Failed
     and blank records give nothing and keep the heading. A section of blank lines only gives nothing.
     """
-    seen = F.coalesce(F.trim(F.regexp_replace(F.col(text), r"(?U)\s+", " ")), F.lit("")) != ""
+    seen = F.coalesce(F.col(text).rlike(r"(?U)\S"), F.lit(False))
     # dealt by document once: every window and aggregate below lies inside a document
     held = records.where(seen & ~F.col(failed) if failed else seen).select(document, record, text).repartition(document)
-    lines = line_segments(held, [document, record], text).withColumn("_c", classify(F.col("line"), compose))
+    lines = line_segments(held, [document, record], text).withColumn("_t", F.trim(normalize_text(F.col("line"), compose=compose)))
+    # most lines are told by their first letters; only the others are matched
+    maybe = F.col("_t").rlike(POSSIBLE)
+    plain = F.struct(F.lit("paragraph").alias("kind"), F.lit(None).cast("string").alias("section_type"), F.lit(None).cast("string").alias("title"))
+    lines = lines.withColumn("_c", F.when(maybe, classify_normalized(F.col("_t"))).otherwise(plain)).drop("_t")
     opens = F.col("_c.kind").isin("heading", "article")
     inside = Window.partitionBy(document, record).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     across = Window.partitionBy(document).orderBy(record, "line_no").rowsBetween(Window.unboundedPreceding, 0)
-    blank = F.trim(F.regexp_replace("line", r"(?U)\s+", " ")) == ""
+    blank = ~F.col("line").rlike(r"(?U)\S")
     marked = lines.withColumn("section_no", F.sum(opens.cast("int")).over(inside)).withColumn(
         "_head", F.last(F.when(opens, F.struct("_c.section_type", "_c.title")), ignorenulls=True).over(across)
     )
