@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,10 +11,10 @@ from pyspark.sql import functions as F
 
 from citeloom.functions.numbers import validate_numeric_claims
 from citeloom.functions.text import answer_matches_language, holds_model_citation
+from citeloom.session import Scratch
 
 PROMPT_VERSION = "1.2.0"
 CONTEXT_CHARACTERS = 12_000
-ANSWER_SCHEMA = "answer string, evidence_ids array<string>, insufficient_evidence boolean"
 
 # Messages shown instead of an answer.
 MESSAGES = {
@@ -27,6 +28,8 @@ MESSAGES = {
     },
     "numbers": {"ar": "تعذر اعتماد الإجابة لأن أرقاماً غير مدعومة ظهرت فيها: ", "en": "The answer contained unsupported numeric values: "},
 }
+#: Words for truth values.
+TRUTH = {True: ("1", "on", "t", "true", "y", "yes"), False: ("0", "off", "f", "false", "n", "no")}
 # End of fixed values.
 
 SYSTEM = {
@@ -77,23 +80,36 @@ def prompts(questions: DataFrame, bounded: DataFrame) -> DataFrame:
 
 
 def parse_answer(raw: Column) -> Column:
-    """The answer as a struct, or null unless it is an object with a non-empty answer, unique ids and no other keys."""
-    loose = F.regexp_replace(raw, r'"insufficient_evidence"\s*:\s*(?:"(true|false)")', '"insufficient_evidence": $1')
-    loose = F.regexp_replace(loose, r'("insufficient_evidence"\s*:\s*)1(\s*[,}])', "$1true$2")
-    loose = F.regexp_replace(loose, r'("insufficient_evidence"\s*:\s*)0(\s*[,}])', "$1false$2")
-    held = F.from_json(loose, ANSWER_SCHEMA, {"mode": "PERMISSIVE"})
-    keys = F.json_object_keys(raw)
+    """The answer as a struct, or null unless the text is one JSON object, and nothing else, with a non-empty string ``answer``, a list of distinct
+    strings ``evidence_ids``, perhaps a truth value ``insufficient_evidence`` (false if absent), and no other key.
+
+    A truth value may also be 0 or 1 or one of the words TRUTH, in any case. A key given twice makes the text invalid.
+    """
+    held = F.try_parse_json(raw)
+    part = lambda name, kind: F.try_variant_get(held, f"$.{name}", kind)
+    kind = lambda name: F.schema_of_variant(part(name, "variant"))
+    answer, ids = part("answer", "string"), part("evidence_ids", "array<string>")
+    word, number = F.lower(part("insufficient_evidence", "string")), part("insufficient_evidence", "double")
+    lack = (
+        F.when(part("insufficient_evidence", "variant").isNull(), False)
+        .when(kind("insufficient_evidence") == "BOOLEAN", part("insufficient_evidence", "boolean"))
+        .when(kind("insufficient_evidence") == "STRING", F.when(word.isin(*TRUTH[True]), True).when(word.isin(*TRUTH[False]), False))
+        .when(kind("insufficient_evidence").rlike("^(BIGINT|DECIMAL|DOUBLE)"), F.when(number == 1, True).when(number == 0, False))
+    )
     known = F.array(F.lit("answer"), F.lit("evidence_ids"), F.lit("insufficient_evidence"))
-    ids = held["evidence_ids"]
     fine = (
-        keys.isNotNull()
-        & (F.size(F.array_except(keys, known)) == 0)
-        & (F.length(F.coalesce(held["answer"], F.lit(""))) > 0)
-        & ids.isNotNull()
+        held.isNotNull()
+        # one value: as an array's only element it still is JSON, of length one
+        & (F.json_array_length(F.concat(F.lit("["), raw, F.lit("]"))) == 1)
+        & (F.size(F.array_except(F.json_object_keys(raw), known)) == 0)
+        & (kind("answer") == "STRING")
+        & (F.length(answer) > 0)
+        & kind("evidence_ids").isin("ARRAY<STRING>", "ARRAY<VOID>")
         & ~F.exists(ids, lambda i: i.isNull())
         & (F.size(F.array_distinct(ids)) == F.size(ids))
+        & lack.isNotNull()
     )
-    return F.when(fine, F.struct(held["answer"].alias("answer"), ids.alias("evidence_ids"), F.coalesce(held["insufficient_evidence"], F.lit(False)).alias("insufficient_evidence")))
+    return F.when(F.coalesce(fine, F.lit(False)), F.struct(answer.alias("answer"), ids.alias("evidence_ids"), lack.alias("insufficient_evidence")))
 
 
 def acceptable(raw: Column, allowed: Column, language: Column) -> Column:
@@ -114,18 +130,75 @@ def first_valid(attempts: Column, allowed: Column, language: Column) -> Column:
     return F.try_element_at(F.filter(F.transform(attempts, lambda a: acceptable(a, allowed, language)), lambda a: a.isNotNull()), F.lit(1))
 
 
+REPAIR = {
+    "ar": "لم يكن الرد السابق صالحا: أعد كائن JSON وحده وفق المخطط، بالعربية، وبمعرفات الأدلة المعطاة.",
+    "en": "The last answer was not valid: give the JSON object of the schema alone, in the language asked for, with the ids given.",
+}
+#: The JSON schema that a generator is asked to keep to.
+ANSWER_JSON_SCHEMA = {
+    "type": "object",
+    "properties": {"answer": {"type": "string", "minLength": 1}, "evidence_ids": {"type": "array", "items": {"type": "string"}}, "insufficient_evidence": {"type": "boolean", "default": False}},
+    "required": ["answer", "evidence_ids"],
+    "additionalProperties": False,
+}
+
+
+def http_client(url: str, model: str, *, timeout: float = 200.0, temperature: float = 0.1, schema: dict | None = None) -> Callable[[], Callable[[str, str], str]]:
+    """A client for a generator's HTTP address: (system, user) to the text it gives. A reply without text is an error."""
+    fixed = {"model": model, "stream": False, "options": {"temperature": temperature}, "format": ANSWER_JSON_SCHEMA if schema is None else schema}
+
+    def make() -> Callable[[str, str], str]:
+        import json
+        from urllib.request import Request, urlopen
+
+        def ask(system: str | None, user: str) -> str:
+            body = fixed | {"prompt": user} | ({"system": system} if system is not None else {})
+            request = Request(f"{url.rstrip('/')}/api/generate", json.dumps(body).encode(), {"Content-Type": "application/json"})
+            with urlopen(request, timeout=timeout) as reply:
+                text = json.load(reply).get("response")
+            if not isinstance(text, str):
+                raise ValueError("the generator gave no text")
+            return text.strip()
+
+        return ask
+
+    return make
+
+
 def generate(prompted: DataFrame, client: Callable[[], Callable[[str, str], str]], attempts: int = 2) -> DataFrame:
-    """Adds raw answers by a generator that ``client`` makes once per task. A retried task asks again, so a client should be idempotent."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompted.select("query_id", "system", "user").schema)
+    """Adds ``attempts``, a question's raw answers up to the first acceptable one, by a generator that ``client`` makes once per task.
+
+    Only questions without an acceptable answer are asked again, with a note. Each round is written before it is used, so that a recomputed
+    plan asks nobody twice; a task that is retried asks its own questions again, so a client should be idempotent.
+    """
+    scratch = Scratch(prompted.sparkSession, "generate")
+    columns = ["query_id", "system", "user", "language", "allowed"]
+    asked = prompted.select("query_id", "system", "user", "language", F.transform("evidence", lambda e: e["evidence_id"]).alias("allowed"))
+    asked = scratch.keep(asked, "questions")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema) + ", raw string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = client()
         for frame in frames:
-            frame["attempts"] = [[ask(s, u if k == 0 else u + "\nThe last answer was not valid; keep to the schema and the evidence ids.") for k in range(attempts)] for s, u in zip(frame["system"], frame["user"])]
+            frame["raw"] = [ask(s, u) for s, u in zip(frame["system"], frame["user"])]
             yield frame
 
-    made = prompted.select("query_id", "system", "user").mapInPandas(run, fields + ", attempts array<string>")
-    return prompted.join(made.select("query_id", "attempts"), "query_id")
+    note = F.concat(F.lit("\n\n"), F.when(F.col("language") == "ar", REPAIR["ar"]).otherwise(REPAIR["en"]))
+    rounds, waiting = [], asked
+    for k in range(attempts):
+        said = scratch.keep(waiting.mapInPandas(run, fields).withColumn("_fine", acceptable(F.col("raw"), F.col("allowed"), F.col("language")).isNotNull()), f"round{k}")
+        rounds.append(said.select("query_id", F.lit(k).alias("k"), "raw"))
+        waiting = said.where(~F.col("_fine")).select(*columns)
+        if waiting.isEmpty():
+            break
+        waiting = waiting if k else waiting.withColumn("user", F.concat("user", note))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("k", "raw"))), lambda x: x["raw"])
+    return prompted.join(reduce(DataFrame.union, rounds).groupBy("query_id").agg(listed.alias("attempts")), "query_id")
+
+
+def grounded_prompt(prompted: DataFrame) -> list[tuple[str, str]]:
+    """(system, user) of the questions of a small batch, as plain strings."""
+    return [(r["system"], r["user"]) for r in prompted.select("system", "user").collect()]
 
 
 def extractive_attempt(evidence: Column, language: Column) -> Column:
@@ -147,7 +220,7 @@ def assemble(gated: DataFrame, prompted: DataFrame, attempts: str = "attempts")
     held = joined.withColumn("_a", F.when(F.col("sufficient"), first_valid(F.col(attempts), ids, F.col("language"))))
     used = F.transform(F.col("_a.evidence_ids"), lambda i: F.try_element_at(F.filter("evidence", lambda e: e["evidence_id"] == i), F.lit(1)))
     held = held.withColumn("_used", F.when(F.col("_a").isNotNull() & ~F.col("_a.insufficient_evidence"), used))
-    whole = F.array_join(F.transform("_used", lambda e: e["quoted_text"]), "\n")
+    whole = F.array_join(F.transform("_used", lambda e: e["quoted_text"]), "\n\n")
     held = held.withColumn("_n", F.when(F.col("_used").isNotNull(), validate_numeric_claims(F.col("query"), F.col("_a.answer"), whole)))
     bad = F.col("_n.unsupported")
     reason = (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -9,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.functions.text import chunk_id
+from citeloom.functions.text import chunk_id, normalized
+from citeloom.operators.index import shared_model
 
 #: Sentence ends, the passage overhead of the word counter, the version in chunk ids.
 SENTENCE_ENDS = "\n.؟!؛;"
@@ -59,25 +61,31 @@ def chunk_words(sections: DataFrame, config: ChunkingConfig = ChunkingConfig(),
 
 
 class Walk:
-    """The general walk over one section for any token counter, in code points of the record's text."""
+    """The general walk over one section for any token counter, in code points of the record's text.
 
-    def __init__(self, passage: Callable[[str], int], content: Callable[[str], int], config: ChunkingConfig):
-        self.passage, self.content, self.config = passage, content, config
+    Tokens are those of the normalised slice, as it is indexed. Counts are taken not to fall as a slice grows, so the search for the end starts near the
+    slice's beginning, and a long section costs no more per chunk than a short one.
+    """
+
+    def __init__(self, passage: Callable[[str], int], content: Callable[[str], int], config: ChunkingConfig, reverse_runs: bool = False):
+        self.config, self.reverse_runs = config, reverse_runs
+        self.passage = lambda text: passage(normalized(text, reverse_runs))
+        self.content = lambda text: content(normalized(text, reverse_runs))
 
-    @staticmethod
-    def _largest(low: int, high: int, fits: Callable[[int], bool]) -> int:
-        """The last position of low..high that bisection finds to fit; low - 1 if none does."""
-        found = low - 1
+    def _end(self, text: str, start: int, stop: int, breaks: list[int]) -> int:
+        fits = lambda e: self.passage(text[start:e]) <= self.config.maximum
+        low, step = start, 256
+        high = min(stop, start + step)
+        while high < stop and fits(high):
+            low, step = high, 2 * step
+            high = min(stop, start + step)
+        hard, low = low, low + 1
         while low <= high:
             middle = (low + high) // 2
             if fits(middle):
-                found, low = middle, middle + 1
+                hard, low = middle, middle + 1
             else:
                 high = middle - 1
-        return found
-
-    def _end(self, text: str, start: int, stop: int, breaks: list[int]) -> int:
-        hard = self._largest(start + 1, stop, lambda e: self.passage(text[start:e]) <= self.config.maximum)
         if hard == start:
             raise ValueError("one character exceeds the token maximum")
         if hard == stop:
@@ -89,10 +97,16 @@ class Walk:
     def _start(self, text: str, first: int, end: int) -> int:
         if not self.config.overlap:
             return end
-        low, high, found = first, end, end
+        fits = lambda a: self.content(text[a:end]) <= self.config.overlap
+        high, step = end, 64
+        low = max(first, end - step)
+        while low > first and fits(low):
+            high, step = low, 2 * step
+            low = max(first, end - step)
+        found = high
         while low <= high:
             middle = (low + high) // 2
-            if self.content(text[middle:end]) <= self.config.overlap:
+            if fits(middle):
                 found, high = middle, middle - 1
             else:
                 low = middle + 1
@@ -100,8 +114,8 @@ class Walk:
             found += 1
         return found
 
-    def spans(self, text: str, start: int, stop: int, breaks: list[int]) -> Iterator[tuple[int, int]]:
-        """Trimmed spans of the section's chunks in turn."""
+    def spans(self, text: str, start: int, stop: int, breaks: list[int]) -> Iterator[tuple[int, int, str, int]]:
+        """Trimmed spans of the section's chunks in turn, with their normalised texts and tokens. Chunks that normalise to nothing are left out."""
         first, at = start, start
         while at < stop:
             end = self._end(text, at, stop, breaks)
@@ -110,8 +124,12 @@ class Walk:
                 a += 1
             while b > a and text[b - 1].isspace():
                 b -= 1
-            if a < b:
-                yield a, b
+            form = normalized(text[a:b], self.reverse_runs)
+            if form:
+                tokens = self.passage(text[a:b])
+                if tokens > self.config.maximum:
+                    raise ValueError(f"a chunk of {tokens} tokens exceeds the maximum of {self.config.maximum}")
+                yield a, b, form, tokens
             if end == stop:
                 return
             at = max(at + 1, self._start(text, first, end))
@@ -122,7 +140,7 @@ def word_counter() -> tuple[Callable[[str], int], Callable[[str], int]]:
 
 
 def tokenizer_counter(path: str, prefix: str = "passage: ") -> Callable[[], tuple[Callable[[str], int], Callable[[str], int]]]:
-    """A counter by a local tokenizer file: with prefix and special tokens, and of the content alone."""
+    """A counter by a local tokenizer file: with prefix and special tokens, and of the content alone. Its name is the file's absolute path."""
 
     def make() -> tuple[Callable[[str], int], Callable[[str], int]]:
         from tokenizers import Tokenizer
@@ -130,29 +148,59 @@ def tokenizer_counter(path: str, prefix: str = "passage: ") -> Callable[[], tupl
         held = Tokenizer.from_file(path)
         return lambda t: len(held.encode(prefix + t).ids), lambda t: len(held.encode(t, add_special_tokens=False).ids)
 
+    make.tokenizer_name = os.path.abspath(path)
     return make
 
 
-def chunk_spans(sections: DataFrame, counter: Callable[[], tuple] = word_counter, config: ChunkingConfig = ChunkingConfig(), text: str = "text") -> DataFrame:
-    """Chunks by any counter: adds chunk_start, chunk_end and token_count; one row per chunk, in order per section.
+def hub_tokenizer_counter(name: str, revision: str, prefix: str = "passage: ") -> Callable[[], tuple[Callable[[str], int], Callable[[str], int]]]:
+    """A counter by a tokenizer of a model hub, at a fixed revision, read once per process. Its name is ``name@revision``."""
+
+    def make() -> tuple[Callable[[str], int], Callable[[str], int]]:
+        from tokenizers import Tokenizer
 
-    ``counter`` is called once per task and gives (passage tokens, content tokens). Needs start_char, end_char and preferred_breaks.
+        held = shared_model(f"{name}@{revision}", lambda: Tokenizer.from_pretrained(name, revision=revision))
+        return lambda t: len(held.encode(prefix + t).ids), lambda t: len(held.encode(t, add_special_tokens=False).ids)
+
+    make.tokenizer_name = f"{name}@{revision}"
+    return make
+
+
+def counter_name(counter: Callable) -> str:
+    """What chunks and reports call a token counter."""
+    return getattr(counter, "tokenizer_name", "words")
+
+
+def chunk_spans(sections: DataFrame, counter: Callable[[], tuple] = word_counter, config: ChunkingConfig = ChunkingConfig(), text: str = "text", reverse_runs: str | None = None, keep_errors: bool = False) -> DataFrame:
+    """Chunks by any counter: adds chunk_start, chunk_end, normalized_chunk and token_count; one row per chunk, in order per section.
+
+    ``counter`` is called once per task and gives (passage tokens, content tokens). Needs start_char, end_char and preferred_breaks. The column
+    ``reverse_runs``, if named, tells records whose Arabic digit runs are stored backwards. With ``keep_errors`` a section that cannot be
+    cut is one row without a span, and its fault in chunk_error; else it ends the job.
     """
     columns = sections.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sections.schema)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         passage, content = counter()
-        walk = Walk(passage, content, config)
+        walks = [Walk(passage, content, config, turned) for turned in (False, True)]
         for frame in frames:
             out = []
             for row in frame.itertuples(index=False, name=None):
                 held = dict(zip(columns, row))
-                for k, (a, b) in enumerate(walk.spans(held[text], held["start_char"], held["end_char"], list(held["preferred_breaks"]))):
-                    out.append((*row, k, a, b, passage(held[text][a:b])))
-            yield pd.DataFrame(out, columns=[*columns, "chunk_in_section", "chunk_start", "chunk_end", "token_count"])
-
-    return sections.mapInPandas(run, fields + ", chunk_in_section int, chunk_start int, chunk_end int, token_count int")
+                walk = walks[bool(reverse_runs and held[reverse_runs])]
+                try:
+                    for k, (a, b, form, tokens) in enumerate(walk.spans(held[text], held["start_char"], held["end_char"], list(held["preferred_breaks"]))):
+                        out.append((*row, k, a, b, form, tokens, None))
+                except ValueError as error:
+                    if not keep_errors:
+                        raise
+                    out.append((*row, None, None, None, None, None, str(error)))
+            made = pd.DataFrame(out, columns=[*columns, *found])
+            yield made.astype({n: "Int32" for n in ("chunk_in_section", "chunk_start", "chunk_end", "token_count")})
+
+    found = ("chunk_in_section", "chunk_start", "chunk_end", "normalized_chunk", "token_count", "chunk_error")
+    made = sections.mapInPandas(run, fields + ", chunk_in_section int, chunk_start int, chunk_end int, normalized_chunk string, token_count int, chunk_error string")
+    return made if keep_errors else made.drop("chunk_error")
 
 
 def locator_range(segments: Column, start: Column, end: Column, record_start: Column, record_end: Column) -> Column:

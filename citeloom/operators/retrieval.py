@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +39,9 @@ def cosine(a: Column, b: Column) -> Column:
 def dense_topk(questions: DataFrame, collection: DataFrame, *, k: int = 20, filters: dict[str, str | None] | None = None, threshold: float | None = None) -> DataFrame:
     """The k nearest chunks of each question (query_id, query_vector): adds score and dense_rank_no; ties by chunk_id.
 
-    The filter reaches the scan; the questions, which are few against the collection, are counted and broadcast; each task keeps k rows
-    per question before the shuffle by question.
+    Both sides are scaled to unit length once. Blocks of the collection meet all questions at once as a matrix product inside Arrow batches, and only
+    rows that can be among a question's k best leave it. The filter reaches the scan; the questions, which are few against the collection, are
+    counted and broadcast; each task keeps k rows per question before the shuffle by question. Vectors without a direction score null and come last.
     """
     blocks = -(-questions.count() // BROADCAST_QUESTIONS)
     if blocks > 1:
@@ -49,12 +53,46 @@ def dense_topk(questions: DataFrame, collection: DataFrame, *, k: int = 20, filt
 
 def _topk_of_block(questions: DataFrame, collection: DataFrame, k: int, filters: dict[str, str | None] | None, threshold: float | None) -> DataFrame:
     kept = collection.where(metadata_filter(filters)) if filters else collection
-    scored = kept.crossJoin(F.broadcast(questions))
-    scored = scored.withColumn("score", cosine(F.col("vector"), F.col("query_vector"))).drop("vector", "query_vector")
+    held = questions.toArrow()  # at most about BROADCAST_QUESTIONS rows
+    asked = kept.sparkSession.sparkContext.broadcast((unit_rows(held.column("query_vector")), held.num_rows))
+    numbered = questions.sparkSession.createDataFrame(held.append_column("_q", pa.array(range(held.num_rows), pa.int32())))
+    least, at = -math.inf if threshold is None else threshold - 1e-9, kept.columns.index("vector")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix, n = asked.value
+        best = np.full((n, 0), 0.0)  # the k best scores that each question has met in this task
+        for batch in batches:
+            found = unit_rows(batch.column(at))
+            for start in range(0, len(found), 4096):
+                some = found[start : start + 4096]
+                width = max(some.shape[1], matrix.shape[1])
+                scores = np.pad(matrix, ((0, 0), (0, width - matrix.shape[1]))) @ np.pad(some, ((0, 0), (0, width - some.shape[1]))).T
+                scores[:, ~some.any(axis=1)] = -2.0  # without a direction: behind all others
+                every = np.concatenate((best, scores), axis=1)
+                best = every if every.shape[1] <= k else -np.partition(-every, k - 1, axis=1)[:, :k]
+                # a little below the k-th best, so that rounding loses no tie
+                bar = np.maximum(best.min(axis=1) - 1e-9, least) if best.shape[1] == k else np.full(n, least)
+                question, row = np.nonzero(scores >= bar[:, None])
+                chosen = batch.slice(start, len(some)).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(question, pa.int32()), *chosen.columns], ["_q", *batch.schema.names])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    near = kept.mapInArrow(score, "_q int, " + fields).join(F.broadcast(numbered), "_q").drop("_q")
+    exact = near.withColumn("score", cosine(F.col("vector"), F.col("query_vector"))).drop("vector", "query_vector")
     if threshold is not None:
-        scored = scored.where(F.col("score") >= threshold)
+        exact = exact.where(F.col("score") >= threshold)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("dense_rank_no", F.row_number().over(order)).where(F.col("dense_rank_no") <= k)
+    return exact.withColumn("dense_rank_no", F.row_number().over(order)).where(F.col("dense_rank_no") <= k)
+
+
+def unit_rows(vectors: pa.Array) -> np.ndarray:
+    """Vectors as rows of unit length, filled up with zeros; a null vector, or one of nothing but zeros, is a row of zeros."""
+    rows = [np.zeros(0) if v is None else np.asarray(v, dtype=np.float64) for v in vectors.to_pylist()]
+    width = max((len(r) for r in rows), default=0)
+    out = np.zeros((len(rows), width))
+    for to, row in zip(out, rows):
+        to[: len(row)] = row
+    return out / np.maximum(np.sqrt((out**2).sum(axis=1, keepdims=True)), 1e-300)
 
 
 def with_text(hits: DataFrame, original: str = "original_text", normalized: str = "normalized_text") -> DataFrame:
@@ -63,6 +101,18 @@ def with_text(hits: DataFrame, original: str = "original_text", normalized: str
     return hits.withColumn("text", first_filled(*parts))
 
 
+def project_hits(hits: DataFrame) -> DataFrame:
+    """A hit's fields as answers use them, from whatever its table holds: chunk_id falls back to the point's id, ``page`` is the first page,
+    fields that the table lacks are null, and the text is what with_text finds. Other columns are passed on."""
+    ids = [F.col(c).cast("string" if c == "point_id" else hits.schema[c].dataType) for c in ("chunk_id", "point_id") if c in hits.columns]
+    out = hits.withColumn("chunk_id", F.coalesce(*ids)) if len(ids) > 1 or "chunk_id" not in hits.columns else hits
+    out = out if "document_id" in hits.columns else out.withColumn("document_id", F.lit(""))
+    for name in ("source_file", "section_type", "section_title", "language", "document_type", "source"):
+        out = out if name in out.columns else out.withColumn(name, F.lit(None).cast("string"))
+    page = F.col("page_start") if "page_start" in hits.columns else F.lit(None).cast("int")
+    return with_text(out if "page" in hits.columns else out.withColumn("page", page))
+
+
 def fallback_texts(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Fills empty texts of hits from a chunk table in which a later row (``seq``) replaces an earlier one."""
     last = Window.partitionBy("chunk_id").orderBy(F.desc("seq"))

@@ -14,6 +14,8 @@ PREFIX = "CITELOOM_"
 class Settings:
     index_path: str = "index"
     generator_url: str = "http://localhost:11434"
+    generation_model: str = "qwen2.5:3b"
+    health_timeout: float = 5.0
     retrieve_top_k: int = 20
     rerank_top_n: int = 6
     evidence_top_n: int = 2
@@ -35,6 +37,8 @@ class Settings:
             "retrieve_top_k must be positive": self.retrieve_top_k > 0,
             "rerank_top_n must be between 1 and retrieve_top_k": 0 < self.rerank_top_n <= self.retrieve_top_k,
             "evidence_top_n must be between 1 and rerank_top_n": 0 < self.evidence_top_n <= self.rerank_top_n,
+            "generation_model must not be blank": bool(self.generation_model.strip()),
+            "health_timeout must be between 0 and 60": 0 < self.health_timeout <= 60,
             "generation_timeout must be positive": self.generation_timeout > 0,
             "generation_retries must be between 0 and 3": 0 <= self.generation_retries <= 3,
             "temperature must be between 0 and 2": 0 <= self.temperature <= 2,
