@@ -1,13 +1,16 @@
 """Document sources: files to validated rows and source records, chunk files, manifests.
 
-PDF text needs a reader given as a function of the bytes; text and Word documents are read with Spark and the standard library.
+Text, Word and PDF documents are read with Spark and the standard library; another PDF reader, and an OCR engine, can be passed in.
 """
 
 from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -15,8 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.functions.text import normalize_text, requires_ocr, resolve_language, text_quality
-from citeloom.operators.structure import LINE_END
+from citeloom.functions.text import language_of, normalize_text, normalized, quality_of, requires_ocr, resolve_language, text_quality
+from citeloom.functions.text import needs_ocr as ocr_needed
+from citeloom.operators.structure import LINES
+from citeloom.sources.pdf import pdf_error, read_pages
 
 SUFFIXES = ("pdf", "docx", "txt")
 SIZE_LIMIT = 100 << 20
@@ -31,13 +36,21 @@ SECTION_TYPES = ("document", "part", "chapter", "section", "article")
 OPTIONAL = ("section_title", "page_start", "page_end")
 
 
-def scan_files(spark: SparkSession, folder: str) -> DataFrame:
-    """The documents of a folder (not of those below it) as bytes: path, source_format, length, content, document_id.
+def scan_files(spark: SparkSession, *inputs: str) -> DataFrame:
+    """Documents as bytes: path, source_format, length, content, document_id; order by path where order matters.
 
+    A folder gives its text, Word and PDF files (not those of folders below); a file that is named itself comes whatever its suffix.
     Spark's file scan passes over files of no bytes."""
-    files = spark.read.format("binaryFile").load(folder)
-    suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    return files.withColumn("source_format", suffix).where(suffix.isin(*SUFFIXES)).withColumn("document_id", F.sha2("content", 256)).drop("modificationTime")
+    system = spark.sparkContext._jvm.org.apache.hadoop.fs
+    files = []
+    for given in inputs:
+        path = system.Path(given)
+        plain = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).isFile(path)
+        rows = spark.read.format("binaryFile").load(given)
+        suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+        rows = rows.withColumn("source_format", suffix)
+        files.append(rows if plain else rows.where(suffix.isin(*SUFFIXES)))
+    return reduce(DataFrame.union, files).withColumn("document_id", F.sha2("content", 256)).drop("modificationTime")
 
 
 def validate(files: DataFrame, limit: int = SIZE_LIMIT) -> DataFrame:
@@ -46,7 +59,7 @@ def validate(files: DataFrame, limit: int = SIZE_LIMIT) -> DataFrame:
         raise ValueError("the size limit must be positive")
     text = F.decode(F.when(F.is_valid_utf8(F.col("content")), F.col("content")), "UTF-8")
     txt = F.when(~F.is_valid_utf8(F.col("content")), "text is not UTF-8").when(text.contains("\0"), "text holds NUL").when(~text.rlike(r"(?U)\S"), "text is blank")
-    pdf = F.when(F.substring("content", 1, 5) != F.lit(b"%PDF-"), "no PDF header")
+    pdf = F.when(F.substring("content", 1, 5) != F.lit(b"%PDF-"), "no PDF header").otherwise(_pdf_error(F.when(F.col("source_format") == "pdf", F.col("content"))))
     common = F.when(~F.col("source_format").isin(*SUFFIXES), "unsupported format").when(F.col("length") == 0, "file is empty").when(F.col("length") > limit, "file is too large")
     docx = _docx_error(F.when(F.col("source_format") == "docx", F.col("content")), F.lit(limit))
     own = F.when(F.col("source_format") == "txt", txt).when(F.col("source_format") == "pdf", pdf).when(F.col("source_format") == "docx", docx)
@@ -58,6 +71,11 @@ def _docx_error(contents: pd.Series, limits: pd.Series) -> pd.Series:
     return pd.Series([None if c is None else docx_error(bytes(c), int(n)) for c, n in zip(contents, limits)], dtype=object)
 
 
+@F.pandas_udf(T.StringType())
+def _pdf_error(contents: pd.Series) -> pd.Series:
+    return pd.Series([None if c is None or bytes(c[:5]) != b"%PDF-" else pdf_error(bytes(c)) for c in contents], dtype=object)
+
+
 def docx_error(content: bytes, limit: int) -> str | None:
     """What is wrong with a Word file: not a zip, parts missing, encrypted members, or too large when unpacked."""
     try:
@@ -102,7 +120,13 @@ def docx_blocks(content: bytes) -> list[tuple[str, str]]:
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("kind", T.StringType())])))
 def _docx_blocks(contents: pd.Series) -> pd.Series:
-    return contents.map(lambda c: None if c is None else [{"text": t, "kind": k} for t, k in docx_blocks(bytes(c))])
+    def blocks(content):
+        try:
+            return None if content is None else [{"text": t, "kind": k} for t, k in docx_blocks(bytes(content))]
+        except (ElementTree.ParseError, zipfile.BadZipFile, KeyError, zlib.error):  # this file's fault alone: no blocks
+            return []
+
+    return contents.map(blocks)
 
 
 def _segments(pieces: Column, kind: Callable[[Column], Column], text: Callable[[Column], Column]) -> Column:
@@ -127,26 +151,27 @@ def _segments(pieces: Column, kind: Callable[[Column], Column], text: Callable[[
 
 
 def _record(frame: DataFrame, method: str, locator: str, expected: str) -> DataFrame:
-    quality = text_quality(F.col("original_text"))
     return (
         frame.withColumn("extraction_method", F.lit(method))
         .withColumn("native_text", F.col("original_text"))
         .withColumn("normalized_text", normalize_text(F.col("original_text")))
-        .withColumn("native_quality", quality)
-        .withColumn("selected_quality", quality)
+        .withColumn("native_quality", text_quality(F.col("original_text")))
+        .withColumn("selected_quality", text_quality(F.col("normalized_text")))
         .withColumn("language", resolve_language(F.col("selected_quality"), expected))
         .withColumn("locator_type", F.lit(locator))
         .withColumn("locator_start", F.lit(1))
         .withColumn("locator_end", F.greatest(F.size("source_segments"), F.lit(1)))
         .withColumn("page_number", F.lit(None).cast("int"))
+        .withColumn("ocr_mean_confidence", F.lit(None).cast("double"))
         .withColumn("error", F.lit(None).cast("string"))
+        .withColumn("native_rtl_digit_correction_applied", F.lit(False))
     )
 
 
 def text_records(files: DataFrame, expected: str = "auto") -> DataFrame:
     """One source record per plain text document; the byte order mark goes, lines are the segments."""
     text = F.regexp_replace(F.decode("content", "UTF-8"), r"^\x{FEFF}", "")
-    lines = F.regexp_extract_all(text, F.lit(rf"(?s)((?:(?!{LINE_END}).)*(?:{LINE_END})|(?:(?!{LINE_END}).)+$)"), F.lit(1))
+    lines = F.regexp_extract_all(text, F.lit(LINES), F.lit(1))
     held = files.where("source_format = 'txt'").select("document_id", F.col("path").alias("source_file"), "source_format", text.alias("original_text"), lines.alias("_l"))
     return _record(held.withColumn("source_segments", _segments(F.col("_l"), lambda p: F.lit("line"), lambda p: p)).drop("_l"), "txt", "line", expected)
 
@@ -159,58 +184,105 @@ def word_records(files: DataFrame, expected: str = "auto") -> DataFrame:
     return _record(held.withColumn("source_segments", _segments(F.col("_b"), lambda p: p["kind"], line)).drop("_b"), "docx", "block", expected)
 
 
-def page_records(files: DataFrame, reader: Callable[[bytes], list[str]], *, page_limit: int | None = None, expected: str = "auto") -> DataFrame:
-    """One record per PDF page: document_id, source_file, page_number, native_text, quality, and whether it needs OCR.
+def rtl_digit_storage(glyphs: list[list[tuple[str, float]]]) -> bool:
+    """Whether more neighbouring Arabic digits of a line run leftwards than rightwards."""
+    digit = lambda c: "\u0660" <= c <= "\u0669" or "\u06f0" <= c <= "\u06f9"
+    steps = [b[1] - a[1] for line in glyphs for a, b in zip(line, line[1:]) if digit(a[0]) and digit(b[0])]
+    return sum(x < 0 for x in steps) > sum(x > 0 for x in steps)
 
-    ``reader`` gives the pages' texts and runs on the executors; a page limit keeps the first pages.
+
+def page_records(files: DataFrame, reader: Callable[[bytes, int | None], list] = read_pages, *, page_limit: int | None = None, expected: str = "auto") -> DataFrame:
+    """One row per PDF page: document_id, source_file, page_number, native_text, rtl_digits, page_error, native_quality, needs_ocr.
+
+    ``reader`` gives the first pages, as texts or as Pages, and runs on the executors. A file that it fails on is one row without
+    a page number, with its error.
     """
     if page_limit is not None and page_limit <= 0:
         raise ValueError("the page limit must be positive")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(d, p, i, t) for d, p, c in frame.itertuples(index=False) for i, t in enumerate(reader(bytes(c))[:page_limit], 1)]
-            yield pd.DataFrame(rows, columns=["document_id", "source_file", "page_number", "native_text"])
-
-    pages = files.where("source_format = 'pdf'").select("document_id", "path", "content").mapInPandas(run, "document_id string, source_file string, page_number int, native_text string")
+            rows = []
+            for document, path, content in frame.itertuples(index=False):
+                try:
+                    pages = reader(bytes(content), page_limit)[:page_limit]
+                except Exception as error:  # one file's failure is a row, not the job's end
+                    rows.append((document, path, None, "", False, f"{type(error).__name__}: {error}"))
+                    continue
+                for number, page in enumerate(pages, 1):
+                    text, glyphs = (page, []) if isinstance(page, str) else (page.text, page.glyphs)
+                    rows.append((document, path, number, text, rtl_digit_storage(glyphs), None))
+            yield pd.DataFrame(rows, columns=["document_id", "source_file", "page_number", "native_text", "rtl_digits", "page_error"]).astype({"page_number": "Int32"})
+
+    fields = "document_id string, source_file string, page_number int, native_text string, rtl_digits boolean, page_error string"
+    pages = files.where("source_format = 'pdf'").select("document_id", "path", "content").mapInPandas(run, fields)
     return pages.withColumn("native_quality", text_quality(F.col("native_text"))).withColumn("needs_ocr", requires_ocr(F.col("native_quality"), expected))
 
 
-def choose_ocr(pages: DataFrame, engine: Callable[[str, int, str], tuple[str, float]], expected: str = "auto") -> DataFrame:
+@dataclass(frozen=True)
+class OcrSettings:
+    """How pages are rendered for an engine and which of its lines count."""
+
+    dpi: int = 220
+    minimum_confidence: float = 0.35
+
+
+def ocr_text(lines: list[tuple[str, float]], settings: OcrSettings = OcrSettings()) -> tuple[str, float | None]:
+    """An engine's lines as text: those of too little confidence and blank ones go; and the mean confidence of the rest."""
+    kept = [(t.strip(), c) for t, c in lines if c >= settings.minimum_confidence and t.strip()]
+    return "\n".join(t for t, _ in kept), sum(c for _, c in kept) / len(kept) if kept else None
+
+
+def line_engine(read: Callable[[str, int, str, int], list[tuple[str, float]]], settings: OcrSettings = OcrSettings()) -> Callable[[str, int, str], tuple[str, float | None]]:
+    """An engine for choose_ocr from a function that reads the lines of (document, page, language) rendered at a resolution."""
+    return lambda document, page, language: ocr_text(read(document, page, language, settings.dpi), settings)
+
+
+def choose_ocr(pages: DataFrame, engine: Callable[[str, int, str], tuple[str, float | None]] | None, expected: str = "auto") -> DataFrame:
     """Reads pages that need OCR: adds original_text, extraction_method, ocr_mean_confidence, error.
 
-    With ``auto`` a document's pages go in order and the language that last won is tried first; a good result ends the search, else the best by script
-    share, confidence and length stands. An engine's failure marks the page and nothing else. ``engine`` is called with
-    the document, the page and the language.
+    With ``auto`` a document's pages go in order. The language of the native text, else the one that last won, is tried first, then the other;
+    the first whose text passes its checks wins. Where neither is known, both are tried and the better one by script share, confidence and length
+    wins of those that pass. An engine's failure, and a text that does not pass, marks the page and nothing else. ``engine`` is called with
+    the document, the page and the language; without one, pages that need it fail.
     """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema) + ", original_text string, extraction_method string, ocr_mean_confidence double, error string"
 
-    def script_share(text: str, language: str) -> float:
-        seen = [c for c in text if not c.isspace()]
-        arabic = sum("؀" <= c <= "ۿ" or "ݐ" <= c <= "ݿ" or "ﭐ" <= c <= "﻿" for c in seen)
-        latin = sum(c.isascii() and c.isalpha() or "À" <= c <= "ɏ" for c in seen)
-        return (arabic if language == "ar" else latin) / max(1, len(seen))
-
     def read(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("page_number").reset_index(drop=True)
-        remembered, out = "ar", []
+        remembered, out = None, []
         for row in frame.itertuples(index=False):
             if not row.needs_ocr:
                 out.append((row.native_text, "native", None, None))
                 continue
-            order = [remembered, "en" if remembered == "ar" else "ar"] if expected == "auto" else [expected]
+
+            def attempt(language: str) -> tuple | None:
+                if engine is None:
+                    raise RuntimeError("no OCR engine")
+                text, confidence = engine(row.document_id, row.page_number, language)
+                quality = quality_of(normalized(text))
+                share = quality["arabic_ratio" if language == "ar" else "latin_ratio"]
+                return None if ocr_needed(quality, language) else (share, confidence or 0.0, quality["character_count"], text, confidence, language)
+
             try:
-                tried = []
-                for language in order:
-                    text, confidence = engine(row.document_id, row.page_number, language)
-                    tried.append((script_share(text, language), confidence, len(text), text, language))
-                    if tried[-1][0] >= 0.20 and len(text.strip()) >= 50:
-                        break
-                best = max(tried)
-                remembered = best[4]
-                out.append((best[3], "ocr", best[1], None))
+                if expected != "auto":
+                    found = [attempt(expected)]
+                else:
+                    native = language_of(quality_of(row.native_text or ""))
+                    first = native if native in ("ar", "en") else remembered
+                    if first:
+                        found = [attempt(first)]
+                        found = found if found[0] else [attempt("en" if first == "ar" else "ar")]
+                    else:
+                        found = [attempt("ar"), attempt("en")]
+                found = [f for f in found if f]
+                if not found:
+                    raise RuntimeError("OCR text failed its quality checks")
+                best = max(found, key=lambda f: f[:3])
+                remembered = best[5]
+                out.append((best[3], "ocr", best[4], None))
             except Exception as error:  # one page's failure is a row, not the job's end
-                out.append(("", "failed", None, str(error)))
+                out.append(("", "failed", None, f"{type(error).__name__}: {error}"))
         frame[["original_text", "extraction_method", "ocr_mean_confidence", "error"]] = pd.DataFrame(out, index=frame.index).values
         frame["ocr_mean_confidence"] = frame["ocr_mean_confidence"].astype(float)
         return frame
@@ -218,6 +290,26 @@ def choose_ocr(pages: DataFrame, engine: Callable[[str, int, str], tuple[str, fl
     return pages.groupBy("document_id").applyInPandas(lambda f: read(f), fields)
 
 
+def pdf_records(files: DataFrame, reader: Callable[[bytes, int | None], list] = read_pages, engine: Callable[[str, int, str], tuple[str, float | None]] | None = None, *, page_limit: int | None = None, expected: str = "auto") -> DataFrame:
+    """One source record per PDF page. Pages of good native text and all others go separate ways, so the engine sees only the latter.
+
+    A file that cannot be read is one record without a page number, of method ``failed``.
+    """
+    pages = page_records(files, reader, page_limit=page_limit, expected=expected)
+    read = choose_ocr(pages.where("page_error IS NULL"), engine, expected)
+    broken = pages.where("page_error IS NOT NULL").select("*", F.lit("").alias("original_text"), F.lit("failed").alias("extraction_method"), F.lit(None).cast("double").alias("ocr_mean_confidence"), F.col("page_error").alias("error"))
+    every = read.unionByName(broken)
+    turned = (F.col("extraction_method") == "native") & F.col("rtl_digits")
+    made = every.withColumn("native_rtl_digit_correction_applied", turned).withColumn("normalized_text", normalize_text(F.col("original_text"), F.col("native_rtl_digit_correction_applied")))
+    made = made.withColumn("selected_quality", text_quality(F.col("normalized_text")))
+    language = F.when(F.col("extraction_method") == "failed", resolve_language(F.col("native_quality"), expected)).otherwise(resolve_language(F.col("selected_quality"), expected))
+    kind = "array<struct<start_char:int,end_char:int,locator_start:int,locator_end:int,kind:string>>"
+    return made.select(
+        "document_id", "source_file", F.lit("pdf").alias("source_format"), "original_text", F.array().cast(kind).alias("source_segments"), "extraction_method", "native_text", "normalized_text", "native_quality", "selected_quality",
+        language.alias("language"), F.lit("page").alias("locator_type"), F.coalesce("page_number", F.lit(1)).alias("locator_start"), F.coalesce("page_number", F.lit(1)).alias("locator_end"), "page_number", "ocr_mean_confidence", "error", "native_rtl_digit_correction_applied",
+    )
+
+
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """Chunk files (``*.chunks.jsonl``), one object a line; a bad line, a missing field or an unknown section type is an error."""
     rows = spark.read.schema(CHUNK_SCHEMA).option("mode", "FAILFAST").option("pathGlobFilter", "*.chunks.jsonl").json(path)
@@ -229,27 +321,21 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("chunk_id", F.coalesce(checked.cast("string"), F.col("chunk_id")))
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Chunks as JSON lines; readers trust only documents that the manifest lists."""
-    chunks.write.mode("append").json(path)
-
-
-def configuration(**parts: object) -> Column:
-    """A fingerprint of everything that changes what ingestion gives."""
-    return F.sha2(F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in sorted(parts.items())])), 256)
-
-
-def idempotency(inputs: DataFrame, manifest: DataFrame) -> DataFrame:
-    """status of each input: new, reprocess, conflict or duplicate, checked in this order: configuration, report, metadata, artifacts.
+def idempotency(inputs: DataFrame, manifest: DataFrame, key: str = "artifact") -> DataFrame:
+    """Adds decision to each input: new, reprocess, conflict or duplicate. In this order: no report: new; another configuration, a report that is not
+    sound or is of another document: reprocess; other metadata: conflict; a missing artifact: reprocess.
 
-    Both sides have document_id, page_limit, configuration and metadata; the manifest also has complete (all artifacts there).
+    Both sides have the key, document_id, configuration and metadata (of any type that compares); the manifest also has sound and
+    complete (all artifacts there).
     """
-    key = (F.col("i.document_id") == F.col("m.document_id")) & F.col("i.page_limit").eqNullSafe(F.col("m.page_limit"))
-    status = (
-        F.when(F.col("m.document_id").isNull(), "new")
-        .when(~F.col("i.configuration").eqNullSafe(F.col("m.configuration")), "reprocess")
-        .when(~F.col("i.metadata").eqNullSafe(F.col("m.metadata")), "conflict")
-        .when(~F.coalesce(F.col("m.complete"), F.lit(False)), "reprocess")
+    kept = manifest.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in ("document_id", "configuration", "metadata", "sound", "complete")])
+    decision = (
+        F.when(F.col("_key").isNull(), "new")
+        .when(~F.coalesce(F.col("_sound"), F.lit(False)) | ~F.col("configuration").eqNullSafe(F.col("_configuration")), "reprocess")
+        .when(~F.col("document_id").eqNullSafe(F.col("_document_id")), "reprocess")
+        .when(~F.col("metadata").eqNullSafe(F.col("_metadata")), "conflict")
+        .when(~F.coalesce(F.col("_complete"), F.lit(False)), "reprocess")
         .otherwise("duplicate")
     )
-    return inputs.alias("i").join(manifest.alias("m"), key, "left").select("i.*", status.alias("status"))
+    joined = inputs.join(kept, inputs[key] == F.col("_key"), "left")
+    return joined.withColumn("decision", decision).select(*inputs.columns, "decision")
