@@ -33,24 +33,6 @@ CLAIMS = [
     (7, "q", "no numbers", ""),
     (8, "q", "3.0 and 3", "3"),
 ]
-ANSWERS = [
-    (1, '{"answer":"The term is set out in the law.","evidence_ids":["E1"],"insufficient_evidence":false}', "en"),
-    (2, '{"answer":"The term.","evidence_ids":["E1","E1"],"insufficient_evidence":false}', "en"),
-    (3, '{"answer":"The term.","evidence_ids":["E9"],"insufficient_evidence":false}', "en"),
-    (4, '{"answer":"See [1].","evidence_ids":["E1"],"insufficient_evidence":false}', "en"),
-    (5, '{"answer":"النص العربي","evidence_ids":["E1"],"insufficient_evidence":false}', "en"),
-    (6, '{"answer":"النص العربي","evidence_ids":["E2"],"insufficient_evidence":false}', "ar"),
-    (7, '{"answer":"No.","evidence_ids":[],"insufficient_evidence":true}', "en"),
-    (8, '{"answer":"No.","evidence_ids":[],"insufficient_evidence":false}', "en"),
-    (9, '{"answer":"x","evidence_ids":["E1"],"insufficient_evidence":false,"more":1}', "en"),
-    (10, "not json", "en"),
-    (11, '{"answer":"","evidence_ids":["E1"],"insufficient_evidence":false}', "en"),
-    (12, '{"answer":"Fine words","evidence_ids":["E2"]}', "en"),
-]
-GLYPHS = [
-    (1, 1, 1, "١", 30.0), (1, 1, 2, "٢", 20.0), (1, 1, 3, "٣", 10.0), (1, 2, 1, "٤", 5.0), (1, 2, 2, "٥", 9.0),
-    (2, 1, 1, "١", 10.0), (2, 1, 2, "٢", 20.0), (2, 1, 3, "a", 25.0), (2, 1, 4, "٣", 5.0), (3, 1, 1, "a", 30.0), (3, 1, 2, "b", 10.0),
-]
 
 
 def frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

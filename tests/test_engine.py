@@ -129,16 +129,138 @@ def test_empty_file_is_an_error(spark):
 
 def test_pages_and_ocr(spark):
     files = spark.createDataFrame([("p1", "pdf", bytearray(b"%PDF-1"), "d1")], "path string, source_format string, content binary, document_id string")
-    pages = documents.page_records(files, lambda content: ["x" * 60, "", "", "late"], page_limit=3, expected="en")
-    assert [r.needs_ocr for r in pages.orderBy("page_number").collect()] == [False, True, True]
+    pages = documents.page_records(files, lambda content, limit: ["x" * 60, "", "", "", "late"], page_limit=4, expected="en")
+    assert [r.needs_ocr for r in pages.orderBy("page_number").collect()] == [False, True, True, True]
 
     def engine(document, page, language):
         if page == 3:
             raise RuntimeError("broken page")
-        return ("m" * 60 if language == "en" else "", 0.9)
+        return ("m" * 60 if language == "en" and page < 4 else "short", 0.9)
 
     read = documents.choose_ocr(pages, engine).orderBy("page_number").collect()
-    assert [r.extraction_method for r in read] == ["native", "ocr", "failed"] and read[2].error == "broken page"
+    assert [r.extraction_method for r in read] == ["native", "ocr", "failed", "failed"] and read[2].error == "RuntimeError: broken page" and "quality" in read[3].error
+    assert documents.ocr_text([("a ", 0.9), ("b", 0.2), (" ", 0.8), ("c", 0.5)]) == ("a\nc", 0.7) and documents.ocr_text([]) == ("", None)
+    assert documents.line_engine(lambda d, p, l, dpi: [(f"{dpi}", 1.0)])("d", 1, "ar") == ("220", 1.0)
+
+
+def make_pdf(pages, extra=b"", compress=True):
+    """A PDF whose pages hold lines of text; a page given as bytes is a content stream itself."""
+    import zlib
+
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Count %d /Kids [%s] >>" % (len(pages), b" ".join(b"%d 0 R" % (4 + 2 * i) for i in range(len(pages)))), b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"]
+    for i, lines in enumerate(pages):
+        content = lines if isinstance(lines, bytes) else b"BT /F1 12 Tf 14 TL 72 700 Td " + b" ".join(b"(" + x.encode("cp1252").replace(b"(", b"\\(").replace(b")", b"\\)") + b") Tj T*" for x in lines) + b" ET"
+        packed = zlib.compress(content) if compress else content
+        objects.append(b"<< /Type /Page /Parent 2 0 R /Resources << /Font << /F1 3 0 R /F2 << /Type /Font /Subtype /Type0 /ToUnicode 99 0 R >> >> >> /Contents %d 0 R >>" % (5 + 2 * i))
+        objects.append(b"<< /Length %d %s >>\nstream\n" % (len(packed), b"/Filter /FlateDecode" if compress else b"") + packed + b"\nendstream")
+    out = b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, o) for i, o in enumerate(objects, 1))
+    return out + extra + b"trailer << /Root 1 0 R /Size %d >>\n%%%%EOF" % (len(objects) + 1)
+
+
+def test_pdf_reader():
+    from citeloom.sources import pdf
+
+    cmap = b"begincodespacerange <0000> <FFFF> endcodespacerange 2 beginbfchar <0001> <0661> <0002> <0662> endbfchar beginbfrange <0010> <0012> <0041> endbfrange"
+    cmap = b"99 0 obj << /Length %d >>\nstream\n%s\nendstream endobj\n" % (len(cmap), cmap)
+    arabic = b"BT /F2 10 Tf 1 0 0 1 300 700 Tm <0001> Tj 1 0 0 1 290 700 Tm <0002> Tj ET BT /F2 10 Tf 1 0 0 1 50 600 Tm [<0010> -300 <00110012>] TJ ET"
+    made = make_pdf([["First line", "sec(on)d caf\xe9"], arabic, b"", b"BT (broken"], extra=cmap)
+    pages = pdf.read_pages(made)
+    assert [p.text for p in pages] == ["First line\nsec(on)d caf\xe9", "\u0661\u0662\nA BC", "", ""]
+    assert documents.rtl_digit_storage(pages[1].glyphs) and not documents.rtl_digit_storage(pages[0].glyphs)
+    assert len(pdf.read_pages(made, 2)) == 2 and pdf.pdf_error(made) is None
+    assert pdf.pdf_error(b"no") == "no PDF header" and pdf.pdf_error(make_pdf([])) == "PDF has no pages" and pdf.pdf_error(b"%PDF-1.4 rubbish") == "PDF has no pages"
+    assert pdf.pdf_error(make_pdf([["x"]]).replace(b"/Root 1 0 R", b"/Root 1 0 R /Encrypt 9 0 R")) == "PDF is encrypted"
+    assert pdf.read_pages(make_pdf([["plain"]], compress=False))[0].text == "plain"
+    rng = random.Random(5)
+    for _ in range(150):  # damaged files give pages or the one error, nothing else
+        damaged = bytearray(made)
+        for _ in range(rng.randint(1, 30)):
+            damaged[rng.randrange(len(damaged))] = rng.randrange(256)
+        assert pdf.pdf_error(bytes(damaged)) is None or isinstance(pdf.pdf_error(bytes(damaged)), str)
+
+
+def test_plain_twins_agree_with_columns(spark):
+    rng = random.Random(2)
+    signs = "aZé ßﬁﬀ\u200f\u0640ـَُ١٢۴٣أإىکي \t\n\r\x0b\x1c\x1f\x85\u2028\xa0\ue000\ufffd\u3000Ａ12.,"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(300)] + ["plain  ascii \n\n x ", ""]
+    rows = spark.createDataFrame([(t, bool(i % 2)) for i, t in enumerate(texts)], "t string, r boolean")
+    found = rows.select("t", "r", text.normalize_text(F.col("t"), F.col("r")).alias("n"), text.text_quality(F.col("t")).alias("q"), text.detect_language(text.text_quality(F.col("t"))).alias("l"), text.requires_ocr(text.text_quality(F.col("t")), "auto").alias("o")).collect()
+    for r in found:
+        assert r.n == text.normalized(r.t, r.r), r.t
+        mine = text.quality_of(r.t)
+        assert all(abs(mine[k] - r.q[k]) < 1e-9 for k in mine), (r.t, mine, r.q)
+        assert text.language_of(mine) == r.l and text.needs_ocr(mine, "auto") == r.o
+
+
+def test_answers_are_parsed_strictly(spark):
+    good = '{"answer": "x", "evidence_ids": ["E1"]%s}'
+    bad = ['{"answer": 5, "evidence_ids": []}', '{"answer": true, "evidence_ids": []}', '{"answer": {"a": 1}, "evidence_ids": []}', good % "" + " more", good % "" + good % "", good % ', "insufficient_evidence": null', good % ', "insufficient_evidence": 2', good % ', "insufficient_evidence": "maybe"', good % ', "k": 1', '{"answer": "", "evidence_ids": []}', '{"answer": "x"}', '{"answer": "x", "evidence_ids": null}', '{"answer": "x", "evidence_ids": [1]}', '{"answer": "x", "evidence_ids": [null]}', '{"answer": "x", "evidence_ids": ["a", "a"]}', "[]", "null", "", "x", None]
+    fine = {good % "": False, " " + good % ', "insufficient_evidence": "YES"' + "\n": True, good % ', "insufficient_evidence": 1': True, good % ', "insufficient_evidence": 0.0': False, good % ', "insufficient_evidence": "off"': False, good % ', "insufficient_evidence": true': True}
+    rows = spark.createDataFrame([(t,) for t in [*bad, *fine]], "t string").select("t", answers.parse_answer(F.col("t")).alias("a")).collect()
+    for r in rows:
+        assert (r.a is None) == (r.t not in fine), r.t
+        assert r.a is None or (r.a.insufficient_evidence == fine[r.t] and r.a.evidence_ids == ["E1"])
+
+
+def test_generator_is_asked_again_only_where_needed(spark, tmp_path):
+    asked = tmp_path / "asked"
+
+    def client():
+        def ask(system, user):
+            with asked.open("a") as out:
+                out.write(user.split()[0] + "\n")
+            fine = user.startswith("one") or "not valid" in user
+            return '{"answer": "words", "evidence_ids": ["E1"]}' if fine and not user.startswith("three") else "rubbish"
+
+        return ask
+
+    rows = spark.createDataFrame([(1, "s", "one", "en"), (2, "s", "two", "en"), (3, "s", "three", "en")], "query_id int, system string, user string, language string")
+    rows = rows.withColumn("evidence", F.array(F.struct(F.lit("E1").alias("evidence_id"), F.lit("t").alias("quoted_text"))))
+    found = {r.query_id: r.attempts for r in answers.generate(rows, client, 3).collect()}
+    assert [len(found[i]) for i in (1, 2, 3)] == [1, 2, 3] and found[2][0] == "rubbish" and "words" in found[2][1]
+    assert sorted(asked.read_text().split()) == ["one"] + ["three"] * 3 + ["two"] * 2
+
+
+def test_http_client():
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append((self.path, json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            reply = json.dumps({"response": " text "} if len(seen) == 1 else {"other": 1}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(reply)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    ask = answers.http_client(f"http://127.0.0.1:{server.server_port}/", "m", temperature=0.2)()
+    assert ask("sys", "user") == "text"
+    assert seen[0][0] == "/api/generate" and seen[0][1] == {"model": "m", "prompt": "user", "system": "sys", "stream": False, "options": {"temperature": 0.2}, "format": answers.ANSWER_JSON_SCHEMA}
+    with pytest.raises(ValueError):
+        ask("sys", "user")
+    server.shutdown()
+
+
+def test_chunks_count_tokens_of_the_normalised_text(spark):
+    config = chunking.ChunkingConfig(30, 5, 36)
+    # signs that normalise to nothing are no words
+    source = " ".join(["ab", "\u200f\u200f", "cd"] * 40)
+    found = list(chunking.Walk(*chunking.word_counter(), config).spans(source, 0, len(source), []))
+    for a, b, form, tokens in found:
+        assert form == text.normalized(source[a:b]) and tokens == len(form.split()) + 3 <= 36
+    assert max(len(source[a:b].split()) for a, b, *_ in found) > 33 and found[0][0] == 0 and found[-1][1] == len(source)
+    turned = list(chunking.Walk(*chunking.word_counter(), config, True).spans("رقم ١٢٣", 0, 7, []))
+    assert turned[0][2].endswith("٣٢١")
+    with pytest.raises(ValueError, match="one character"):
+        list(chunking.Walk(lambda t: 99, lambda t: 99, config).spans("abc", 0, 3, []))
 
 
 def test_chunk_files(spark, tmp_path):
@@ -163,6 +285,23 @@ def test_vector_table_and_stream(spark, tmp_path):
     table.upsert(rows([("a", 1), ("b", 1)]))
     table.upsert(rows([("b", 2), ("b", 3), ("c", 2)]), order=F.col("v"))
     assert sorted((r.chunk_id, r.v) for r in table.read().collect()) == [("a", 1), ("b", 3), ("c", 2)]
+    at = table.version()
+    assert table.upsert(rows([])) == at
+    table.upsert(rows([("d", 1), ("d", 2), ("a", 5)]).coalesce(1))
+    assert sorted((r.chunk_id, r.v) for r in table.read().collect()) == [("a", 5), ("b", 3), ("c", 2), ("d", 2)]
+    before, after = (set(table._load(n)["folders"].items()) for n in (at, at + 1))
+    assert len(after - before) <= 2 and table.vacuum(1) >= 1 and table.read().count() == 4
+    with pytest.raises(ValueError, match="dimension 4"):
+        index.VectorTable(spark, str(tmp_path / "t"), 8).create()
+    # a writer that comes second starts again from what the first has written
+    late, stored = index.VectorTable(spark, str(tmp_path / "t"), 4), index.VectorTable._store
+    def overtaken(self, number, held):
+        index.VectorTable._store = stored
+        index.VectorTable(spark, str(tmp_path / "t"), 4).upsert(rows([("e", 1)]))
+        return stored(self, number, held)
+    index.VectorTable._store = overtaken
+    late.upsert(rows([("f", 1)]))
+    assert sorted(r.chunk_id for r in late.read().collect()) == ["a", "b", "c", "d", "e", "f"]
     with pytest.raises(Exception, match="dimension"):
         table.upsert(spark.createDataFrame([("z", 1)], "chunk_id string, v int").withColumn("vector", F.array(F.lit(1.0))))
     folder = tmp_path / "in"
@@ -213,12 +352,73 @@ def test_console(spark, tmp_path, monkeypatch, capsys):
     (folder / "b.txt").write_bytes(b"\xff\xfe")
     monkeypatch.setenv("CITELOOM_INDEX_PATH", str(tmp_path / "index"))
     monkeypatch.setenv("CITELOOM_GENERATOR_URL", "http://127.0.0.1:9")
-    assert cli.main(["ingest", str(folder), "--records", str(tmp_path / "records")]) == 1
-    assert "indexed" in capsys.readouterr().out
+    out = str(tmp_path / "out")
+    assert cli.main(["ingest", str(folder), "--output", out]) == 1
+    said = capsys.readouterr().out
+    assert "processed" in said and "text is not UTF-8" in said and "1 failed" in said
+    assert cli.main(["ingest", str(folder / "a.txt"), "--output", out]) == 0 and "duplicate" in capsys.readouterr().out
+    assert cli.main(["ingest", str(folder / "a.txt"), "--output", out, "--source", "other"]) == 1 and "other metadata" in capsys.readouterr().out
+    assert cli.main(["ingest", str(folder), "--output", out, "--pages", "0"]) == 2
     assert cli.main(["ask", "Article 7 Terms The term of notice is two months for every lease.", "--language", "en"]) == 0
     said = capsys.readouterr().out
     assert "[1]" in said and "Article 7" in said
-    assert cli.main(["health"]) == 1 and "version 1" in capsys.readouterr().out
+    assert cli.main(["health"]) == 1 and "failed generator" in capsys.readouterr().out
+    monkeypatch.setenv("CITELOOM_GENERATOR_URL", "ftp://x")
+    assert cli.main(["health"]) == 2 and "configuration error" in capsys.readouterr().out
+
+
+def test_ingestion_finishes(spark, tmp_path):
+    from citeloom.plans import ingestion
+
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    (folder / "a.txt").write_text("Article 1 Scope\nplain words here\n" + "more words of the law. " * 300)
+    (folder / "same.txt").write_text((folder / "a.txt").read_text())
+    (folder / "b.docx").write_bytes(docx(["First", ("x", "y"), "Last"]))
+    (folder / "empty.docx").write_bytes(docx([]))
+    (folder / "c.pdf").write_bytes(make_pdf([["Article 2 Terms of the pages that hold enough letters to be read", "and a second line"], b"", ["third page with enough letters in it to be taken as it is, surely"]]))
+    (folder / "d.pdf").write_bytes(b"%PDF-1.4 nothing")
+    wide = ingestion.Ingestion(expected_language="en")
+    run = lambda asked=wide: {r.path.rsplit("/", 1)[1]: r for r in ingestion.ingest(spark, str(folder), out, asked).collect()}
+    first = run()
+    assert {k: r.status for k, r in first.items()} == {"a.txt": "processed", "same.txt": "processed", "b.docx": "processed", "empty.docx": "failed", "c.pdf": "processed", "d.pdf": "failed"}
+    assert (first["c.pdf"].processed_records, first["c.pdf"].direct_records, first["c.pdf"].ocr_records, first["c.pdf"].failed_records, first["c.pdf"].chunks) == (3, 2, 0, 1, 2)
+    assert first["d.pdf"].error == "PDF has no pages" and "no text" in first["empty.docx"].error and first["a.txt"].chunks > 2
+    chunks = ingestion.stored_chunks(spark, out).collect()
+    assert len(chunks) == sum(first[k].chunks for k in ("a.txt", "b.docx", "c.pdf"))
+    by = {}
+    for c in chunks:
+        by.setdefault(c.document_id, []).append(c)
+    assert all(sorted(c.chunk_index for c in held) == list(range(len(held))) for held in by.values())
+    paged = [c for c in chunks if c.source_format == "pdf"]
+    assert {(c.page_start, c.section_type, c.section_title) for c in paged} == {(1, "article", "Article 2"), (3, "article", "Article 2")}
+    assert documents.read_chunks  # the contract's fields are all there
+    missing = [f.name for f in spark.createDataFrame([], documents.CHUNK_SCHEMA).schema if all(c[f.name] is None for c in chunks)]
+    assert missing == []
+    again = run()
+    assert {r.status for k, r in again.items() if k not in ("empty.docx", "d.pdf")} == {"duplicate"} and again["c.pdf"].chunks == 2 and again["c.pdf"].failed_records == 1
+    assert len(ingestion.stored_chunks(spark, out).collect()) == len(chunks)
+    assert run(ingestion.Ingestion(expected_language="en", source="other"))["a.txt"].status == "failed"
+    # a lost artifact, and a broken report, are made anew
+    import shutil
+
+    name = first["a.txt"].artifact
+    shutil.rmtree(f"{out}/chunks/artifact={name}")
+    report = next(p for p in (tmp_path / "out" / "reports" / f"artifact={first['c.pdf'].artifact}").glob("*.json"))
+    report.write_text("{ broken\n")
+    [p.unlink() for p in report.parent.glob(".*.crc")]
+    third = run()
+    assert (third["a.txt"].status, third["b.docx"].status, third["c.pdf"].status) == ("processed", "duplicate", "processed")
+    assert len(ingestion.stored_chunks(spark, out).collect()) == len(chunks)
+    narrow = ingestion.Ingestion(expected_language="en", limits=chunking.ChunkingConfig(100, 10, 120))
+    assert run(narrow)["a.txt"].chunks > first["a.txt"].chunks
+    with pytest.raises(ValueError, match="PDF files only"):
+        ingestion.ingest(spark, str(folder / "a.txt"), out, ingestion.Ingestion(page_limit=1))
+    limited = ingestion.ingest(spark, str(folder / "c.pdf"), out, ingestion.Ingestion(page_limit=1)).first()
+    assert limited.artifact.endswith("-first-1") and limited.processed_records == 1
+    for bad in ({"page_limit": 0}, {"document_version": 0}, {"source": " "}, {"expected_language": "fr"}):
+        with pytest.raises(ValueError):
+            ingestion.Ingestion(**bad)
 
 
 def test_questions_in_blocks(spark, monkeypatch):
