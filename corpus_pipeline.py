@@ -1,4 +1,10 @@
-"""Corpus pipeline: quality filter, toxicity filter, near-duplicate removal, source mixing, packing."""
+"""Corpus pipeline: quality filter, toxicity filter, near-duplicate removal, source mixing, packing.
+
+Each stage takes the documents that the one before has kept and returns them with the columns of documents; packing returns pieces.
+Null and empty texts are documents like others: they are scored, and all of them but one go as near-duplicates. Null ids are kept, as rows of
+their own. Repeated rows go but one, and come back as often as the mix takes the one that stays. An empty table gives an empty table at every
+stage. Columns of any other name pass through all stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +21,7 @@ STAGES = [
     ("packing", stages.packing),
 ]
 
-#: Model training, fingerprints and iterations are beyond SQL; tests hold the run against a brute-force version.
+#: Model training, fingerprints and iterations are beyond SQL; tests hold each stage against a plain version of what it decides.
 ORACLE_SQL = None
 
 
