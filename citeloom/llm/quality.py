@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm.labelled import held_out, kept_by_score, labelled_sample, with_scores
+from citeloom.session import Scratch
 
 BITS = 15
 FACTORS = 8
-#: Labelled rows per class that the model is fitted on, at most.
-MOST_PER_CLASS = 6000
+#: Labelled rows per class that the model is fitted on, at most, and their features in all.
+MOST_PER_CLASS, MOST_FEATURES = 6000, 8 << 20
 #: The character classes that the statistics count.
 UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 SYMBOLS, DIGITS, MARKS = b"#*$%&|<>", b"0123456789", b"!?"
@@ -142,7 +143,9 @@ class FactorisationMachine:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", meta: tuple[str, ...] = ("n_chars",), folds: int = 3, kept_out: int = 1, most_per_class: int = MOST_PER_CLASS) -> FactorisationMachine:
-    """Fits on the labelled rows outside the held-out fold: at most ``most_per_class`` of each class."""
+    """Fits on the labelled rows outside the held-out fold: at most ``most_per_class`` of each class, with at most MOST_FEATURES features,
+    in the order of a hash of the features. What reaches the driver is bounded by that, whatever the texts' lengths."""
+    scratch = Scratch(docs.sparkSession, "quality")
     sample, share = labelled_sample(docs, labels, label, folds=folds, kept_out=kept_out, most_per_class=most_per_class, extra=list(meta))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +161,17 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", meta: t
                 ["idx", "value", "y"],
             )
 
-    rows = sample.mapInArrow(encode, "idx array<int>, value double, y int").toArrow()
+    encoded = sample.mapInArrow(encode, "idx array<int>, value double, y int").withColumn("h", F.xxhash64("idx")).withColumn("no", F.monotonically_increasing_id())
+    encoded = scratch.keep(encoded, "encoded")
+    chosen = F.lit(False)
+    for cls in (0, 1):
+        # at most most_per_class rows of three numbers
+        keys = encoded.where(F.col("y") == cls).orderBy("h", "no").select("h", "no", F.size("idx").alias("size")).limit(most_per_class).collect()
+        within = [k for k, total in zip(keys, np.cumsum([k["size"] for k in keys])) if total <= MOST_FEATURES]
+        if within:
+            chosen = chosen | ((F.col("y") == cls) & ((F.col("h") < within[-1]["h"]) | ((F.col("h") == within[-1]["h"]) & (F.col("no") <= within[-1]["no"]))))
+    rows = scratch.again(encoded).where(chosen).select("idx", "value", "y").toArrow()
+    scratch.drop(encoded)
     model = FactorisationMachine()
     y = rows.column("y").to_numpy().astype(float)
     model.bias = math.log(max(share[1], 1e-3) / max(share[0], 1e-3)) if share[1] + share[0] else 0.0
