@@ -112,7 +112,8 @@ def solve_rates(scratch: Scratch, pairs: DataFrame, wanted: DataFrame, most: flo
         worst = state.agg(F.max("gap")).first()[0]
         if worst is None or worst <= tolerance:
             break
-    return state
+    # sums of doubles depend on the order of tasks; what follows must not
+    return state.withColumn("lam", F.round("lam", 9))
 
 
 def _threshold(scratch: Scratch, rows: DataFrame, solved: DataFrame, most: float, few: bool) -> DataFrame:
