@@ -1,4 +1,7 @@
-"""Stages of the corpus pipeline; each calls one operator and, but for the last, returns the columns of documents."""
+"""Stages of the corpus pipeline; each calls one operator and, but for the last, returns the columns of documents.
+
+Nulls, empty texts, repeated rows, empty tables and further columns are treated as corpus_pipeline states.
+"""
 
 from __future__ import annotations
 
