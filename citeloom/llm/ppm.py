@@ -30,8 +30,6 @@ often as they occur. Other columns are ignored.
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,45 +90,64 @@ def context_keys(found: np.ndarray, word: np.ndarray, place: np.ndarray) -> list
 
 
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys, sorted, and the sum of each one's numbers."""
+    """The distinct keys, sorted, and the sum of each one's numbers. Keys that come in sorted runs are merged."""
     if not len(keys):
         return keys, n
-    order = np.argsort(keys)
-    keys, n = keys[order], n[order]
+    if (keys[1:] < keys[:-1]).any():
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
     start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     return keys[start], np.add.reduceat(n, start)
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Numbers, compressed with like bytes side by side."""
+    import zstandard
+
+    return zstandard.compress(np.ascontiguousarray(values.reshape(-1).view(np.uint8).reshape(-1, values.itemsize).T).tobytes(), 1)
+
+
+def spread(held: bytes, kind: type) -> np.ndarray:
+    import zstandard
+
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(held), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
 def _packed(keys: np.ndarray) -> bytes:
-    return zlib.compress(np.diff(keys, prepend=0).tobytes(), 1)
+    return squeezed(np.diff(keys, prepend=0))
 
 
 def _unpacked(held: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(held), np.int64))
+    return np.cumsum(spread(held, np.int64))
 
 
 def edges(found: np.ndarray, keys: list[np.ndarray], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(context, suffix, symbol, count) of the trie that these coded symbols make; the empty context's suffix is -1."""
-    held = [[], [], [], []]
-    for level, key in enumerate(keys):
-        at = np.flatnonzero((key >= 0) & (weight > 0))
-        unique, number = np.unique(key[at], return_inverse=True)
-        both, first, place = np.unique(number * 512 + found[at], return_index=True, return_inverse=True)
-        held[0].append(unique[both >> 9])
-        held[1].append(keys[level - 1][at[first]] if level else np.full(len(both), -1))
-        held[2].append(both & 511)
-        held[3].append(np.bincount(place, weight[at], len(both)).astype(np.int64))
-    return tuple(np.concatenate(h) for h in held)
+    """(context, suffix, symbol, count) of the trie that these coded symbols make, sorted by context and symbol; the empty context's suffix is -1.
+
+    Each order is counted from the entries of the order above, which are fewer than the symbols.
+    """
+    at = weight > 0
+    both, n = (keys[-1][at] << 9) | found[at], weight[at].astype(np.int64)
+    held = []
+    for level in range(len(keys) - 1, -1, -1):
+        both, n = summed(both, n)
+        context, symbol = both >> 9, both & 511
+        # the oldest byte stands lowest and goes
+        suffix = ((context & ((1 << 40) - 1)) >> 8) | ((level - 1) << 40) if level else np.full(len(both), -1)
+        held.append((context, suffix, symbol, n))
+        both = (suffix << 9) | symbol
+    return tuple(np.concatenate(h) for h in zip(*reversed(held)))
 
 
 class Trie:
     """The nodes that a block of words needs, with all of their suffixes."""
 
     def __init__(self, context: np.ndarray, suffix: np.ndarray, symbol: np.ndarray, count: np.ndarray):
-        order = np.lexsort((symbol, context))
-        context, suffix, symbol, count = context[order], suffix[order], symbol[order], count[order]
-        self.nodes, start = np.unique(context, return_index=True)
-        node = np.searchsorted(self.nodes, context)
+        """The entries come sorted by context and symbol, as ``edges`` gives them."""
+        first = np.concatenate(([True], context[1:] != context[:-1])) if len(context) else np.zeros(0, bool)
+        start = np.flatnonzero(first)
+        self.nodes = context[start]
+        node = np.cumsum(first) - 1
         self.edge = node * 512 + symbol
         self.weight = 2.0 * count - 1
         self.total = np.add.reduceat(self.weight, start) if len(start) else np.array([])
@@ -173,29 +190,33 @@ class Trie:
         return logp
 
 
-def _shrunk(values: np.ndarray) -> bytes:
-    """Values of four bytes, compressed with like bytes side by side."""
-    return zlib.compress(np.ascontiguousarray(values.reshape(-1).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+#: Scores travel as whole steps below nought.
+STEP = float(1 << 16)
 
 
-def _grown(held: bytes, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(held), np.uint8).reshape(4, -1).T).view(kind).reshape(-1)
+def stepped(log_p: np.ndarray) -> np.ndarray:
+    return np.minimum(np.round(-log_p * STEP), (1 << 31) - 1).astype(np.int32)
 
 
-def mixture(log_p: np.ndarray, tokens: np.ndarray, prior: np.ndarray, strength: float) -> float:
-    """log10 of the mixture over classes of an adaptive document's probability; ``log_p`` has a row per token, in order."""
+def mixture(log_p: np.ndarray, tokens: np.ndarray, starts: np.ndarray, prior: np.ndarray, strength: float) -> np.ndarray:
+    """log10 of the mixture over classes of each adaptive document's probability. ``log_p`` has a row per token, in order; a document's
+    tokens begin at its start."""
     n = len(tokens)
-    order = np.argsort(tokens, kind="stable")
-    held = tokens[order]
-    at = np.arange(n)
+    lengths = np.diff(starts, append=n)
+    document = np.repeat(np.arange(len(starts)), lengths)
+    at = np.arange(n) - np.repeat(starts, lengths)
+    # how often the document has held the token before
+    both = document * (int(tokens.max(initial=0)) + 1) + tokens
+    order = np.argsort(both, kind="stable")
+    held, place = both[order], np.arange(n)
     before = np.empty(n)
-    before[order] = at - np.maximum.accumulate(np.where(np.concatenate(([True], held[1:] != held[:-1])), at, 0))
+    before[order] = place - np.maximum.accumulate(np.where(np.concatenate(([True], held[1:] != held[:-1])), place, 0))
     each = log_p + np.log10(strength)
     again = before > 0
     each[again] = np.log10(strength * 10.0 ** np.maximum(log_p[again], -300) + before[again, None])
-    whole = each.sum(axis=0) - np.log10(strength + at).sum() + prior
-    top = whole.max()
-    return float(top + np.log10((10.0 ** (whole - top)).sum()))
+    whole = np.add.reduceat(each, starts, axis=0) - np.add.reduceat(np.log10(strength + at), starts)[:, None] + prior
+    top = whole.max(axis=1)
+    return top + np.log10((10.0 ** (whole - top[:, None])).sum(axis=1))
 
 
 def _bags(docs: DataFrame, classes: int) -> DataFrame:
@@ -206,33 +227,47 @@ def _bags(docs: DataFrame, classes: int) -> DataFrame:
 
         part, block, size = TaskContext.get().partitionId() << 24, 0, 0
         number: dict[bytes, int] = {}
-        trained: Counter = Counter()
+        trained = np.zeros(0, np.int64)
         ends = [0] * classes
         waiting: list[bytes] = []
         codes: list[int] = []
+        sizes: list[int] = []
+        learned: list[np.ndarray] = []
         open_bytes = 0
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def fold() -> None:
-            """Counts the grams of the waiting words."""
-            nonlocal open_bytes
+            """Counts the grams of the waiting words, and the words to learn from."""
+            nonlocal open_bytes, trained
+            if learned:
+                more = np.bincount(np.concatenate(learned), minlength=len(trained))
+                more[: len(trained)] += trained
+                trained = more
+                learned.clear()
             if waiting:
-                found, word, place = symbols(waiting)
+                found, _, place = symbols(waiting)
                 gram = grams(found, place)
-                held.append(np.unique((gram << 4) | np.array(codes, np.int64)[word], return_counts=True))
+                held.append(np.unique((gram << 4) | np.repeat(np.repeat(np.array(codes, np.int64), sizes), np.diff(np.flatnonzero(place == 0), append=len(place))), return_counts=True))
                 if sum(len(k) for k, _ in held) > 8 * CHUNK:
                     held[:] = [summed(*map(np.concatenate, zip(*held)))]
             waiting.clear()
             codes.clear()
+            sizes.clear()
             open_bytes = 0
 
+        def numbers(words: list[bytes]) -> np.ndarray:
+            for w in set(words).difference(number):
+                number[w] = len(number)
+            return np.fromiter(map(number.__getitem__, words), np.int32, len(words))
+
         def out() -> Iterator[pa.RecordBatch]:
-            nonlocal block, size
+            nonlocal block, size, trained
             fold()
+            trained = np.pad(trained, (0, len(number) - len(trained)))
             words = list(number)
             for at in range(0, len(words), 50_000):
                 some = words[at : at + 50_000]
-                counts = pa.array([trained[w] for w in some], pa.int64())
+                counts = pa.array(trained[at : at + 50_000])
                 last = pa.array([None if w else list(ends) for w in some], pa.list_(pa.int64()))
                 yield _rows(len(some), kind=1, block=part + block, number=pa.array(range(at, at + len(some)), pa.int32()), word=pa.array(some, pa.binary()), count=counts, ends=last)
             if held:
@@ -242,11 +277,11 @@ def _bags(docs: DataFrame, classes: int) -> DataFrame:
                 keys, n, bucket = keys[order], n[order], bucket[order]
                 names, start = np.unique(bucket, return_index=True)
                 edge = [*start.tolist(), len(keys)]
-                blobs = [(_packed(keys[i:j]), zlib.compress(n[i:j].astype(np.int32).tobytes(), 1)) for i, j in zip(edge, edge[1:])]
+                blobs = [(_packed(keys[i:j]), squeezed(n[i:j].astype(np.int32))) for i, j in zip(edge, edge[1:])]
                 yield _rows(len(names), kind=2, block=part + block, bucket=pa.array(names.astype(np.int32)), grams=pa.array([b[0] for b in blobs], pa.binary()), n=pa.array([b[1] for b in blobs], pa.binary()))
             number.clear()
             held.clear()
-            trained.clear()
+            trained = np.zeros(0, np.int64)
             ends[:] = [0] * classes
             block, size = block + 1, 0
 
@@ -256,12 +291,14 @@ def _bags(docs: DataFrame, classes: int) -> DataFrame:
                 content = text.as_py() or ""
                 words = content.encode().lower().split()
                 words.append(b"")
+                order = numbers(words)
                 if train.as_py():
-                    trained.update(words)
+                    learned.append(order)
                     ends[cls.as_py()] += 1
                 waiting += words
-                codes += [cls.as_py() if train.as_py() else OUT] * len(words)
-                orders.append(_shrunk(np.array([number.setdefault(w, len(number)) for w in words], np.int32)))
+                codes.append(cls.as_py() if train.as_py() else OUT)
+                sizes.append(len(words))
+                orders.append(squeezed(order))
                 ids.append(doc.as_py())
                 totals.append(len(words))
                 blocks.append(part + block)
@@ -311,7 +348,7 @@ def _short_contexts(counted: DataFrame) -> list[tuple[np.ndarray, ...]]:
         for batch in batches:
             for held, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 key = _unpacked(held)
-                key, count = key[(key & 15) != OUT], np.frombuffer(zlib.decompress(counts), np.int32)[(key & 15) != OUT]
+                key, count = key[(key & 15) != OUT], spread(counts, np.int32)[(key & 15) != OUT]
                 # last LOW bytes, symbol, class
                 short = ((key >> (cut + 8)) << 12) | (key & 0xFFF)
                 keys, n = summed(np.concatenate((keys, short)), np.concatenate((n, count)))
@@ -332,28 +369,28 @@ def _score_grams(counted: DataFrame, short, classes: int, groups: int) -> DataFr
 
     def run(table: pa.Table) -> pa.Table:
         held = [_unpacked(g) for g in table.column("grams").to_pylist()]
-        n = np.concatenate([np.frombuffer(zlib.decompress(c), np.int32) for c in table.column("n").to_pylist()]).astype(np.int64)
+        n = np.concatenate([spread(c, np.int32) for c in table.column("n").to_pylist()]).astype(np.int64)
         key = np.concatenate(held)
         gram, code = key >> 4, key & 15
         every = np.unique(gram)
         needed = np.unique(np.concatenate(levels(every)[: LOW + 1]))
-        log_p = np.zeros((len(every), classes), np.float32)
+        log_p = np.zeros((len(every), classes), np.int32)
         for cls in range(classes):
             mine, count = summed(gram[code == cls], n[code == cls])
             long = edges(mine & 255, levels(mine), count)
             longer = long[0] >> 40 > LOW
             low = short.value[cls]
             wanted = np.isin(low[0], needed)
-            trie = Trie(*(np.concatenate((a[longer], b[wanted])) for a, b in zip(long, low)))
+            trie = Trie(*(np.concatenate((b[wanted], a[longer])) for a, b in zip(long, low)))
             for at in range(0, len(every), 400_000):
                 some = every[at : at + 400_000]
-                log_p[at : at + 400_000, cls] = trie.score(some & 255, levels(some))
+                log_p[at : at + 400_000, cls] = stepped(trie.score(some & 255, levels(some)))
         mine = [np.unique(k >> 4) for k in held]
         return pa.table(
             {
                 "block": table.column("block"),
                 "grams": pa.array([_packed(g) for g in mine], pa.binary()),
-                "log_p": pa.array([_shrunk(log_p[np.searchsorted(every, g)]) for g in mine], pa.binary()),
+                "log_p": pa.array([squeezed(log_p[np.searchsorted(every, g)].T.copy()) for g in mine], pa.binary()),
             }
         )
 
@@ -426,11 +463,12 @@ def score_documents(
         number = counts.column("number").to_numpy()
         count[number] = counts.column("count").to_numpy()
         words = [b""] * counts.num_rows
-        for i, w in zip(number.tolist(), counts.column("word")):
-            words[i] = w.as_py()
+        for i, w in zip(number.tolist(), counts.column("word").to_pylist()):
+            words[i] = w
         base = np.log10(count + 1.0) - floor
         keys = np.concatenate([_unpacked(g.as_py()) for g in gram_rows.column("grams")])
-        log_p = np.concatenate([_grown(v.as_py(), np.float32).reshape(-1, classes) for v in gram_rows.column("log_p")])
+        log_p = np.concatenate([spread(v.as_py(), np.int32).reshape(classes, -1).T for v in gram_rows.column("log_p")])
+        log_p = (log_p * (-1 / STEP)).astype(np.float32)
         scores = Scores(keys, log_p)
         known, bases, out = [], [], []
         waiting: list[bytes] = []
@@ -439,23 +477,21 @@ def score_documents(
         def fold() -> None:
             if not orders:
                 return
-            found, word, place = symbols(waiting)
+            found, _, place = symbols(waiting)
             by_word = np.add.reduceat(scores(grams(found, place)), np.flatnonzero(place == 0), axis=0, dtype=np.float64)
-            at = 0
-            for index in orders:
-                known.append(int((count[index] > 0).sum()))
-                bases.append(float(base[index].sum()))
-                out.append(mixture(by_word[at : at + len(index)], index, prior, strength))
-                at += len(index)
+            index = np.concatenate(orders)
+            starts = np.concatenate(([0], np.cumsum([len(o) for o in orders])[:-1]))
+            known.append(np.add.reduceat((count[index] > 0).astype(np.int64), starts))
+            bases.append(np.add.reduceat(base[index], starts))
+            out.append(mixture(by_word, index, starts, prior, strength))
             waiting.clear()
             orders.clear()
 
         size = 0
-        for order in left.column("tokens"):
-            orders.append(_grown(order.as_py(), np.int32))
-            some = [words[i] for i in orders[-1].tolist()]
-            waiting += some
-            size += sum(map(len, some)) + len(some)
+        for order in left.column("tokens").to_pylist():
+            orders.append(spread(order, np.int32))
+            waiting.extend(map(words.__getitem__, orders[-1].tolist()))
+            size += 6 * len(orders[-1])
             if size > CHUNK:
                 fold()
                 size = 0
@@ -464,9 +500,9 @@ def score_documents(
             {
                 "doc_id": left.column("doc_id"),
                 "n_tokens": left.column("n_tokens"),
-                "n_known": pa.array(known, pa.int64()),
-                "base_score": pa.array(bases, pa.float64()),
-                "score": pa.array(out, pa.float64()),
+                "n_known": pa.array(np.concatenate(known)),
+                "base_score": pa.array(np.concatenate(bases)),
+                "score": pa.array(np.concatenate(out)),
             }
         )
 
