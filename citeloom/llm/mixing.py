@@ -37,7 +37,8 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: floa
     """Per source: source, source_size, target. ``sizes`` has one row per source.
 
     Filling to a common level per weight, with a ceiling of ``most`` times the size, is what repeated resharing of the
-    excess arrives at; the level is found by one ordered pass over the sources.
+    excess arrives at; the level is found by one ordered pass over the sources: their code point order gives the weights, so this table of
+    three columns is sorted in one task, however many sources there are.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     listed = F.array(*[F.lit(float(w)) for w in weights])
@@ -59,6 +60,11 @@ def _rate(most: float) -> Column:
     return F.when(F.col("full"), F.lit(float(most))).otherwise(F.lit(float(most)) / (F.lit(1.0) + F.exp(-z)))
 
 
+def _in_one(per_source: DataFrame, few: bool) -> DataFrame:
+    """A per-source table in one file while it is small."""
+    return per_source.coalesce(1) if few else per_source
+
+
 def _joined(rows: DataFrame, per_source: DataFrame, few: bool) -> DataFrame:
     right = per_source.withColumnRenamed("source", "_source")
     right = F.broadcast(right) if few else right
@@ -79,7 +85,7 @@ def solve_rates(scratch: Scratch, pairs: DataFrame, wanted: DataFrame, most: flo
         F.lit(None).cast("double").alias("hi"),
         F.lit(None).cast("double").alias("gap"),
     )
-    state = scratch.keep(state.coalesce(1), "dual")
+    state = scratch.keep(_in_one(state, few), "dual")
     r = F.col("r")
     for _ in range(steps):
         rated = _joined(pairs, state, few).withColumn("r", _rate(most)).withColumn("tokens", F.col("n") * F.col("size"))
@@ -107,7 +113,7 @@ def solve_rates(scratch: Scratch, pairs: DataFrame, wanted: DataFrame, most: flo
             & (F.col("hi").isNull() | (F.col("_newton") < F.col("hi")))
         )
         step = F.when(F.col("full") | (F.col("gap") <= tolerance), F.col("lam")).when(inside, F.col("_newton")).otherwise(halved)
-        before, state = state, scratch.keep(at.withColumn("lam", step).select(state.columns).coalesce(1), "dual")
+        before, state = state, scratch.keep(_in_one(at.withColumn("lam", step).select(state.columns), few), "dual")
         scratch.drop(before)
         worst = state.agg(F.max("gap")).first()[0]
         if worst is None or worst <= tolerance:
@@ -148,7 +154,7 @@ def _threshold(scratch: Scratch, rows: DataFrame, solved: DataFrame, most: float
             .withColumn("below", F.coalesce(F.col("_sum") - F.col("_words"), F.col("below")))
             .drop("_bin")
         )
-        state = scratch.keep(state.coalesce(1), "threshold")
+        state = scratch.keep(_in_one(state, few), "threshold")
         width /= BINS
     # the last cell holds one document's step or equal ones: take it or not, whichever is nearer
     after = F.col("_sum").isNotNull() & (F.abs(F.col("_sum") - F.col("aim")) <= F.abs(F.col("below") - F.col("aim")))
@@ -165,7 +171,7 @@ def _round(scratch: Scratch, rows: DataFrame, solved: DataFrame, most: float, fe
     large = held.where(F.col("size") > F.col("small")).groupBy("source").agg(F.sum(_copied(most, F.col("shift_large")) * F.col("size")).alias("_taken"))
     right = large.withColumnRenamed("source", "_source")
     aimed = solved.join(F.broadcast(right) if few else right, solved["source"].eqNullSafe(right["_source"]), "left").drop("_source")
-    aimed = scratch.keep(aimed.withColumn("aim", F.col("target") - F.coalesce("_taken", F.lit(0))).drop("_taken").coalesce(1), "aims")
+    aimed = scratch.keep(_in_one(aimed.withColumn("aim", F.col("target") - F.coalesce("_taken", F.lit(0))).drop("_taken"), few), "aims")
     small = _joined(rows, aimed.select("source", "small"), few).where(F.col("size") <= F.col("small")).drop("small")
     second = _threshold(scratch, small, aimed, most, few)
     return _joined(aimed.drop("aim"), second.withColumnRenamed("shift", "shift_small"), few)
@@ -188,7 +194,7 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights
     pairs = scratch.keep(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "pairs")
     sizes = scratch.keep(pairs.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), "sources")
     few = sizes.count() <= BROADCAST_ROWS
-    wanted = scratch.keep(targets(sizes, weights, share, most).coalesce(1), "targets")
+    wanted = scratch.keep(_in_one(targets(sizes, weights, share, most), few), "targets")
     solved = solve_rates(scratch, pairs, wanted, most, few)
     return rows, _round(scratch, rows, solved, most, few), few
 
