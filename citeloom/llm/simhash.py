@@ -208,6 +208,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     named = scratch.keep(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("_n")), "named")
     labels = with_label(rooted, named, "root", sizes[0]).select("fp", "component_id", F.col("copies").alias("_n"))
     labels = scratch.keep(labels, "labels")
+    scratch.drop(nodes, rooted, named)
     return with_label(printed, labels, "fp", sizes[1] or 0).select("doc_id", "fp", "component_id")
 
 
