@@ -337,18 +337,17 @@ def test_keep_one_judges_rows_not_ids(spark):
     from citeloom.llm.simhash import keep_one
     from tests.llm.conftest import words
 
-    a, b = words(1, 40), words(2, 40)
+    a, b, c, d, e, f, g = (words(i, 40) for i in range(1, 8))
 
     def kept(rows):
         made = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, _row int")
         return sorted(((r.doc_id, r.text) for r in keep_one(made).collect()), key=str)
 
-    assert kept([(7, a), (7, b)]) == sorted([(7, a), (7, b)], key=str)
-    assert kept([(42, a), (None, None)]) == sorted([(42, a), (None, None)], key=str)
-    assert kept([(1, a), (7, a), (7, b)]) == sorted([(1, a), (7, b)], key=str)
+    # one id with two texts; a copy under another id beside them; many equal rows, with and without an id; a null row beside id 42
+    found = kept([(7, a), (7, b), (1, c), (17, c), (17, d), *[(3, e)] * 200, *[(None, f)] * 90, *[(4, e)] * 5, (42, g), (None, None)])
+    assert found == sorted([(7, a), (7, b), (1, c), (17, d), (3, e), (None, f), (42, g), (None, None)], key=str)
     assert kept([(5, ""), (42, a), (None, None)]) == sorted([(5, ""), (42, a)], key=str)
     assert kept([(None, None), (None, "")]) == [(None, "")]
-    assert kept([(3, a)] * 200 + [(None, b)] * 90 + [(4, a)] * 5) == sorted([(3, a), (None, b)], key=str)
 
 
 def test_labels_of_hot_keys_are_the_same(spark):
