@@ -196,9 +196,10 @@ def generate(prompted: DataFrame, client: Callable[[], Callable[[str, str], str]
     return prompted.join(reduce(DataFrame.union, rounds).groupBy("query_id").agg(listed.alias("attempts")), "query_id")
 
 
-def grounded_prompt(prompted: DataFrame) -> list[tuple[str, str]]:
-    """(system, user) of the questions of a small batch, as plain strings."""
-    return [(r["system"], r["user"]) for r in prompted.select("system", "user").collect()]
+def grounded_prompt(prompted: DataFrame) -> DataFrame:
+    """query_id, prompt (system and user text as one) and citations (marker and evidence_id in order), for callers that take a single text."""
+    cited = F.transform("evidence", lambda e, k: F.struct(F.concat(F.lit("["), k + 1, F.lit("]")).alias("marker"), e["evidence_id"].alias("evidence_id")))
+    return prompted.select("query_id", F.concat_ws("\n\n", "system", "user").alias("prompt"), cited.alias("citations"))
 
 
 def extractive_attempt(evidence: Column, language: Column) -> Column:

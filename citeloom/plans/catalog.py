@@ -417,6 +417,21 @@ def page_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("document_id").cast("long").alias("document_id"), F.col("page_number").cast("long").alias("page_number"), "extraction_method", F.sha2("original_text", 256).alias("text_hash"), "ocr_mean_confidence")
 
 
+@query("""
+WITH p AS (SELECT page_id, page_id // 3 AS document_id, page_id % 3 + 1 AS page_number, CASE WHEN page_id % 4 = 0 THEN url ELSE html END AS src FROM pages),
+src AS (SELECT page_id AS id, src AS text FROM p), """ + QUALITY_SQL + """,
+r AS (SELECT p.*, character_count < 50 OR replacement_ratio > 0.01 OR arabic_ratio + latin_ratio < 0.2 AS ocr FROM p JOIN quality ON id = page_id)
+SELECT document_id, count(*) AS processed_records, count_if(NOT ocr) AS direct_records, count_if(ocr AND document_id % 5 <> 0 AND page_number % 2 = 0) AS ocr_records, count_if(ocr AND (document_id % 5 = 0 OR page_number % 2 = 1)) AS failed_records
+FROM r GROUP BY document_id
+""")
+def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a report counts, per document."""
+    from citeloom.plans.ingestion import record_counts
+
+    counted = record_counts(page_routing(spark, sf_dir))
+    return counted.select("document_id", *[F.col(c).cast("long").alias(c) for c in ("processed_records", "direct_records", "ocr_records", "failed_records")])
+
+
 # --- numbers ---------------------------------------------------------------------------------------------------------
 
 NUM = r"(?:[0-9]+(?:[.,][0-9]+)*|[٠-٩]+(?:[٫،.][٠-٩]+)*)"
@@ -572,6 +587,15 @@ def chunk_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunked(spark, sf_dir).select("doc_id", "chunk_index", "first_word", "n_words", "token_count", F.sha2("chunk_text", 256).alias("text_hash"))
 
 
+@query(f"WITH {CHUNKS_SQL} SELECT doc_id, chunk_index, n_words + 3 AS token_count, sha256(chunk_text) AS text_hash FROM chunks")
+def chunk_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The general walk, with its search for ends and starts, by the word counter: it must cut where the closed form cuts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(0).alias("start_char"), F.length("text").alias("end_char"), F.array().cast("array<int>").alias("preferred_breaks"))
+    found = C.chunk_spans(docs)
+    piece = F.expr("substring(text, chunk_start + 1, chunk_end - chunk_start)")
+    return found.select("doc_id", F.col("chunk_in_section").alias("chunk_index"), "token_count", F.sha2(F.regexp_replace(piece, r"\\s+", " "), 256).alias("text_hash"))
+
+
 @query(f"WITH {CHUNKS_SQL} SELECT doc_id, chunk_index, sha256('d' || doc_id || ':1:1.2.0:txt:line:1:1:' || first_word || ':' || (first_word + n_words) || ':document:') AS chunk_id FROM chunks")
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.lit(1)

@@ -123,6 +123,19 @@ def extract(files: DataFrame, asked: Ingestion, listed: DataFrame | None = None)
     return records.withColumn("document_version", F.lit(asked.document_version)).withColumn("file_hash", F.col("document_id")).withColumn("source_file", F.element_at(F.split("source_file", "/"), -1))
 
 
+def record_counts(records: DataFrame) -> DataFrame:
+    """How many records of each document were processed: in all, directly, by OCR, and in vain."""
+    method = F.col("extraction_method")
+    counts = {"processed_records": F.count(F.lit(1)), "direct_records": F.count_if(~method.isin("ocr", "failed")), "ocr_records": F.count_if(method == "ocr"), "failed_records": F.count_if(method == "failed")}
+    return records.groupBy("document_id").agg(*[c.cast("int").alias(n) for n, c in counts.items()])
+
+
+def with_page_names(summary: DataFrame) -> DataFrame:
+    """A summary with the counts also by the names they had when records were pages."""
+    older = {"processed_pages": "processed_records", "native_pages": "direct_records", "ocr_pages": "ocr_records", "failed_pages": "failed_records"}
+    return summary.withColumns({name: F.col(c) for name, c in older.items()})
+
+
 def ingest(spark: SparkSession, folder: str, output: str, asked: Ingestion = Ingestion()) -> DataFrame:
     """Ingests a folder's files (or one file); gives a row per file: path, document_id, artifact, status, error and the five counts.
 
@@ -146,10 +159,7 @@ def ingest(spark: SparkSession, folder: str, output: str, asked: Ingestion = Ing
     empty = scratch.again(records).where("source_format = 'docx' AND size(source_segments) = 0").select("document_id", F.lit("Word file holds no text").alias("fault"))
     faults = scratch.keep(broken.unionByName(unread).unionByName(empty).groupBy("document_id").agg(F.min("fault").alias("fault")), "faults")
     names = work.select("document_id", "artifact").join(faults.select("document_id"), "document_id", "left_anti")
-    method = F.col("extraction_method")
-    counted = scratch.again(records).groupBy("document_id").agg(
-        F.count(F.lit(1)).cast("int").alias("processed_records"), F.count_if(~method.isin("ocr", "failed")).cast("int").alias("direct_records"), F.count_if(method == "ocr").cast("int").alias("ocr_records"), F.count_if(method == "failed").cast("int").alias("failed_records")
-    )
+    counted = record_counts(scratch.again(records))
     cut = scratch.again(chunks).where("chunk_error IS NULL").groupBy("document_id").agg(F.count(F.lit(1)).cast("int").alias("chunks"))
     done = names.join(counted, "document_id").join(cut, "document_id", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0)))
     done = scratch.keep(done, "done")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import contextlib
 import os
 import tempfile
 import uuid
@@ -60,6 +59,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{scratch_root(spark)}/citeloom/{label}-{os.getpid()}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        _WRITTEN.append(self.base)
 
     def keep(self, df: DataFrame, name: str = "t", partition_by: str | None = None) -> DataFrame:
         """Write df, in folders by a column if one is named, and read it back."""
@@ -82,11 +82,23 @@ class Scratch:
         for df in tables:
             path = getattr(df, "_scratch_path", None)
             if path:
-                with contextlib.suppress(Exception):
-                    hadoop_delete(self.spark, path)
+                hadoop_delete(self.spark, path)
 
 
-def hadoop_delete(spark: SparkSession, path: str) -> None:
+#: Folders that this process has written tables to.
+_WRITTEN: list[str] = []
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Removes all tables that this process has written so far, once the frames that read them are done with; gives how many folders went."""
+    gone = 0
+    while _WRITTEN:
+        gone += bool(hadoop_delete(spark, _WRITTEN.pop()))
+    return gone
+
+
+def hadoop_delete(spark: SparkSession, path: str) -> bool:
+    """Removes a folder; false if there is none."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -322,6 +322,8 @@ def test_gate_and_answers(spark):
     assert {r.query_id: r.reason for r in judged.collect()} == {1: "exact_identifier_override", 2: "no_retrieved_evidence", 3: "sufficient"}
     evidence = answers.bounded_evidence(retrieval.select_evidence(hits, ranked))
     prompted = answers.prompts(questions, evidence)
+    single = {r.query_id: r for r in answers.grounded_prompt(prompted).collect()}
+    assert single[3].prompt.startswith(answers.SYSTEM["en"] + "\n\n") and [tuple(c) for c in single[3].citations] == [("[1]", "E1")] and single[2].citations == []
     raw = F.when(F.col("query_id") == 3, '{"answer":"It takes 6 years.","evidence_ids":["E1"],"insufficient_evidence":false}').otherwise('{"answer":"As the law 7 says","evidence_ids":["E1"],"insufficient_evidence":false}')
     final = answers.assemble(judged, prompted.withColumn("attempts", F.array(F.lit("broken"), raw)))
     found = {r.query_id: r for r in final.collect()}
@@ -396,6 +398,7 @@ def test_ingestion_finishes(spark, tmp_path):
     missing = [f.name for f in spark.createDataFrame([], documents.CHUNK_SCHEMA).schema if all(c[f.name] is None for c in chunks)]
     assert missing == []
     again = run()
+    assert ingestion.with_page_names(spark.createDataFrame([(1, 2, 3, 4)], "processed_records int, direct_records int, ocr_records int, failed_records int")).first()["native_pages"] == 2
     assert {r.status for k, r in again.items() if k not in ("empty.docx", "d.pdf")} == {"duplicate"} and again["c.pdf"].chunks == 2 and again["c.pdf"].failed_records == 1
     assert len(ingestion.stored_chunks(spark, out).collect()) == len(chunks)
     assert run(ingestion.Ingestion(expected_language="en", source="other"))["a.txt"].status == "failed"
