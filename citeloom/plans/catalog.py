@@ -593,7 +593,7 @@ def chunk_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(0).alias("start_char"), F.length("text").alias("end_char"), F.array().cast("array<int>").alias("preferred_breaks"))
     found = C.chunk_spans(docs)
     piece = F.expr("substring(text, chunk_start + 1, chunk_end - chunk_start)")
-    return found.select("doc_id", F.col("chunk_in_section").alias("chunk_index"), "token_count", F.sha2(F.regexp_replace(piece, r"\\s+", " "), 256).alias("text_hash"))
+    return found.select("doc_id", F.col("chunk_in_section").alias("chunk_index"), "token_count", F.sha2(F.regexp_replace(piece, r"\s+", " "), 256).alias("text_hash"))
 
 
 @query(f"WITH {CHUNKS_SQL} SELECT doc_id, chunk_index, sha256('d' || doc_id || ':1:1.2.0:txt:line:1:1:' || first_word || ':' || (first_word + n_words) || ':document:') AS chunk_id FROM chunks")
