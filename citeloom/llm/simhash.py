@@ -227,18 +227,22 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     own = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).cast("long").alias("id"), F.col(text_col).isNull().alias("no_text"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"))
     printed = scratch.keep(_fingerprinted(docs, own, text_col, width), "printed")
     nodes = scratch.keep(printed.groupBy("fp").agg(F.min("own").alias("least")), "nodes")
-    chosen = _rooted(scratch, nodes, distance).groupBy("root").agg(F.min("least").alias("least")).select(_row_key(F.col("least")).alias("_row"))
+    # a column that the documents do not have
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    chosen = _rooted(scratch, nodes, distance).groupBy("root").agg(F.min("least").alias("least")).select(_row_key(F.col("least")).alias(row))
     chosen = scratch.keep(chosen, "chosen")
-    repeated = printed.groupBy(_row_key(F.col("own")).alias("_row")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    repeated = printed.groupBy(_row_key(F.col("own")).alias(row)).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     repeated = scratch.keep(repeated, "repeated")
-    rows = docs.withColumn("_row", _row_key(own))
+    rows = docs.withColumn(row, _row_key(own))
     # by a shuffle at every size: what is kept grows with the documents
-    kept = rows.join(chosen.hint("merge"), "_row", "left_semi")
+    kept = rows.join(chosen.hint("merge"), row, "left_semi")
     if not repeated.isEmpty():
         # rows that very many others equal are at most 2,000: they are reduced where they lie
-        hot = F.broadcast(repeated.where(F.col("_n") > hot_bar(printed.count())).select("_row"))
-        kept = rows.join(hot, "_row", "left_anti").join(chosen.hint("merge"), "_row", "left_semi").dropDuplicates(["_row"])
-        kept = kept.unionByName(rows.join(F.broadcast(hot.join(chosen, "_row", "left_semi")), "_row", "left_semi").dropDuplicates(["_row"]))
+        hot = F.broadcast(repeated.where(F.col("_n") > hot_bar(printed.count())).select(row))
+        kept = rows.join(hot, row, "left_anti").join(chosen.hint("merge"), row, "left_semi").dropDuplicates([row])
+        kept = kept.unionByName(rows.join(F.broadcast(hot.join(chosen, row, "left_semi")), row, "left_semi").dropDuplicates([row]))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
