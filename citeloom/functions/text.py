@@ -129,20 +129,19 @@ def latin_class() -> str:
     return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
 
 
-def _share(text: Column, keep: str) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{keep}]+", "")) / F.greatest(F.length(text), F.lit(1))
-
-
 def text_quality(text: Column) -> Column:
     """struct of the number of visible characters and four shares of them."""
     seen = F.regexp_replace(F.coalesce(text, F.lit("")), f"{WHITE}+", "")
-    plain = is_ascii(seen)
+    # ASCII is told by one small class; only what lies beyond it meets the large ones
+    beyond = F.regexp_replace(seen, r"[\x00-\x7F]+", "")
+    n = F.greatest(F.length(seen), F.lit(1))
+    kept = lambda of, keep: F.length(F.regexp_replace(of, f"[^{keep}]+", ""))
     return F.struct(
         F.length(seen).alias("character_count"),
-        F.when(plain, 0.0).otherwise(_share(seen, ARABIC)).alias("arabic_ratio"),
-        F.when(plain, _share(seen, "A-Za-z")).otherwise(_share(seen, latin_class())).alias("latin_ratio"),
-        F.when(plain, 0.0).otherwise(_share(seen, r"\x{FFFD}")).alias("replacement_ratio"),
-        _share(seen, r"\p{Cc}").alias("control_ratio"),
+        (kept(beyond, ARABIC) / n).alias("arabic_ratio"),
+        ((kept(seen, "A-Za-z") + kept(beyond, latin_class())) / n).alias("latin_ratio"),
+        (kept(beyond, r"\x{FFFD}") / n).alias("replacement_ratio"),
+        (kept(seen, r"\x00-\x1F\x7F-\x9F") / n).alias("control_ratio"),
     )
 
 
