@@ -81,13 +81,20 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citeloom.llm.resampling import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_best_fit_packing, op2_mixing, op3_lm_scoring, op4_quality_classifier, op5_simhash_near_dedup, op6_quality_rules, op7_toxicity, op8_exact_top_k, op9_url_filter, op10_license_scan)
+    named = (op1_best_fit_packing, op2_mixing, op3_lm_scoring, op4_quality_classifier, op5_simhash_near_dedup, op6_quality_rules, op7_toxicity, op8_exact_top_k, op9_url_filter, op10_license_scan, op13_importance_resampling)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
+    from citeloom.llm.resampling import RESAMPLING_SQL
     from citeloom.llm.rules import RULES_SQL
     from citeloom.llm.topk import TOP_K_SQL
 
-    return {"op6_quality_rules": RULES_SQL, "op8_exact_top_k": TOP_K_SQL}
+    return {"op6_quality_rules": RULES_SQL, "op8_exact_top_k": TOP_K_SQL, "op13_importance_resampling": RESAMPLING_SQL}
