@@ -81,6 +81,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from citeloom.llm.repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from citeloom.llm.alignment import align_documents
 
@@ -94,13 +100,14 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_best_fit_packing, op2_mixing, op3_lm_scoring, op4_quality_classifier, op5_simhash_near_dedup, op6_quality_rules, op7_toxicity, op8_exact_top_k, op9_url_filter, op10_license_scan, op12_cross_tokenizer_alignment, op13_importance_resampling)
+    named = (op1_best_fit_packing, op2_mixing, op3_lm_scoring, op4_quality_classifier, op5_simhash_near_dedup, op6_quality_rules, op7_toxicity, op8_exact_top_k, op9_url_filter, op10_license_scan, op11_suffix_array_dedup, op12_cross_tokenizer_alignment, op13_importance_resampling)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
+    from citeloom.llm.repeats import REPEATS_SQL
     from citeloom.llm.resampling import RESAMPLING_SQL
     from citeloom.llm.rules import RULES_SQL
     from citeloom.llm.topk import TOP_K_SQL
 
-    return {"op6_quality_rules": RULES_SQL, "op8_exact_top_k": TOP_K_SQL, "op13_importance_resampling": RESAMPLING_SQL}
+    return {"op6_quality_rules": RULES_SQL, "op8_exact_top_k": TOP_K_SQL, "op11_suffix_array_dedup": REPEATS_SQL, "op13_importance_resampling": RESAMPLING_SQL}
