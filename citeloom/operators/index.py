@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import json
 import re
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citeloom.functions.text import uuid5
-from citeloom.session import Scratch
+from citeloom.operators.buckets import BucketTable, last_rows
 
 POINT_PREFIX = "chunk:"
 
@@ -85,128 +83,19 @@ def points(chunks: DataFrame, dimension: int) -> DataFrame:
     return chunks.withColumn("point_id", uuid5(F.concat(F.lit(POINT_PREFIX), F.col("chunk_id").cast("string")))).withColumn("vector", sized)
 
 
-def last_rows(new: DataFrame, key: str, order: Column | None = None) -> DataFrame:
-    """One row per key: the last by ``order``, else the last to arrive."""
-    arrived = new.withColumn("_at", F.monotonically_increasing_id())
-    last = Window.partitionBy(key).orderBy(*([order.desc()] if order is not None else []), F.desc("_at"))
-    return arrived.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "_at")
-
-
 def upsert(old: DataFrame, new: DataFrame, key: str = "point_id", order: Column | None = None) -> DataFrame:
-    """old with new rows put in or in place of those with their key; of several new rows with a key the last stays (by ``order``, else as they come)."""
+    """old with new rows put in or in place of those with their key; of several new rows with a key the last stays (by ``order``, see last_rows)."""
     new = last_rows(new, key, order)
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
-class VectorTable:
-    """A Parquet table in buckets by id, with versions.
-
-    A version lists the folder of each bucket. An upsert rewrites the buckets that the new rows fall in, and no others, into a new folder, and then claims
-    the next version's number: of two writers one succeeds and the other starts again from what the first has written. Readers see whole versions only.
-    The vector's dimension and the number of buckets are fixed when the table is created.
-    """
+class VectorTable(BucketTable):
+    """The points of a collection, in buckets by id. The vectors' dimension is fixed when the table is made."""
 
     def __init__(self, spark: SparkSession, path: str, dimension: int, buckets: int = 64):
-        self.spark, self.path, self.dimension, self.buckets = spark, path.rstrip("/"), dimension, buckets
-
-    def _path(self, *parts: str):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))
-        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _load(self, number: int) -> dict | None:
-        """A version's description, or None while it is being written."""
-        path, system = self._path("_versions", f"{number}.json")
-        if not system.exists(path):
-            return None
-        size = int(system.getFileStatus(path).getLen())
-        stream = system.open(path)
-        try:
-            raw = bytes(stream.readNBytes(size))
-        finally:
-            stream.close()
-        try:
-            return json.loads(raw)
-        except ValueError:
-            return None
-
-    def _store(self, number: int, held: dict) -> bool:
-        """Writes a version's description; false if another writer has taken the number."""
-        path, system = self._path("_versions", f"{number}.json")
-        try:
-            stream = system.create(path, False)
-        except Exception as error:
-            if "AlreadyExists" in str(error) or "already exists" in str(error):
-                return False
-            raise
-        stream.write(bytearray(json.dumps(held).encode()))
-        stream.close()
-        return True
-
-    def version(self) -> int:
-        pointer, system = self._path("_versions")
-        if not system.exists(pointer):
-            return 0
-        numbers = sorted((int(s.getPath().getName()[:-5]) for s in system.listStatus(pointer) if s.getPath().getName().endswith(".json")), reverse=True)
-        return next((n for n in numbers if self._load(n) is not None), 0)
-
-    def create(self) -> int:
-        """Makes the table if it is not there, without rows; a table of another dimension is an error."""
-        held = self._load(self.version()) if self.version() else None
-        if held is None:
-            self._store(1, {"dimension": self.dimension, "buckets": self.buckets, "schema": None, "folders": {}})
-            held = self._load(1)
-        if held["dimension"] != self.dimension:
-            raise ValueError(f"the table holds vectors of dimension {held['dimension']}")
-        self.buckets = held["buckets"]
-        return self.version()
-
-    def read(self) -> DataFrame:
-        """The rows of the newest version."""
-        held = self._load(self.version())
-        if not held or not held["schema"]:
-            raise ValueError("the vector table holds no rows yet")
-        return self._read(held, list(held["folders"]))
-
-    def _read(self, held: dict, buckets: list[str]) -> DataFrame:
-        schema = T.StructType.fromJson(held["schema"])
-        folders = [f"{self.path}/{held['folders'][b]}" for b in buckets if b in held["folders"]]
-        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+        super().__init__(spark, path, "point_id", buckets, {"dimension": dimension})
+        self.dimension = dimension
 
     def upsert(self, new: DataFrame, order: Column | None = None) -> int:
-        """The new version's number; without rows nothing is written. One row stays per id."""
-        if self.version():
-            self.create()
-        scratch = Scratch(self.spark, "upsert")
-        bucket = F.pmod(F.xxhash64("point_id"), F.lit(self.buckets)).cast("string")
-        rows = scratch.keep(last_rows(points(new, self.dimension), "point_id", order).withColumn("_bucket", bucket), "new", partition_by="_bucket")
-        touched = [str(r[0]) for r in rows.select("_bucket").distinct().collect()]  # at most as many as buckets
-        while touched:
-            at = self.version()
-            held = self._load(at) or {"schema": None, "folders": {}}
-            merged = rows
-            if held["schema"]:
-                old = self._read(held, touched).withColumn("_bucket", bucket)
-                merged = old.join(rows.select("point_id", "_bucket"), ["point_id", "_bucket"], "left_anti").unionByName(rows.withColumn("_bucket", bucket), allowMissingColumns=True)
-            schema = merged.drop("_bucket").schema
-            folder = f"data/{uuid.uuid4().hex}"
-            merged.withColumn("_bucket", bucket).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
-            folders = held["folders"] | {b: f"{folder}/_bucket={b}" for b in touched}
-            if self._store(at + 1, {"dimension": self.dimension, "buckets": self.buckets, "schema": schema.jsonValue(), "folders": folders}):
-                break
-        scratch.drop(rows)
-        return self.version()
-
-    def vacuum(self, keep: int = 2) -> int:
-        """Removes versions but the last ``keep`` and the folders that only they name; gives how many folders went. Not while a writer is at work."""
-        at = self.version()
-        versions = [n for n in range(1, at + 1) if self._load(n) is not None]
-        used = {f.split("/")[1] for n in versions[-keep:] for f in self._load(n)["folders"].values()}
-        gone = 0
-        data, system = self._path("data")
-        for status in system.listStatus(data) if system.exists(data) else ():
-            if status.getPath().getName() not in used:
-                gone += bool(system.delete(status.getPath(), True))
-        for n in versions[:-keep]:
-            path, system = self._path("_versions", f"{n}.json")
-            system.delete(path, False)
-        return gone
+        """Puts chunks with vectors in, or in place of those with their id."""
+        return super().upsert(points(new, self.dimension), order)

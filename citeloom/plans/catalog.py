@@ -16,6 +16,7 @@ from citeloom.operators import index as I
 from citeloom.operators import retrieval as R
 from citeloom.operators import structure as S
 from citeloom.plans import fixtures as X
+from citeloom.session import Scratch
 from citeloom.sources import documents as D
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -239,6 +240,22 @@ def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.upsert(rows.where("label < 6").withColumn("v", F.lit(0)), versions, key="vec_id", order=F.col("v")).drop("v")
 
 
+@query("""
+WITH one AS (SELECT vec_id, label, 1 AS v FROM embeddings WHERE label < 6), two AS (SELECT vec_id, label + 100, 2 FROM embeddings WHERE label > 3), three AS (SELECT vec_id, label + 200, 3 FROM embeddings WHERE vec_id % 3 = 0),
+every AS (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three), kept AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC) AS n FROM every)
+SELECT k.vec_id, k.label, v, len(embedding) AS dimension, round(CAST(embedding[1] AS DOUBLE), 5) AS first_component FROM kept k JOIN embeddings e USING (vec_id) WHERE n = 1
+""")
+def vector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three upserts that overlap, into a vector table made for this, and what it holds afterwards."""
+    rows = table(spark, sf_dir, "embeddings")
+    dimension = rows.select(F.max(F.size("embedding"))).first()[0]
+    held = I.VectorTable(spark, f"{Scratch(spark, 'vector_table').base}/table", dimension)
+    held.create()
+    for v, some, label in ((1, rows.where("label < 6"), F.col("label")), (2, rows.where("label > 3"), F.col("label") + 100), (3, rows.where("vec_id % 3 = 0"), F.col("label") + 200)):
+        held.upsert(some.select(F.col("vec_id").cast("string").alias("chunk_id"), "vec_id", label.alias("label"), F.lit(v).alias("v"), F.col("embedding").alias("vector")))
+    return held.read().select("vec_id", "label", "v", F.size("vector").alias("dimension"), F.round(F.element_at("vector", 1).cast("double"), 5).alias("first_component"))
+
+
 @query(r"""
 WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('chunk:' || doc_id)) AS d FROM documents)
 SELECT doc_id, substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-5' || substr(d, 14, 3) || '-' ||
