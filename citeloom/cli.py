@@ -6,6 +6,7 @@ import argparse
 import json
 import sys
 from collections.abc import Callable
+from importlib import import_module
 from urllib.error import URLError
 from urllib.request import urlopen
 
@@ -29,10 +30,10 @@ def build_indexer(spark: SparkSession, settings: Settings) -> tuple[VectorTable,
     return table, lambda chunks: chunks.withColumn("vector", hash_embedding(F.col("normalized_text"), DIMENSION))
 
 
-def ingest_folder(spark: SparkSession, folder: str, output: str, settings: Settings, asked: ingestion.Ingestion = ingestion.Ingestion()) -> DataFrame:
-    """Ingests a folder and indexes the chunks of its documents, also of those that were done before; gives ingestion.ingest's rows."""
+def ingest_folder(spark: SparkSession, inputs: str | list[str], output: str, settings: Settings, asked: ingestion.Ingestion = ingestion.Ingestion()) -> DataFrame:
+    """Ingests folders and files and indexes the chunks of its documents, also of those that were done before; gives ingestion.ingest's rows."""
     table, embedder = build_indexer(spark, settings)
-    rows = ingestion.ingest(spark, folder, output, asked)
+    rows = ingestion.ingest(spark, inputs, output, asked)
     wanted = rows.where("status != 'failed' AND chunks > 0").select("artifact")
     if not wanted.isEmpty():
         ingestion.index_chunks(table, ingestion.stored_chunks(spark, output, wanted), embedder)
@@ -56,18 +57,28 @@ def health(spark: SparkSession, settings: Settings) -> list[tuple[str, bool, str
             listed = json.load(reply)["models"]
         names = {m.get(k) for m in listed for k in ("name", "model")}
         fine = settings.generation_model in names
-        out.append(("generator", fine, f"model {'available' if fine else 'is not installed'}: {settings.generation_model}"))
+        out.append(("generator", fine, f"{settings.generation_model} {'is listed' if fine else 'is not among the listed models'}"))
     except (URLError, OSError, ValueError, KeyError, TypeError, AttributeError) as error:
         out.append(("generator", False, f"{type(error).__name__}: {error}"))
     return out
 
 
+def _named(place: str) -> Callable:
+    """The function that ``module:function`` names."""
+    module, _, name = place.partition(":")
+    try:
+        return getattr(import_module(module), name)
+    except (ImportError, AttributeError, ValueError) as error:
+        raise argparse.ArgumentTypeError(f"{place} cannot be imported") from error
+
+
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="citeloom")
     commands = parser.add_subparsers(dest="command", required=True)
     one = commands.add_parser("ingest")
-    one.add_argument("folder", help="a folder, or one file")
+    one.add_argument("documents", nargs="+", help="folders and files")
     one.add_argument("--output", default="processed", help="folder for source records, chunks and reports")
+    one.add_argument("--pdf-reader", type=_named, help="module:function that gives the pages of a PDF's bytes; without one PDF files fail")
     one.add_argument("--document-type", default="unknown")
     one.add_argument("--source", default="unknown")
     one.add_argument("--document-version", type=int, default=1)
@@ -100,13 +111,13 @@ def main(argv: list[str] | None = None) -> int:
             settings = Settings(**(vars(settings) | more))
         if given.command == "ingest":
             limits = ChunkingConfig(given.target_tokens, given.overlap_tokens, given.maximum_tokens)
-            asked = ingestion.Ingestion(given.language, given.pages, given.document_version, given.document_type, given.source, limits, given.maximum_document_mb << 20)
+            asked = ingestion.Ingestion(given.language, given.pages, given.document_version, given.document_type, given.source, limits, given.maximum_document_mb << 20, reader=given.pdf_reader)
     except ValueError as error:
         print(f"configuration error: {error}")
         return 2
     spark = SparkSession.getActiveSession() or build_session()
     if given.command == "ingest":
-        rows = ingest_folder(spark, given.folder, given.output, settings, asked).collect()
+        rows = ingest_folder(spark, given.documents, given.output, settings, asked).collect()
         for row in rows:
             counts = f"{row.processed_records} records ({row.direct_records} direct, {row.ocr_records} by OCR, {row.failed_records} failed), {row.chunks} chunks"
             print(f"{row.status:9} {row.path}: {counts}" + (f"  ({row.error})" if row.error else ""))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citeloom.session import Scratch
+from citeloom.session import Scratch, hadoop_json
 
 #: Bits of a Bloom filter for each key, and how many of them a key sets: about one false answer in 2,000.
 BLOOM_BITS, BLOOM_HASHES = 16, 11
@@ -44,17 +44,7 @@ class VersionLog:
 
     def load(self, number: int) -> dict | None:
         """None for a number that is not given or whose file cannot be read."""
-        path, system = self._path(f"{number}.json")
-        if not system.exists(path):
-            return None
-        size = int(system.getFileStatus(path).getLen())
-        stream = system.open(path)
-        try:
-            return json.loads(bytes(stream.readNBytes(size)))
-        except ValueError:
-            return None
-        finally:
-            stream.close()
+        return hadoop_json(self.spark, f"{self.folder}/{number}.json")
 
     def latest(self) -> tuple[int, dict | None, int]:
         """(the newest readable version or 0, its description, the number that comes after all)."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import os
 import tempfile
 import uuid
@@ -61,11 +62,11 @@ class Scratch:
         self._n = 0
         _WRITTEN.append(self.base)
 
-    def keep(self, df: DataFrame, name: str = "t", partition_by: str | None = None) -> DataFrame:
+    def keep(self, df: DataFrame, name: str = "t", partition_by: str | None = None, compression: str = "snappy") -> DataFrame:
         """Write df, in folders by a column if one is named, and read it back."""
         self._n += 1
         path = f"{self.base}/{self._n:03d}-{name}"
-        (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
+        (df.write.partitionBy(partition_by) if partition_by else df.write).option("compression", compression).parquet(path)
         return self._read(path, df)
 
     def again(self, table: DataFrame) -> DataFrame:
@@ -102,3 +103,23 @@ def hadoop_delete(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def hadoop_json(spark: SparkSession, path: str) -> dict | None:
+    """A small JSON file, or None if it is not there or cannot be read as JSON."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(target):
+        return None
+    stream = system.open(target)
+    try:
+        return json.loads(bytes(stream.readNBytes(int(system.getFileStatus(target).getLen()))))
+    except ValueError:
+        return None
+    finally:
+        stream.close()
+
+
+def hadoop_missing(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)

@@ -1,6 +1,6 @@
 """Document sources: files to validated rows and source records, chunk files, manifests.
 
-Text, Word and PDF documents are read with Spark and the standard library; another PDF reader, and an OCR engine, can be passed in.
+Text and Word documents are read with Spark and the standard library; a PDF reader and an OCR engine are passed in.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ import io
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 from xml.etree import ElementTree
 
@@ -21,7 +21,6 @@ from pyspark.sql import types as T
 from citeloom.functions.text import language_of, normalize_text, normalized, quality_of, requires_ocr, resolve_language, text_quality
 from citeloom.functions.text import needs_ocr as ocr_needed
 from citeloom.operators.structure import LINES
-from citeloom.sources.pdf import pdf_error, read_pages
 
 SUFFIXES = ("pdf", "docx", "txt")
 SIZE_LIMIT = 100 << 20
@@ -33,6 +32,18 @@ CHUNK_SCHEMA = (
     "source_file string, file_hash string, extraction_methods array<string>, original_start_char int, original_end_char int, token_count int, tokenizer_name string, pipeline_version string"
 )
 SECTION_TYPES = ("document", "part", "chapter", "section", "article")
+
+
+@dataclass
+class Page:
+    """A page as a PDF reader gives it. ``glyphs``: per line its characters with their horizontal places, in storage order."""
+
+    text: str = ""
+    glyphs: list[list[tuple[str, float]]] = field(default_factory=list)
+
+
+#: Gives the first pages of a PDF (all for None), as Pages or as texts; raises for files that it cannot read.
+Reader = Callable[[bytes, int | None], list]
 OPTIONAL = ("section_title", "page_start", "page_end")
 
 
@@ -53,13 +64,16 @@ def scan_files(spark: SparkSession, *inputs: str) -> DataFrame:
     return reduce(DataFrame.union, files).withColumn("document_id", F.sha2("content", 256)).drop("modificationTime")
 
 
-def validate(files: DataFrame, limit: int = SIZE_LIMIT) -> DataFrame:
-    """Adds error: null for sound files, else the first check that fails, in the order size, form, content."""
+def validate(files: DataFrame, limit: int = SIZE_LIMIT, reader: Reader | None = None) -> DataFrame:
+    """Adds error: null for sound files, else the first check that fails, in the order size, form, content.
+
+    A PDF is sound if ``reader`` gives at least a page of it; without a reader none is.
+    """
     if limit <= 0:
         raise ValueError("the size limit must be positive")
     text = F.decode(F.when(F.is_valid_utf8(F.col("content")), F.col("content")), "UTF-8")
     txt = F.when(~F.is_valid_utf8(F.col("content")), "text is not UTF-8").when(text.contains("\0"), "text holds NUL").when(~text.rlike(r"(?U)\S"), "text is blank")
-    pdf = F.when(F.substring("content", 1, 5) != F.lit(b"%PDF-"), "no PDF header").otherwise(_pdf_error(F.when(F.col("source_format") == "pdf", F.col("content"))))
+    pdf = F.when(F.substring("content", 1, 5) != F.lit(b"%PDF-"), "no PDF header").otherwise(_pdf_error(reader)(F.when(F.col("source_format") == "pdf", F.col("content"))) if reader else F.lit("no PDF reader is given"))
     common = F.when(~F.col("source_format").isin(*SUFFIXES), "unsupported format").when(F.col("length") == 0, "file is empty").when(F.col("length") > limit, "file is too large")
     docx = _docx_error(F.when(F.col("source_format") == "docx", F.col("content")), F.lit(limit))
     own = F.when(F.col("source_format") == "txt", txt).when(F.col("source_format") == "pdf", pdf).when(F.col("source_format") == "docx", docx)
@@ -71,9 +85,18 @@ def _docx_error(contents: pd.Series, limits: pd.Series) -> pd.Series:
     return pd.Series([None if c is None else docx_error(bytes(c), int(n)) for c, n in zip(contents, limits)], dtype=object)
 
 
-@F.pandas_udf(T.StringType())
-def _pdf_error(contents: pd.Series) -> pd.Series:
-    return pd.Series([None if c is None or bytes(c[:5]) != b"%PDF-" else pdf_error(bytes(c)) for c in contents], dtype=object)
+def _pdf_error(reader: Reader) -> Callable[[Column], Column]:
+    def fault(content: bytes) -> str | None:
+        try:
+            return None if reader(content, 1) else "PDF has no pages"
+        except Exception as error:  # whatever a reader raises is this file's fault
+            return str(error) or type(error).__name__
+
+    @F.pandas_udf(T.StringType())
+    def check(contents: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None or bytes(c[:5]) != b"%PDF-" else fault(bytes(c)) for c in contents], dtype=object)
+
+    return check
 
 
 def docx_error(content: bytes, limit: int) -> str | None:
@@ -93,12 +116,12 @@ def docx_error(content: bytes, limit: int) -> str | None:
     return None
 
 
-def docx_blocks(content: bytes) -> list[tuple[str, str]]:
+def docx_blocks(content: bytes, limit: int = SIZE_LIMIT) -> list[tuple[str, str]]:
     """(text, kind) of body paragraphs and table rows in order; cells are joined by tabs.
 
     A file that fails its checks gives none: Spark may evaluate this before it filters such files out.
     """
-    if docx_error(content, SIZE_LIMIT):
+    if docx_error(content, limit):
         return []
     with zipfile.ZipFile(io.BytesIO(content)) as held:
         body = ElementTree.fromstring(held.read("word/document.xml")).find(f"{WORD}body")
@@ -118,15 +141,18 @@ def docx_blocks(content: bytes) -> list[tuple[str, str]]:
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("kind", T.StringType())])))
-def _docx_blocks(contents: pd.Series) -> pd.Series:
+def _docx_blocks(limit: int) -> Callable[[Column], Column]:
     def blocks(content):
         try:
-            return None if content is None else [{"text": t, "kind": k} for t, k in docx_blocks(bytes(content))]
+            return None if content is None else [{"text": t, "kind": k} for t, k in docx_blocks(bytes(content), limit)]
         except (ElementTree.ParseError, zipfile.BadZipFile, KeyError, zlib.error):  # this file's fault alone: no blocks
             return []
 
-    return contents.map(blocks)
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("kind", T.StringType())])))
+    def read(contents: pd.Series) -> pd.Series:
+        return contents.map(blocks)
+
+    return read
 
 
 def _segments(pieces: Column, kind: Callable[[Column], Column], text: Callable[[Column], Column]) -> Column:
@@ -176,9 +202,9 @@ def text_records(files: DataFrame, expected: str = "auto") -> DataFrame:
     return _record(held.withColumn("source_segments", _segments(F.col("_l"), lambda p: F.lit("line"), lambda p: p)).drop("_l"), "txt", "line", expected)
 
 
-def word_records(files: DataFrame, expected: str = "auto") -> DataFrame:
-    """One source record per Word document: body paragraphs and table rows, each closed by a line end."""
-    held = files.where("source_format = 'docx'").select("document_id", F.col("path").alias("source_file"), "source_format", _docx_blocks(F.when(F.col("source_format") == "docx", F.col("content"))).alias("_b"))
+def word_records(files: DataFrame, expected: str = "auto", limit: int = SIZE_LIMIT) -> DataFrame:
+    """One source record per Word document of at most ``limit`` bytes unpacked: body paragraphs and table rows, each closed by a line end."""
+    held = files.where("source_format = 'docx'").select("document_id", F.col("path").alias("source_file"), "source_format", _docx_blocks(limit)(F.when(F.col("source_format") == "docx", F.col("content"))).alias("_b"))
     line = lambda p: F.concat(p["text"], F.lit("\n"))
     held = held.withColumn("original_text", F.array_join(F.transform("_b", line), ""))
     return _record(held.withColumn("source_segments", _segments(F.col("_b"), lambda p: p["kind"], line)).drop("_b"), "docx", "block", expected)
@@ -191,11 +217,10 @@ def rtl_digit_storage(glyphs: list[list[tuple[str, float]]]) -> bool:
     return sum(x < 0 for x in steps) > sum(x > 0 for x in steps)
 
 
-def page_records(files: DataFrame, reader: Callable[[bytes, int | None], list] = read_pages, *, page_limit: int | None = None, expected: str = "auto") -> DataFrame:
+def page_records(files: DataFrame, reader: Reader, *, page_limit: int | None = None, expected: str = "auto") -> DataFrame:
     """One row per PDF page: document_id, source_file, page_number, native_text, rtl_digits, page_error, native_quality, needs_ocr.
 
-    ``reader`` gives the first pages, as texts or as Pages, and runs on the executors. A file that it fails on is one row without
-    a page number, with its error.
+    ``reader`` runs on the executors. A file that it fails on is one row without a page number, with its error.
     """
     if page_limit is not None and page_limit <= 0:
         raise ValueError("the page limit must be positive")
@@ -290,13 +315,15 @@ def choose_ocr(pages: DataFrame, engine: Callable[[str, int, str], tuple[str, fl
     return pages.groupBy("document_id").applyInPandas(lambda f: read(f), fields)
 
 
-def pdf_records(files: DataFrame, reader: Callable[[bytes, int | None], list] = read_pages, engine: Callable[[str, int, str], tuple[str, float | None]] | None = None, *, page_limit: int | None = None, expected: str = "auto") -> DataFrame:
-    """One source record per PDF page. Pages of good native text and all others go separate ways, so the engine sees only the latter.
+def pdf_records(files: DataFrame, reader: Reader, engine: Callable[[str, int, str], tuple[str, float | None]] | None = None, *, page_limit: int | None = None, expected: str = "auto") -> DataFrame:
+    """One source record per PDF page. Pages of good native text go past the grouped stage that asks the engine.
 
     A file that cannot be read is one record without a page number, of method ``failed``.
     """
     pages = page_records(files, reader, page_limit=page_limit, expected=expected)
-    read = choose_ocr(pages.where("page_error IS NULL"), engine, expected)
+    native = F.col("native_text").alias("original_text"), F.lit("native").alias("extraction_method"), F.lit(None).cast("double").alias("ocr_mean_confidence"), F.lit(None).cast("string").alias("error")
+    fine = pages.where("page_error IS NULL AND NOT needs_ocr").select("*", *native)
+    read = choose_ocr(pages.where("page_error IS NULL AND needs_ocr"), engine, expected).unionByName(fine)
     broken = pages.where("page_error IS NOT NULL").select("*", F.lit("").alias("original_text"), F.lit("failed").alias("extraction_method"), F.lit(None).cast("double").alias("ocr_mean_confidence"), F.col("page_error").alias("error"))
     every = read.unionByName(broken)
     turned = (F.col("extraction_method") == "native") & F.col("rtl_digits")
