@@ -77,11 +77,11 @@ def _plain_patterns() -> list[re.Pattern]:
 _FOLD = str.maketrans(FOLD_FROM, FOLD_TO)
 
 
-def normalized(text: str, reverse_runs: bool = False) -> str:
+def normalized(text: str, reverse_runs: bool = False, compose: bool = True) -> str:
     """normalize_text of one string, for code that runs inside tasks."""
     formatting, private, marks, digits, ends, *_, white = _plain_patterns()
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
+        text = unicodedata.normalize("NFKC", text) if compose else text
         text = marks.sub("", private.sub(" ", formatting.sub("", text))).translate(_FOLD)
         if reverse_runs:
             text = digits.sub(lambda m: m[0][::-1], text)

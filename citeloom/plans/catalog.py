@@ -521,18 +521,18 @@ def line_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH p AS (SELECT doc_id, n_chars, unnest(regexp_extract_all(text, '[^\n]*\n|[^\n]+$')) AS line, generate_subscripts(regexp_extract_all(text, '[^\n]*\n|[^\n]+$'), 1) AS line_no FROM documents),
-s AS (SELECT *, sum(length(line)) OVER w AS e, sum(length(line)) OVER w - length(line) AS b FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
-t AS (SELECT doc_id, max(e) AS total FROM s GROUP BY doc_id)
-SELECT s.doc_id, min(line_no) AS locator_start, max(line_no) AS locator_end FROM s JOIN t ON t.doc_id = s.doc_id WHERE e > total // 4 AND b < total // 2 + 1 GROUP BY s.doc_id
+WITH d AS (SELECT doc_id, length(text) AS n, regexp_extract_all(text, '[^\n]*\n|[^\n]+$') AS lines FROM documents WHERE text <> ''),
+p AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS line_no FROM d),
+s AS (SELECT doc_id, line_no, sum(length(line)) OVER w AS e, sum(length(line)) OVER w - length(line) AS b FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+q AS (SELECT doc_id, k AS span_no, k * n // 8 AS a, (k + 1) * n // 8 + 1 AS z FROM d CROSS JOIN (SELECT unnest(range(0, 8)) AS k))
+SELECT q.doc_id, span_no, CAST(a AS BIGINT) AS start_char, CAST(z AS BIGINT) AS end_char, min(line_no) AS locator_start, max(line_no) AS locator_end FROM q JOIN s ON s.doc_id = q.doc_id AND s.e > a AND s.b < z GROUP BY ALL
 """)
 def locator_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Locators of the second quarter of each document, from its line segments on the row."""
-    docs = table(spark, sf_dir, "documents").where("text != ''").select("doc_id", "text")
-    pieces = F.regexp_extract_all("text", F.lit(r"([^\n]*\n|[^\n]+$)"), F.lit(1))
-    held = docs.withColumn("seg", D._segments(pieces, lambda p: F.lit("line"), lambda p: p)).withColumn("total", F.length("text"))
-    found = C.locator_range(F.col("seg"), F.floor(F.col("total") / 4), F.floor(F.col("total") / 2) + 1, F.lit(1), F.size("seg"))
-    return held.select("doc_id", found.alias("l")).select("doc_id", F.col("l.start").cast("long").alias("locator_start"), F.col("l.end").cast("long").alias("locator_end"))
+    """Locators of eight overlapping spans that cover each document, from its lines."""
+    docs = table(spark, sf_dir, "documents").where("text != ''").select("doc_id", D.line_places(F.col("text")).alias("segments"), F.length("text").alias("n"))
+    span = lambda k: F.struct(F.expr(f"{k} * n div 8").alias("start_char"), F.expr(f"{k + 1} * n div 8 + 1").alias("end_char"))
+    found = C.locate_spans(docs.withColumn("spans", F.array(*[span(k) for k in range(8)])), ["doc_id"])
+    return found.select("doc_id", *[F.col(c).cast("long").alias(c) for c in found.columns if c != "doc_id"])
 
 
 KINDS_SQL = r"""
@@ -608,9 +608,18 @@ def chunk_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The general walk, with its search for ends and starts, by the word counter: it must cut where the closed form cuts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(0).alias("start_char"), F.length("text").alias("end_char"), F.array().cast("array<int>").alias("preferred_breaks"))
-    found = C.chunk_spans(docs)
-    piece = F.expr("substring(text, chunk_start + 1, chunk_end - chunk_start)")
-    return found.select("doc_id", F.col("chunk_in_section").alias("chunk_index"), "token_count", F.sha2(F.regexp_replace(piece, r"\s+", " "), 256).alias("text_hash"))
+    found = C.chunk_spans(docs, keep=["doc_id"])
+    return found.select("doc_id", F.col("chunk_in_section").alias("chunk_index"), "token_count", F.sha2(F.regexp_replace("chunk_text", r"\s+", " "), 256).alias("text_hash"))
+
+
+@query()
+def chunk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of all documents by the tokens of a word BPE file; tests hold them against a walk that tokenises each candidate anew."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(0).alias("start_char"), F.length("text").alias("end_char"), F.array().cast("array<int>").alias("preferred_breaks"))
+    found = C.chunk_spans(docs, C.tokenizer_counter(public_tokenizers.path("word_bpe_49k.json")), keep=["doc_id"])
+    return found.select("doc_id", F.col("chunk_in_section").alias("chunk_index"), "chunk_start", "chunk_end", "token_count", F.sha2("chunk_text", 256).alias("text_hash"))
 
 
 @query(f"WITH {CHUNKS_SQL} SELECT doc_id, chunk_index, sha256('d' || doc_id || ':1:1.2.0:txt:line:1:1:' || first_word || ':' || (first_word + n_words) || ':document:') AS chunk_id FROM chunks")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions.text import detect_language, text_quality
 from citeloom.operators import answers, chunking, gate, index, retrieval, structure
+from citeloom.session import Scratch
 from citeloom.sources.settings import Settings
 
 
@@ -25,22 +26,31 @@ def chunk_records(
     numbered = records.withColumn("record_no", F.col("locator_start"))
     for name, value in (("native_rtl_digit_correction_applied", F.lit(False)), ("page_number", F.lit(None).cast("int")), ("extraction_method", F.lit(None).cast("string"))):
         numbered = numbered if name in given else numbered.withColumn(name, value)
-    found = structure.detect_sections(numbered, document="document_id", text="original_text")
-    sections = numbered.drop("native_text", "native_quality", "selected_quality", "normalized_text", "error").join(found, ["document_id", "record_no"])
-    chunks = chunking.chunk_spans(sections, counter, config, text="original_text", reverse_runs="native_rtl_digit_correction_applied", keep_errors=True)
-    place = chunking.locator_range(F.col("source_segments"), F.col("chunk_start"), F.col("chunk_end"), F.col("locator_start"), F.col("locator_end"))
-    chunks = chunks.withColumn("_l", place).withColumn("normalized_text", F.col("normalized_chunk"))
+    found = structure.record_sections(numbered, document="document_id", text="original_text")
+    places = [F.col(f"source_segments.{c}").alias(name) for c, name in (("start_char", "segment_starts"), ("end_char", "segment_ends"))]
+    whole = numbered.select("document_id", "record_no", "original_text", "locator_start", "locator_end", *places, F.col("native_rtl_digit_correction_applied").alias("reversed_runs"))
+    scratch = Scratch(records.sparkSession, "chunks")
+    chunks = scratch.keep(chunking.chunk_record_sections(whole.join(found, ["document_id", "record_no"]), counter, config), "cut")
+    # what records have besides their texts
+    texts = ("original_text", "source_segments", "native_text", "normalized_text", "native_quality", "selected_quality", "ocr_mean_confidence", "native_rtl_digit_correction_applied", "error")
+    own = {"section_type", "section_title", "chunk_start", "chunk_end", "locator_start", "locator_end", "token_count", "chunk_error", "chunk_no"}
+    chunks = chunks.join(numbered.select(*[c for c in numbered.columns if c not in texts and c not in own]), ["document_id", "record_no"])
     ident = chunking.stable_chunk_id(
         F.col("document_id"), F.lit(version), F.col("source_format"), F.col("locator_type"), F.col("locator_start"), F.col("locator_end"), F.col("chunk_start"), F.col("chunk_end"), F.col("section_type"), F.col("section_title")
     )
-    order = Window.partitionBy("document_id").orderBy("record_no", "start_char", "chunk_start", "chunk_end")
-    own = F.when(F.col("language").isin("mixed", "unknown"), detect_language(text_quality(F.col("normalized_text")))).otherwise(F.col("language"))
-    chunks = chunks.withColumn("chunk_id", ident).withColumn("chunk_index", F.row_number().over(order) - 1).withColumn("language", own)
-    chunks = chunks.withColumn("original_text", F.expr("substring(original_text, chunk_start + 1, chunk_end - chunk_start)"))
-    chunks = chunks.withColumn("locator_start", F.col("_l.start")).withColumn("locator_end", F.col("_l.end")).withColumn("page_start", F.col("page_number")).withColumn("page_end", F.col("page_number"))
+    chunks = _document_numbers(chunks)
+    language = F.when(F.col("language").isin("mixed", "unknown"), detect_language(text_quality(F.col("normalized_text")))).otherwise(F.col("language"))
+    chunks = chunks.withColumn("chunk_id", ident).withColumn("language", language).withColumn("page_start", F.col("page_number")).withColumn("page_end", F.col("page_number"))
     chunks = chunks.withColumn("original_start_char", F.col("chunk_start")).withColumn("original_end_char", F.col("chunk_end")).withColumn("document_version", F.lit(version))
     chunks = chunks.withColumn("extraction_methods", F.array("extraction_method")).withColumn("tokenizer_name", F.lit(chunking.counter_name(counter))).withColumn("pipeline_version", F.lit(chunking.PIPELINE_VERSION))
-    return chunks.drop("_l", "normalized_chunk", "source_segments", "preferred_breaks", "page_number", "extraction_method", "ocr_mean_confidence", "native_rtl_digit_correction_applied")
+    return chunks.drop("page_number", "extraction_method", "chunk_no")
+
+
+def _document_numbers(chunks: DataFrame) -> DataFrame:
+    """Adds chunk_index, from 0 in the document's order: the chunk's place in its record, and how many the records before hold."""
+    sizes = chunks.groupBy("document_id", "record_no").agg(F.count(F.lit(1)).alias("_size"))
+    shifts = structure.running_before(sizes, "document_id", "record_no", "_size", "_shift").drop("_size")
+    return chunks.join(shifts, ["document_id", "record_no"]).withColumn("chunk_index", (F.col("_shift") + F.col("chunk_no")).cast("int")).drop("_shift")
 
 
 def ingest(records: DataFrame, *, dimension: int = 64, **options) -> DataFrame:

@@ -13,14 +13,16 @@ from dataclasses import dataclass, field
 from functools import reduce
 from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citeloom.functions.text import language_of, normalize_text, normalized, quality_of, requires_ocr, resolve_language, text_quality
 from citeloom.functions.text import needs_ocr as ocr_needed
-from citeloom.operators.structure import LINES
+from citeloom.operators.structure import running_lengths, split_lines
 
 SUFFIXES = ("pdf", "docx", "txt")
 SIZE_LIMIT = 100 << 20
@@ -155,25 +157,32 @@ def _docx_blocks(limit: int) -> Callable[[Column], Column]:
     return read
 
 
-def _segments(pieces: Column, kind: Callable[[Column], Column], text: Callable[[Column], Column]) -> Column:
-    """Consecutive source segments with running offsets and locators from 1."""
-    kinds = "struct<start_char:int,end_char:int,locator_start:int,locator_end:int,kind:string>"
-    placed = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().cast(f"array<{kinds}>").alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(text(p))).alias("at"),
-            (acc["n"] + 1).alias("n"),
-            F.array_append(
-                acc["out"],
-                F.struct(
-                    acc["at"].alias("start_char"), (acc["at"] + F.length(text(p))).alias("end_char"), (acc["n"] + 1).alias("locator_start"), (acc["n"] + 1).alias("locator_end"), kind(p).alias("kind")
-                ),
-            ).cast(f"array<{kinds}>").alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return placed
+SEGMENTS = "array<struct<start_char:int,end_char:int,locator_start:int,locator_end:int,kind:string>>"
+_SEGMENTS = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("start_char", "end_char", "locator_start", "locator_end")] + [T.StructField("kind", T.StringType())]))
+_SEGMENT = pa.struct([("start_char", pa.int32()), ("end_char", pa.int32()), ("locator_start", pa.int32()), ("locator_end", pa.int32()), ("kind", pa.string())])
+
+
+def _consecutive(pieces: list[list[str]], kinds: list[list[str]] | str) -> pa.Array:
+    """Consecutive source segments of each row with running offsets and locators from 1, by one running sum over all rows."""
+    counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    row, number, start, end = running_lengths(counts, [p for some in pieces for p in some])
+    named = [kinds] * len(row) if isinstance(kinds, str) else [k for some in kinds for k in some]
+    columns = [pa.array(v.astype(np.int32)) for v in (start, end, number + 1, number + 1)]
+    segments = pa.StructArray.from_arrays([*columns, pa.array(named, pa.string())], fields=list(_SEGMENT))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), segments)
+
+
+@F.arrow_udf(_SEGMENTS)
+def line_places(texts: pa.Array) -> pa.Array:
+    """The lines of texts as source segments."""
+    return _consecutive([split_lines(t or "") for t in texts.to_pylist()], "line")
+
+
+@F.arrow_udf(_SEGMENTS)
+def _block_places(blocks: pa.Array) -> pa.Array:
+    """Blocks (text, kind), each closed by a line end, as source segments."""
+    held = [b or [] for b in blocks.to_pylist()]
+    return _consecutive([[x["text"] + "\n" for x in b] for b in held], [[x["kind"] for x in b] for b in held])
 
 
 def _record(frame: DataFrame, method: str, locator: str, expected: str) -> DataFrame:
@@ -197,9 +206,8 @@ def _record(frame: DataFrame, method: str, locator: str, expected: str) -> DataF
 def text_records(files: DataFrame, expected: str = "auto") -> DataFrame:
     """One source record per plain text document; the byte order mark goes, lines are the segments."""
     text = F.regexp_replace(F.decode("content", "UTF-8"), r"^\x{FEFF}", "")
-    lines = F.regexp_extract_all(text, F.lit(LINES), F.lit(1))
-    held = files.where("source_format = 'txt'").select("document_id", F.col("path").alias("source_file"), "source_format", text.alias("original_text"), lines.alias("_l"))
-    return _record(held.withColumn("source_segments", _segments(F.col("_l"), lambda p: F.lit("line"), lambda p: p)).drop("_l"), "txt", "line", expected)
+    held = files.where("source_format = 'txt'").select("document_id", F.col("path").alias("source_file"), "source_format", text.alias("original_text"))
+    return _record(held.withColumn("source_segments", line_places("original_text")), "txt", "line", expected)
 
 
 def word_records(files: DataFrame, expected: str = "auto", limit: int = SIZE_LIMIT) -> DataFrame:
@@ -207,7 +215,7 @@ def word_records(files: DataFrame, expected: str = "auto", limit: int = SIZE_LIM
     held = files.where("source_format = 'docx'").select("document_id", F.col("path").alias("source_file"), "source_format", _docx_blocks(limit)(F.when(F.col("source_format") == "docx", F.col("content"))).alias("_b"))
     line = lambda p: F.concat(p["text"], F.lit("\n"))
     held = held.withColumn("original_text", F.array_join(F.transform("_b", line), ""))
-    return _record(held.withColumn("source_segments", _segments(F.col("_b"), lambda p: p["kind"], line)).drop("_b"), "docx", "block", expected)
+    return _record(held.withColumn("source_segments", _block_places("_b")).drop("_b"), "docx", "block", expected)
 
 
 def rtl_digit_storage(glyphs: list[list[tuple[str, float]]]) -> bool:
@@ -330,9 +338,8 @@ def pdf_records(files: DataFrame, reader: Reader, engine: Callable[[str, int, st
     made = every.withColumn("native_rtl_digit_correction_applied", turned).withColumn("normalized_text", normalize_text(F.col("original_text"), F.col("native_rtl_digit_correction_applied")))
     made = made.withColumn("selected_quality", text_quality(F.col("normalized_text")))
     language = F.when(F.col("extraction_method") == "failed", resolve_language(F.col("native_quality"), expected)).otherwise(resolve_language(F.col("selected_quality"), expected))
-    kind = "array<struct<start_char:int,end_char:int,locator_start:int,locator_end:int,kind:string>>"
     return made.select(
-        "document_id", "source_file", F.lit("pdf").alias("source_format"), "original_text", F.array().cast(kind).alias("source_segments"), "extraction_method", "native_text", "normalized_text", "native_quality", "selected_quality",
+        "document_id", "source_file", F.lit("pdf").alias("source_format"), "original_text", F.array().cast(SEGMENTS).alias("source_segments"), "extraction_method", "native_text", "normalized_text", "native_quality", "selected_quality",
         language.alias("language"), F.lit("page").alias("locator_type"), F.coalesce("page_number", F.lit(1)).alias("locator_start"), F.coalesce("page_number", F.lit(1)).alias("locator_end"), "page_number", "ocr_mean_confidence", "error", "native_rtl_digit_correction_applied",
     )
 

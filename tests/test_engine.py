@@ -8,6 +8,7 @@ import unicodedata
 import uuid
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ def test_chunk_walk_agrees_with_the_closed_form(spark):
     config = chunking.ChunkingConfig(30, 5, 36)
     texts = [" ".join(random.choice(("ab", "cde", "f")) for _ in range(random.randint(1, 150))) for _ in range(40)]
     sections = spark.createDataFrame([(i, t, 0, len(t)) for i, t in enumerate(texts)], "id int, text string, start_char int, end_char int").withColumn("preferred_breaks", F.array().cast("array<int>"))
-    walked = chunking.chunk_spans(sections, config=config).select("id", F.col("chunk_in_section").alias("k"), F.expr("substring(text, chunk_start + 1, chunk_end - chunk_start)").alias("t"))
+    walked = chunking.chunk_spans(sections, config=config, keep=["id"]).select("id", F.col("chunk_in_section").alias("k"), F.col("chunk_text").alias("t"))
     closed = chunking.chunk_words(sections.select("id", "text"), config).select("id", F.col("chunk_index").alias("k"), F.col("chunk_text").alias("t"))
     assert sorted(map(tuple, walked.collect())) == sorted(map(tuple, closed.collect()))
 
@@ -83,9 +84,11 @@ def test_sections_carry_headings_over_pages(spark):
 
 
 def test_locators(spark):
-    row = spark.range(1).select(F.expr("array(named_struct('start_char',0,'end_char',5,'locator_start',1,'locator_end',1), named_struct('start_char',5,'end_char',9,'locator_start',2,'locator_end',2))").alias("s"))
-    get = lambda a, b: tuple(row.select(chunking.locator_range(F.col("s"), F.lit(a), F.lit(b), F.lit(7), F.lit(8)).alias("l")).first()["l"])
-    assert get(0, 5) == (1, 1) and get(4, 6) == (1, 2) and get(5, 9) == (2, 2) and get(9, 12) == (7, 8)
+    get = lambda a, b: tuple(int(x[0]) for x in chunking.locators(np.array([0, 5]), np.array([5, 9]), np.array([a]), np.array([b])))
+    assert get(0, 5) == (0, 0) and get(4, 6) == (0, 1) and get(5, 9) == (1, 1) and get(9, 12) == (2, 1)
+    rows = spark.createDataFrame([(1, [(0, 5), (5, 9)], [(0, 5), (4, 6), (9, 12)]), (2, [], [(0, 3)]), (3, [(0, 2)], [])], "id int, segments array<struct<start_char:int,end_char:int>>, spans array<struct<start_char:bigint,end_char:bigint>>")
+    found = chunking.locate_spans(rows, ["id"]).collect()
+    assert sorted((r.id, r.span_no, r.start_char, r.end_char, r.locator_start, r.locator_end) for r in found) == [(1, 0, 0, 5, 1, 1), (1, 1, 4, 6, 1, 2), (1, 2, 9, 12, None, None), (2, 0, 0, 3, None, None)]
 
 
 def docx(paragraphs):
