@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from citeloom.operators.answers import http_client
 from citeloom.operators.chunking import ChunkingConfig
-from citeloom.operators.index import VectorTable, crc_embedding, hash_embedding
+from citeloom.operators.index import VectorTable, word_embedding, hash_embedding
 from citeloom.plans import ingestion, pipeline
 from citeloom.session import build_session
 from citeloom.sources.settings import Settings, load_settings
@@ -42,7 +42,7 @@ def ingest_folder(spark: SparkSession, inputs: str | list[str], output: str, set
 
 def ask(spark: SparkSession, question: str, settings: Settings, language: str = "mixed", filters: dict[str, str | None] | None = None, model: bool = False) -> DataFrame:
     """One answer row; ``language`` is that of the answer and filters nothing. With ``model`` the generator of the settings answers."""
-    vector = [float(x) for x in crc_embedding(question.strip(), DIMENSION)]
+    vector = [float(x) for x in word_embedding(question.strip(), DIMENSION)]
     asked = spark.createDataFrame([(1, question.strip(), vector, language)], "query_id int, query string, query_vector array<float>, language string")
     client = http_client(settings.generator_url, settings.generation_model, timeout=settings.generation_timeout, temperature=settings.temperature) if model else None
     return pipeline.answer(asked, VectorTable(spark, settings.index_path, DIMENSION).read(), settings, filters, client)

@@ -15,14 +15,12 @@ NUMBER_WORDS = {
 }
 ARABIC_MILLION = "مليون|ملايين|مليونًا|مليوناً"
 MILLION = ARABIC_MILLION + "|million|millions"
-PLAIN_MILLION = "مليون|ملايين|million|millions"
-VALUE_NOUN = r"(?:قيمتها|قيمته|القيمة)?"
 THRESHOLDS = (
-    r"(?:أقل|اقل|أقل من|اقل من)\s*(?:قيمة\s*)?(?:الدعوى|الدعاوى|المنازعة|المنازعات)?\s*{n}\s*(?:" + PLAIN_MILLION + ")",
-    r"(?:تقل|يقل)\s*" + VALUE_NOUN + r"\s*(?:عن|على)?\s*{n}\s*(?:" + PLAIN_MILLION + ")",
-    r"(?:لا تجاوز|لا يجاوز|لا تتجاوز|لا يتجاوز)\s*" + VALUE_NOUN + r"\s*{n}\s*(?:" + PLAIN_MILLION + ")",
-    r"(?:تزيد|يزيد)\s*" + VALUE_NOUN + r"\s*(?:على|عن)\s*{n}\s*(?:" + PLAIN_MILLION + ")",
-    r"(?:تجاوز|تجاوزت|يتجاوز|تتجاوز)\s*" + VALUE_NOUN + r"\s*{n}\s*(?:" + PLAIN_MILLION + ")",
+    r"(?:أقل|اقل|أقل من|اقل من)\s*(?:قيمة\s*)?(?:الدعوى|الدعاوى|المنازعة|المنازعات)?\s*{n}\s*(?:مليون|ملايين|million|millions)",
+    r"(?:تقل|يقل)\s*(?:قيمتها|قيمته|القيمة)?\s*(?:عن|على)?\s*{n}\s*(?:مليون|ملايين|million|millions)",
+    r"(?:لا تجاوز|لا يجاوز|لا تتجاوز|لا يتجاوز)\s*(?:قيمتها|قيمته|القيمة)?\s*{n}\s*(?:مليون|ملايين|million|millions)",
+    r"(?:تزيد|يزيد)\s*(?:قيمتها|قيمته|القيمة)?\s*(?:على|عن)\s*{n}\s*(?:مليون|ملايين|million|millions)",
+    r"(?:تجاوز|تجاوزت|يتجاوز|تتجاوز)\s*(?:قيمتها|قيمته|القيمة)?\s*{n}\s*(?:مليون|ملايين|million|millions)",
 )
 # End of fixed values.
 

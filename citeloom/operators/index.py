@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,21 +18,21 @@ from citeloom.operators.buckets import BucketTable, last_rows
 POINT_PREFIX = "chunk:"
 
 
-def crc_embedding(text: str | None, dimension: int = 64) -> np.ndarray:
-    """A vector without a model: each distinct word adds +1 or -1 to one component by its CRC-32; unit length."""
+def word_embedding(text: str | None, dimension: int = 64) -> np.ndarray:
+    """A vector without a model: each distinct word adds +1 or -1 to one component by the first 32 bits of its MD5; unit length."""
     words = {w for w in re.split(r"\W+", (text or "").lower()) if w}
-    hashes = np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, len(words))
+    hashes = np.fromiter((int.from_bytes(hashlib.md5(w.encode()).digest()[:4]) for w in words), np.int64, len(words))
     out = np.bincount(hashes % dimension, np.where((hashes >> 16) % 2 == 0, 1.0, -1.0), dimension)
     norm = np.sqrt((out**2).sum())
     return (out / norm if norm else out).astype(np.float32)
 
 
 def hash_embedding(text: Column, dimension: int = 64) -> Column:
-    """crc_embedding in Arrow batches."""
+    """word_embedding in Arrow batches."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def encode(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: crc_embedding(t, dimension))
+        return texts.map(lambda t: word_embedding(t, dimension))
 
     return encode(text)
 

@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citeloom.functions.text import all_of, first_filled
+from citeloom.operators.index import shared_model
 
 CAP_PER_DOCUMENT = 4
 FILTER_KEYS = ("language", "document_type", "source", "document_id")
 #: Questions up to this many are broadcast against the collection at once; more go in blocks of about this many.
 BROADCAST_QUESTIONS = 10_000
+#: What meets in one matrix product, and how many winners are broadcast to fetch what else they hold.
+QUESTIONS_AT_ONCE, ROWS_AT_ONCE, BROADCAST_WINNERS = 256, 4096, 400_000
 
 
 def metadata_filter(filters: dict[str, str | None] | None) -> Column:
@@ -36,62 +42,80 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def dense_topk(questions: DataFrame, collection: DataFrame, *, k: int = 20, filters: dict[str, str | None] | None = None, threshold: float | None = None) -> DataFrame:
-    """The k nearest chunks of each question (query_id, query_vector): adds score and dense_rank_no; ties by chunk_id.
+def dense_topk(questions: DataFrame, collection: DataFrame, *, k: int = 20, filters: dict[str, str | None] | None = None, threshold: float | None = None, key: str = "chunk_id") -> DataFrame:
+    """The k nearest chunks of each question (query_id, query_vector): adds score and dense_rank_no; ties by the key, which names one row of the collection.
 
-    Both sides are scaled to unit length once. Blocks of the collection meet all questions at once as a matrix product inside Arrow batches, and only
-    rows that can be among a question's k best leave it. The filter reaches the scan; the questions, which are few against the collection, are
-    counted and broadcast; each task keeps k rows per question before the shuffle by question. Vectors without a direction score null and come last.
+    Both sides are scaled to unit length once. Only keys and vectors go to Python: blocks of them meet the questions as matrix products inside Arrow batches, and
+    only rows that can be among a question's k best leave. The filter reaches the scan; the questions, which are few against the collection, are
+    counted and broadcast; each task keeps k rows per question before the shuffle by question. What else a chunk holds is fetched at the end, for
+    the winners alone. Vectors without a direction score null and come last.
     """
     blocks = -(-questions.count() // BROADCAST_QUESTIONS)
     if blocks > 1:
         block = F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks))
-        parts = [_topk_of_block(questions.where(block == b), collection, k, filters, threshold) for b in range(2 * blocks)]
+        parts = [_topk_of_block(questions.where(block == b), collection, k, filters, threshold, key) for b in range(2 * blocks)]
         return reduce(DataFrame.union, parts)
-    return _topk_of_block(questions, collection, k, filters, threshold)
+    return _topk_of_block(questions, collection, k, filters, threshold, key)
 
 
-def _topk_of_block(questions: DataFrame, collection: DataFrame, k: int, filters: dict[str, str | None] | None, threshold: float | None) -> DataFrame:
+def _topk_of_block(questions: DataFrame, collection: DataFrame, k: int, filters: dict[str, str | None] | None, threshold: float | None, key: str) -> DataFrame:
     kept = collection.where(metadata_filter(filters)) if filters else collection
     held = questions.toArrow()  # at most about BROADCAST_QUESTIONS rows
     asked = kept.sparkSession.sparkContext.broadcast((unit_rows(held.column("query_vector")), held.num_rows))
     numbered = questions.sparkSession.createDataFrame(held.append_column("_q", pa.array(range(held.num_rows), pa.int32())))
-    least, at = -math.inf if threshold is None else threshold - 1e-9, kept.columns.index("vector")
+    least = -math.inf if threshold is None else threshold - 1e-9
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix, n = asked.value
         best = np.full((n, 0), 0.0)  # the k best scores that each question has met in this task
         for batch in batches:
-            found = unit_rows(batch.column(at))
-            for start in range(0, len(found), 4096):
-                some = found[start : start + 4096]
+            found = unit_rows(batch.column(1))
+            for start in range(0, len(found), ROWS_AT_ONCE):
+                some = found[start : start + ROWS_AT_ONCE]
                 width = max(some.shape[1], matrix.shape[1])
-                scores = np.pad(matrix, ((0, 0), (0, width - matrix.shape[1]))) @ np.pad(some, ((0, 0), (0, width - some.shape[1]))).T
-                scores[:, ~some.any(axis=1)] = -2.0  # without a direction: behind all others
-                every = np.concatenate((best, scores), axis=1)
-                best = every if every.shape[1] <= k else -np.partition(-every, k - 1, axis=1)[:, :k]
-                # a little below the k-th best, so that rounding loses no tie
-                bar = np.maximum(best.min(axis=1) - 1e-9, least) if best.shape[1] == k else np.full(n, least)
-                question, row = np.nonzero(scores >= bar[:, None])
-                chosen = batch.slice(start, len(some)).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(question, pa.int32()), *chosen.columns], ["_q", *batch.schema.names])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    near = kept.mapInArrow(score, "_q int, " + fields).join(F.broadcast(numbered), "_q").drop("_q")
+                rows = np.pad(some, ((0, 0), (0, width - some.shape[1]))).T
+                blind = ~some.any(axis=1)
+                kept_best = []
+                for first in range(0, n, QUESTIONS_AT_ONCE):
+                    own, before = matrix[first : first + QUESTIONS_AT_ONCE], best[first : first + QUESTIONS_AT_ONCE]
+                    scores = np.pad(own, ((0, 0), (0, width - own.shape[1]))) @ rows
+                    scores[:, blind] = -2.0  # without a direction: behind all others
+                    every = np.concatenate((before, scores), axis=1)
+                    top = every if every.shape[1] <= k else -np.partition(-every, k - 1, axis=1)[:, :k]
+                    kept_best.append(top)
+                    # a little below the k-th best, so that rounding loses no tie
+                    bar = np.maximum(top.min(axis=1) - 1e-9, least) if top.shape[1] == k else np.full(len(own), least)
+                    question, row = np.nonzero(scores >= bar[:, None])
+                    chosen = batch.slice(start, len(some)).take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([pa.array((question + first).astype(np.int32)), *chosen.columns], ["_q", "_key", "vector"])
+                best = np.concatenate(kept_best) if kept_best else best
+
+    narrow = kept.select(F.col(key).alias("_key"), "vector")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema)
+    near = narrow.mapInArrow(score, "_q int, " + fields).join(F.broadcast(numbered.select("_q", "query_vector")), "_q")
     exact = near.withColumn("score", cosine(F.col("vector"), F.col("query_vector"))).drop("vector", "query_vector")
     if threshold is not None:
         exact = exact.where(F.col("score") >= threshold)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return exact.withColumn("dense_rank_no", F.row_number().over(order)).where(F.col("dense_rank_no") <= k)
+    order = Window.partitionBy("_q").orderBy(F.desc("score"), "_key")
+    winners = exact.withColumn("dense_rank_no", F.row_number().over(order)).where(F.col("dense_rank_no") <= k)
+    winners = winners.join(F.broadcast(numbered.drop("query_vector")), "_q").drop("_q")
+    payload = kept.drop("vector")
+    # k rows for each of a bounded number of questions
+    winners = F.broadcast(winners) if k * held.num_rows <= BROADCAST_WINNERS else winners
+    return payload.join(winners, payload[key] == winners["_key"]).drop("_key")
 
 
-def unit_rows(vectors: pa.Array) -> np.ndarray:
+def unit_rows(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Vectors as rows of unit length, filled up with zeros; a null vector, or one of nothing but zeros, is a row of zeros."""
-    rows = [np.zeros(0) if v is None else np.asarray(v, dtype=np.float64) for v in vectors.to_pylist()]
-    width = max((len(r) for r in rows), default=0)
-    out = np.zeros((len(rows), width))
-    for to, row in zip(out, rows):
-        to[: len(row)] = row
+    held = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    widths = pc.unique(pc.list_value_length(held))
+    if held.null_count == 0 and len(widths) == 1 and held.flatten().null_count == 0:
+        out = held.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(held), -1)
+    else:
+        rows = [np.zeros(0) if v is None else np.asarray(v, dtype=np.float64) for v in held.to_pylist()]
+        out = np.zeros((len(rows), max((len(r) for r in rows), default=0)))
+        for to, row in zip(out, rows):
+            to[: len(row)] = row
     return out / np.maximum(np.sqrt((out**2).sum(axis=1, keepdims=True)), 1e-300)
 
 
@@ -137,6 +161,26 @@ def rerank(hits: DataFrame, score: Callable[[Column, Column], Column] | Column,
     return hits.withColumn("rerank_score", value).withColumn("rerank_no", F.row_number().over(order)).where(F.col("rerank_no") <= n)
 
 
+def batch_model(name: str, make: Callable[[], Callable[[list[tuple[str, str]]], Sequence[float]]], size: int = 32) -> Callable[[Column, Column], Column]:
+    """A second score for ``rerank`` from a model of (question, text) pairs, such as a cross-encoder: loaded once per process under its name, and
+    given ``size`` pairs at a time. It must give one number for each pair."""
+
+    @F.pandas_udf(T.DoubleType())
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = shared_model(name, make)
+        for queries, texts in batches:
+            pairs, found = list(zip(queries.fillna(""), texts.fillna(""))), []
+            for start in range(0, len(pairs), size):
+                some = pairs[start : start + size]
+                scores = [float(x) for x in model(some)]
+                if len(scores) != len(some):
+                    raise ValueError(f"the model {name} gave {len(scores)} scores for {len(some)} pairs")
+                found += scores
+            yield pd.Series(found, dtype=float)
+
+    return lambda query, text: score(query, text)
+
+
 def lexical_overlap(query: Column, text: Column) -> Column:
     """A deterministic stand-in for a cross-encoder: the share of the question's words that the text holds."""
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"(?U)\W+"), lambda w: w != ""))

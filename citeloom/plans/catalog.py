@@ -265,10 +265,16 @@ def point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.uuid5(F.concat(F.lit(I.POINT_PREFIX), F.col("doc_id").cast("string"))).alias("point_id"))
 
 
-@query()
+@query(r"""
+WITH w AS (SELECT DISTINCT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '')) AS word FROM documents),
+h AS (SELECT doc_id, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) AS h FROM w),
+c AS (SELECT doc_id, h % 64 AS place, sum(CASE WHEN h // 65536 % 2 = 0 THEN 1 ELSE -1 END) AS v FROM h GROUP BY 1, 2),
+n AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM c GROUP BY doc_id)
+SELECT d.doc_id, place, CAST(floor(coalesce(v / nullif(norm, 0), 0) * 10000 + 0.5) AS BIGINT) AS component FROM (SELECT doc_id, unnest(range(0, 64)) AS place FROM documents) d LEFT JOIN c USING (doc_id, place) LEFT JOIN n USING (doc_id)
+""")
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", I.hash_embedding(F.col("text")).alias("v"))
-    return docs.select("doc_id", F.to_json("v").alias("vector"), F.round(R.dot(F.col("v"), F.col("v")), 5).alias("norm"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(I.hash_embedding(F.col("text"))).alias("place", "v"))
+    return docs.select("doc_id", F.col("place").cast("long").alias("place"), F.floor(F.col("v").cast("double") * 10000 + 0.5).alias("component"))
 
 
 # --- text ------------------------------------------------------------------------------------------------------------
@@ -316,9 +322,11 @@ array_to_string(list_filter(list_transform(string_split_regex(
 """
 
 
-@query(f"WITH {SOURCE_SQL} SELECT id, {NORMALIZE_SQL} AS normalized FROM src")
+@query(f"WITH {SOURCE_SQL} SELECT id, {NORMALIZE_SQL} AS normalized, md5({NORMALIZE_SQL}) AS composed FROM src")
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark, sf_dir).select("id", T.normalize_text(F.col("text")).alias("normalized"))
+    """The search form, and that of the same text in wide digits and with ligatures, which compose to what they stand for."""
+    wide = F.replace(F.replace(F.translate("text", "0123456789", "０１２３４５６７８９"), F.lit("fi"), F.lit("ﬁ")), F.lit("لا"), F.lit("ﻻ"))
+    return texts(spark, sf_dir).select("id", T.normalize_text(F.col("text")).alias("normalized"), F.md5(T.normalize_text(wide)).alias("composed"))
 
 
 @query(f"WITH {SOURCE_SQL} SELECT id, array_to_string(list_transform(regexp_extract_all(text, '[٠-٩۰-۹]+|[^٠-٩۰-۹]+'), lambda x: CASE WHEN regexp_matches(x, '^[٠-٩۰-۹]') THEN reverse(x) ELSE x END), '') AS reversed FROM src")
@@ -395,13 +403,16 @@ def validate_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+$') AS lines FROM documents WHERE doc_id % 12 NOT IN (2, 3, 4, 5, 6))
+WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+$') AS lines FROM documents)
 SELECT doc_id, CAST(len(lines) AS BIGINT) AS segments, CAST(greatest(len(lines), 1) AS BIGINT) AS locator_end, CAST(length(text) AS BIGINT) AS characters, CAST(coalesce(length(lines[len(lines)]), 0) AS BIGINT) AS last_segment,
   sha256(text) AS original_hash, 'txt' AS extraction_method, 'line' AS locator_type FROM t
 """)
 def text_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source records of text files; a byte order mark is not part of the text."""
-    records = D.text_records(text_files(spark, sf_dir).where("doc_id % 12 NOT IN (2, 3, 4, 5, 6)"))
+    """Source records of all documents as text files, each twelfth with a byte order mark, which is not part of the text."""
+    raw = F.encode("text", "UTF-8")
+    content = F.when(F.col("doc_id") % 12 == 1, F.concat(F.unhex(F.lit("EFBBBF")), raw)).otherwise(raw)
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.concat(F.lit("d"), "doc_id").alias("path"), F.lit("txt").alias("source_format"), content.alias("content"))
+    records = D.text_records(files)
     last = F.try_element_at("source_segments", F.lit(-1))
     return records.select(
         F.col("document_id").cast("long").alias("doc_id"), F.size("source_segments").cast("long").alias("segments"), F.col("locator_end").cast("long").alias("locator_end"), F.length("original_text").cast("long").alias("characters"),
@@ -409,38 +420,61 @@ def text_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+READ = {"en": ("recognised words of a page ", 0.9), "ar": ("كلمات مقروءة من صفحة الكتاب ", 0.95)}
+
+
 def stub_engine(document: str, page: int, language: str) -> tuple[str, float]:
-    """An OCR engine without a model: it breaks on each fifth document's pages, and reads English on even pages and nothing on others."""
+    """An OCR engine without a model: it breaks on each fifth document's pages, reads nothing on third pages, and else what it is asked to read."""
     if int(document) % 5 == 0:
         raise RuntimeError("broken page")
-    return ("recognised words of a page " * 4 if language == "en" and page % 2 == 0 else "", 0.9)
+    text, confidence = READ[language]
+    return ("" if page == 3 else text * 4, confidence)
 
 
-@query("""
-WITH p AS (SELECT page_id, page_id // 3 AS document_id, page_id % 3 + 1 AS page_number, CASE WHEN page_id % 4 = 0 THEN url ELSE html END AS src FROM pages),
+ROUTED_SQL = """
+WITH p AS (SELECT page_id, page_id // 3 AS document_id, page_id % 3 + 1 AS page_number, CASE page_id % 8 WHEN 0 THEN url WHEN 4 THEN repeat('12345 ', 20) WHEN 6 THEN repeat('67 89 ', 20) ELSE html END AS src, page_id % 8 = 0 AS latin FROM pages),
 src AS (SELECT page_id AS id, src AS text FROM p), """ + QUALITY_SQL + """,
-r AS (SELECT p.*, character_count < 50 OR replacement_ratio > 0.01 OR arabic_ratio + latin_ratio < 0.2 AS ocr FROM p JOIN quality ON id = page_id)
-SELECT document_id, page_number, CASE WHEN NOT ocr THEN 'native' WHEN document_id % 5 = 0 OR page_number % 2 = 1 THEN 'failed' ELSE 'ocr' END AS extraction_method,
-  CASE WHEN NOT ocr THEN sha256(src) WHEN document_id % 5 = 0 OR page_number % 2 = 1 THEN sha256('') ELSE sha256(repeat('recognised words of a page ', 4)) END AS text_hash,
-  CASE WHEN ocr AND document_id % 5 <> 0 AND page_number % 2 = 0 THEN 0.9 END AS ocr_mean_confidence FROM r
-""")
+r AS (SELECT p.*, character_count < 50 OR replacement_ratio > 0.01 OR arabic_ratio + latin_ratio < 0.2 AS ocr FROM p JOIN quality ON id = page_id),
+-- a page of Latin letters is read as English; one without letters in the language that last was read, else in Arabic, of which the engine is surer
+f AS (SELECT *, ocr AND document_id % 5 <> 0 AND page_number < 3 AS read FROM r),
+w AS (SELECT *, CASE WHEN latin OR coalesce(bool_or(read AND latin) OVER (PARTITION BY document_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) THEN 'en' ELSE 'ar' END AS language FROM f)
+"""
+
+
+@query(ROUTED_SQL + f"""SELECT document_id, page_number, CASE WHEN NOT ocr THEN 'native' WHEN read THEN 'ocr' ELSE 'failed' END AS extraction_method,
+  CASE WHEN NOT ocr THEN sha256(src) WHEN NOT read THEN sha256('') WHEN language = 'en' THEN sha256(repeat('{READ['en'][0]}', 4)) ELSE sha256(repeat('{READ['ar'][0]}', 4)) END AS text_hash,
+  CASE WHEN read AND language = 'en' THEN 0.9::DOUBLE WHEN read THEN 0.95::DOUBLE END AS ocr_mean_confidence FROM w""")
 def page_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as those of PDF files, three to a file: good native text stays, the others go to an OCR engine, whose failures mark single pages."""
-    held = table(spark, sf_dir, "pages").select(F.expr("page_id div 3").alias("d"), (F.col("page_id") % 3).alias("n"), F.when(F.col("page_id") % 4 == 0, F.col("url")).otherwise(F.col("html")).alias("t"))
-    number = (F.col("n") + 1).cast("int").alias("page_number")
-    quality = T.text_quality(F.col("t"))
-    pages = held.select(F.col("d").cast("string").alias("document_id"), number, F.col("t").alias("native_text"), T.requires_ocr(quality, "auto").alias("needs_ocr"))
-    read = D.choose_ocr(pages, stub_engine)
+    read = D.choose_ocr(page_frame(spark, sf_dir), stub_engine)
     return read.select(F.col("document_id").cast("long").alias("document_id"), F.col("page_number").cast("long").alias("page_number"), "extraction_method", F.sha2("original_text", 256).alias("text_hash"), "ocr_mean_confidence")
 
 
-@query("""
-WITH p AS (SELECT page_id, page_id // 3 AS document_id, page_id % 3 + 1 AS page_number, CASE WHEN page_id % 4 = 0 THEN url ELSE html END AS src FROM pages),
-src AS (SELECT page_id AS id, src AS text FROM p), """ + QUALITY_SQL + """,
-r AS (SELECT p.*, character_count < 50 OR replacement_ratio > 0.01 OR arabic_ratio + latin_ratio < 0.2 AS ocr FROM p JOIN quality ON id = page_id)
-SELECT document_id, count(*) AS processed_records, count_if(NOT ocr) AS direct_records, count_if(ocr AND document_id % 5 <> 0 AND page_number % 2 = 0) AS ocr_records, count_if(ocr AND (document_id % 5 = 0 OR page_number % 2 = 1)) AS failed_records
-FROM r GROUP BY document_id
-""")
+def page_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("page_id") % 8
+    text = F.when(kind == 0, F.col("url")).when(kind == 4, F.repeat(F.lit("12345 "), F.lit(20))).when(kind == 6, F.repeat(F.lit("67 89 "), F.lit(20))).otherwise(F.col("html"))
+    held = table(spark, sf_dir, "pages").select(F.expr("page_id div 3").cast("string").alias("document_id"), (F.col("page_id") % 3 + 1).cast("int").alias("page_number"), text.alias("native_text"))
+    return held.withColumn("needs_ocr", T.requires_ocr(T.text_quality(F.col("native_text")), "auto"))
+
+
+@query(ORACLES["page_routing"])
+def page_routing_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pages as a stream of three batches, one for each page number; the language that a document was last read in is kept as state."""
+    from citeloom.streaming import carried
+
+    carried.use_state_store(spark)
+    scratch = Scratch(spark, "page_stream")
+    pages, folder = page_frame(spark, sf_dir), f"{scratch.base}/files"
+    for n in (1, 2, 3):  # older files come first
+        pages.where(F.col("page_number") == n).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    out = f"{scratch.base}/pages"
+    carried.stream_ocr(stream, stub_engine).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{scratch.base}/state").trigger(availableNow=True).start().awaitTermination()
+    read = spark.read.schema(carried.PAGE_ROW).parquet(out)
+    return read.select(F.col("document_id").cast("long").alias("document_id"), F.col("page_number").cast("long").alias("page_number"), "extraction_method", F.sha2("original_text", 256).alias("text_hash"), "ocr_mean_confidence")
+
+
+@query(ROUTED_SQL + "SELECT document_id, count(*) AS processed_records, count_if(NOT ocr) AS direct_records, count_if(read) AS ocr_records, count_if(ocr AND NOT read) AS failed_records FROM w GROUP BY document_id")
 def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a report counts, per document."""
     from citeloom.plans.ingestion import record_counts
@@ -454,12 +488,26 @@ def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 NUM = r"(?:[0-9]+(?:[.,][0-9]+)*|[٠-٩]+(?:[٫،.][٠-٩]+)*)"
 NORM_NUM = "trim(replace(translate(translate({v}, '٠١٢٣٤٥٦٧٨٩', '0123456789'), '٫،', '.,'), ',', ''), '.')"
 NUMBERS_SQL = "list_distinct(list_transform(regexp_extract_all({t}, '" + NUM + "'), lambda v: " + NORM_NUM.replace("{v}", "v") + "))"
-WORD_CASE = "CASE v " + " ".join(f"WHEN '{k}' THEN '{n}'" for k, n in N.NUMBER_WORDS.items()) + " END"
+# Fixed values, written out here as well, so that the operator's lists are checked and not quoted.
+WORD_VALUES = {
+    "صفر": 0, "واحد": 1, "واحدة": 1, "اثنان": 2, "اثنين": 2, "اثنتان": 2, "اثنتين": 2, "ثلاثة": 3, "ثلاث": 3, "أربعة": 4, "أربع": 4,
+    "خمسة": 5, "خمس": 5, "ستة": 6, "ست": 6, "سبعة": 7, "سبع": 7, "ثمانية": 8, "ثمان": 8, "تسعة": 9, "تسع": 9, "عشرة": 10,
+}
+MILLION_UNITS = "مليون|ملايين|مليونًا|مليوناً|million|millions"
+THRESHOLD_PHRASES = (
+    r"(?:أقل|اقل|أقل من|اقل من)\s*(?:قيمة\s*)?(?:الدعوى|الدعاوى|المنازعة|المنازعات)?\s*{n}\s*(?:مليون|ملايين|million|millions)",
+    r"(?:تقل|يقل)\s*(?:قيمتها|قيمته|القيمة)?\s*(?:عن|على)?\s*{n}\s*(?:مليون|ملايين|million|millions)",
+    r"(?:لا تجاوز|لا يجاوز|لا تتجاوز|لا يتجاوز)\s*(?:قيمتها|قيمته|القيمة)?\s*{n}\s*(?:مليون|ملايين|million|millions)",
+    r"(?:تزيد|يزيد)\s*(?:قيمتها|قيمته|القيمة)?\s*(?:على|عن)\s*{n}\s*(?:مليون|ملايين|million|millions)",
+    r"(?:تجاوز|تجاوزت|يتجاوز|تتجاوز)\s*(?:قيمتها|قيمته|القيمة)?\s*{n}\s*(?:مليون|ملايين|million|millions)",
+)
+# End of fixed values.
+WORD_CASE = "CASE v " + " ".join(f"WHEN '{k}' THEN '{n}'" for k, n in WORD_VALUES.items()) + " END"
 MILLIONS_SQL = (
-    "list_distinct(list_concat(list_transform(regexp_extract_all({t}, '(?i)(" + NUM + r")\s*(?:" + N.MILLION + ")', 1), lambda v: " + NORM_NUM.replace("{v}", "v") + " || ' million'), "
-    "list_transform(regexp_extract_all({t}, '(" + "|".join(N.NUMBER_WORDS) + r")\s*(?:" + N.ARABIC_MILLION + ")', 1), lambda v: " + WORD_CASE + " || ' million')))"
+    "list_distinct(list_concat(list_transform(regexp_extract_all({t}, '(?i)(" + NUM + r")\s*(?:" + MILLION_UNITS + ")', 1), lambda v: " + NORM_NUM.replace("{v}", "v") + " || ' million'), "
+    "list_transform(regexp_extract_all({t}, '(" + "|".join(WORD_VALUES) + r")\s*(?:مليون|ملايين|مليونًا|مليوناً)', 1), lambda v: " + WORD_CASE + " || ' million')))"
 )
-THRESHOLD_SQL = "list_filter(" + MILLIONS_SQL + ", lambda m: " + " OR ".join(f"regexp_matches(lower({{t}}), replace('{p}', '{{n}}', replace(replace(m, ' million', ''), '.', '\\.')))" for p in N.THRESHOLDS) + ")"
+THRESHOLD_SQL = "list_filter(" + MILLIONS_SQL + ", lambda m: " + " OR ".join(f"regexp_matches(lower({{t}}), replace('{p}', '{{n}}', replace(replace(m, ' million', ''), '.', '\\.')))" for p in THRESHOLD_PHRASES) + ")"
 
 
 def sorted_list(sql: str, column: str = "text") -> str:
@@ -492,18 +540,18 @@ CLAIM_SQL = (
 )
 
 
-CLAIMED_SQL = f"""SELECT doc_id AS id, replace(question, '5', d) AS question, replace(replace(answer, '5', d), '12', e) AS answer, replace(evidence, '5', d) || ' ' || substr(text, 1, 300) AS evidence
+CLAIMED_SQL = f"""SELECT doc_id AS id, replace(question, '5', d) AS question, replace(replace(answer, '5', d), '12', e) AS answer, replace(evidence, '5', d) || ' ' || text AS evidence
   FROM (SELECT *, CAST(doc_id % 4 + 4 AS VARCHAR) AS d, CAST(doc_id % 3 + 11 AS VARCHAR) AS e FROM documents) JOIN {X.values(X.CLAIMS, 'k, question, answer, evidence')} ON k = doc_id % {len(X.CLAIMS)} + 1"""
 
 
 @query(f"SELECT id, len(bad) = 0 AS ok, array_to_string(list_sort(bad), ',') AS unsupported FROM (SELECT id, {CLAIM_SQL} AS bad FROM ({CLAIMED_SQL}))")
 def numeric_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A question, answer and evidence for each document: one of eight forms with numbers made from its id, and the document's beginning."""
+    """A question, answer and evidence for each document: one of eight forms with numbers made from its id, and the whole document as evidence."""
     forms = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("question", "answer", "evidence"), c[1:])]) for c in X.CLAIMS])
     d, e = (F.col("doc_id") % 4 + 4).cast("string"), (F.col("doc_id") % 3 + 11).cast("string")
     put = lambda c: F.replace(F.col(f"f.{c}"), F.lit("5"), d)
     rows = table(spark, sf_dir, "documents").withColumn("f", F.element_at(forms, (F.col("doc_id") % len(X.CLAIMS) + 1).cast("int")))
-    rows = rows.select(F.col("doc_id").alias("id"), put("question").alias("q"), F.replace(put("answer"), F.lit("12"), e).alias("a"), F.concat(put("evidence"), F.lit(" "), F.substring("text", 1, 300)).alias("t"))
+    rows = rows.select(F.col("doc_id").alias("id"), put("question").alias("q"), F.replace(put("answer"), F.lit("12"), e).alias("a"), F.concat(put("evidence"), F.lit(" "), F.col("text")).alias("t"))
     held = rows.select("id", N.validate_numeric_claims(F.col("q"), F.col("a"), F.col("t")).alias("v"))
     return held.select("id", "v.ok", F.array_join("v.unsupported", ",").alias("unsupported"))
 
@@ -543,15 +591,15 @@ SELECT id, CASE WHEN t = '' THEN 'paragraph' WHEN regexp_matches(t, '^(البا
   WHEN regexp_matches(t, '^القسم( |$)') OR regexp_matches(t, '(?i)^section\b') THEN 'section' WHEN regexp_matches(t, '^(المادة|مادة)') OR regexp_matches(t, '(?i)^article') THEN 'article' END AS section_type,
  CASE WHEN regexp_matches(t, '^(المادة|مادة)') THEN trim(regexp_extract(t, '^(?:المادة|مادة)\s*(?:\([^)]{1,30}\)|\S{1,30})?')) WHEN regexp_matches(t, '(?i)^article') THEN trim(regexp_extract(t, '(?i)^article\s*(?:\([^)]{1,30}\)|[0-9A-Za-z.-]{1,30})?'))
   WHEN regexp_matches(t, '^(الباب|الفصل|القسم|الكتاب|الجزء)( |$)') OR regexp_matches(t, '(?i)^(part|chapter|section)\b') THEN substr(t, 1, 200) END AS title
-FROM (SELECT id, trim(translate(regexp_replace(l, ' +', ' ', 'g'), 'آأإٱىیک', 'ااااييك')) AS t FROM (SELECT doc_id AS id, CASE WHEN line = '' THEN '' ELSE line || ' ' || regexp_replace(substr(d.text, 1, 300), '[^A-Za-z .]', '', 'g') END AS l
+FROM (SELECT id, trim(translate(regexp_replace(l, ' +', ' ', 'g'), 'آأإٱىیک', 'ااااييك')) AS t FROM (SELECT doc_id AS id, CASE WHEN line = '' THEN '' ELSE line || ' ' || regexp_replace(d.text, '[^A-Za-z .]', '', 'g') END AS l
   FROM documents d JOIN """ + X.values(X.LINES, "k, line") + f" ON k = doc_id % {len(X.LINES)} + 1))"
 
 
 @query(KINDS_SQL)
 def classify_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A line for each document: one of the forms of headings, articles, clauses and prose, and the document's first letters."""
+    """A line for each document: one of the forms of headings, articles, clauses and prose, and the document's letters."""
     form = F.element_at(F.array(*[F.lit(t) for _, t in X.LINES]), (F.col("doc_id") % len(X.LINES) + 1).cast("int"))
-    line = F.when(form == "", "").otherwise(F.concat(form, F.lit(" "), F.regexp_replace(F.substring("text", 1, 300), "[^A-Za-z .]", "")))
+    line = F.when(form == "", "").otherwise(F.concat(form, F.lit(" "), F.regexp_replace("text", "[^A-Za-z .]", "")))
     held = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), S.classify(line).alias("c"))
     return held.select("id", "c.kind", "c.section_type", "c.title")
 
@@ -586,6 +634,38 @@ def detect_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("breaks", F.array_join(F.transform("preferred_breaks", lambda b: b.cast("string")), ",")).drop("preferred_breaks")
 
 
+@query(SECTIONS_SQL)
+def sections_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sections from a stream: first records and second records are files that come in several batches, headings are kept as state between them."""
+    from citeloom.streaming import carried
+
+    carried.use_state_store(spark)
+    scratch = Scratch(spark, "sections_stream")
+    records, folder = headed(spark, sf_dir).select(F.col("doc_id").cast("string").alias("document"), "record_no", "text"), f"{scratch.base}/files"
+    for n in (1, 2):  # older files come first
+        records.where(F.col("record_no") == n).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(records.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    out = f"{scratch.base}/sections"
+    written = carried.stream_sections(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{scratch.base}/state").trigger(availableNow=True).start()
+    written.awaitTermination()
+    found = spark.read.parquet(out)
+    breaks = F.array_join(F.transform("preferred_breaks", lambda b: b.cast("string")), ",")
+    return found.select(F.col("document").cast("long").alias("doc_id"), "record_no", "section_no", "start_char", "end_char", "section_type", "section_title", breaks.alias("breaks"))
+
+
+@query(SECTIONS_SQL)
+def sections_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sections by the table function, called from SQL."""
+    from citeloom.plans import sql_functions
+
+    sql_functions.register(spark)
+    return spark.sql(
+        "SELECT doc_id, record_no, section_no, start_char, end_char, section_type, section_title, array_join(transform(preferred_breaks, b -> string(b)), ',') AS breaks "
+        "FROM citeloom_sections(TABLE({records}) PARTITION BY doc_id ORDER BY record_no)",
+        records=headed(spark, sf_dir),
+    )
+
+
 CHUNKS_SQL = r"""
 w AS (SELECT doc_id, source, regexp_extract_all(text, '\S+') AS words FROM documents),
 k AS (SELECT doc_id, source, words, len(words) AS n, CASE WHEN len(words) + 3 <= 480 THEN 0 ELSE CAST(ceil((len(words) - 477) / 337.0) AS INTEGER) END AS last FROM w WHERE len(words) > 0),
@@ -622,6 +702,18 @@ def chunk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("chunk_in_section").alias("chunk_index"), "chunk_start", "chunk_end", "token_count", F.sha2("chunk_text", 256).alias("text_hash"))
 
 
+@query(f"WITH {CHUNKS_SQL} SELECT doc_id, source, chunk_index, n_words + 3 AS token_count, sha256(chunk_text) AS text_hash FROM chunks")
+def chunks_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks by the table function, called from SQL, with the other columns of its table."""
+    from citeloom.plans import sql_functions
+
+    sql_functions.register(spark)
+    return spark.sql(
+        "SELECT doc_id, source, chunk_index, token_count, sha2(regexp_replace(chunk_text, '\\\\s+', ' '), 256) AS text_hash FROM citeloom_chunks(TABLE({docs}))",
+        docs=table(spark, sf_dir, "documents").select("doc_id", "source", "text"),
+    )
+
+
 @query(f"WITH {CHUNKS_SQL} SELECT doc_id, chunk_index, sha256('d' || doc_id || ':1:1.2.0:txt:line:1:1:' || first_word || ':' || (first_word + n_words) || ':document:') AS chunk_id FROM chunks")
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.lit(1)
@@ -647,7 +739,7 @@ ANSWER_VARIANTS = [
 ]
 ANSWERS_SQL = f"""
 WITH v AS (SELECT * FROM {X.values(list(enumerate(ANSWER_VARIANTS)), 'k, shape')}),
-r AS (SELECT doc_id, replace(shape, '@', regexp_replace(substr(text, 1, 200), '[^A-Za-z .,]', '', 'g')) AS raw, CASE WHEN doc_id % 3 = 0 THEN 'ar' WHEN doc_id % 3 = 1 THEN 'en' ELSE 'mixed' END AS language FROM documents JOIN v ON k = doc_id % {len(ANSWER_VARIANTS)}),
+r AS (SELECT doc_id, replace(shape, '@', regexp_replace(text, '[^A-Za-z .,]', '', 'g')) AS raw, CASE WHEN doc_id % 3 = 0 THEN 'ar' WHEN doc_id % 3 = 1 THEN 'en' ELSE 'mixed' END AS language FROM documents JOIN v ON k = doc_id % {len(ANSWER_VARIANTS)}),
 j AS (SELECT *, CASE WHEN json_valid(raw) THEN CAST(raw AS JSON) END AS o FROM r),
 f AS (SELECT *, json_type(o) AS kind, json_keys(o) AS keys, json_type(o, '$.answer') AS answer_kind, json_type(o, '$.evidence_ids') AS ids_kind, o ->> '$.answer' AS answer, json_type(o, '$.insufficient_evidence') AS lack_kind,
   lower(o ->> '$.insufficient_evidence') AS lack_word, CASE WHEN json_type(o, '$.evidence_ids') = 'ARRAY' THEN CAST(json_extract(o, '$.evidence_ids[*]') AS JSON[]) END AS ids FROM j),
@@ -663,9 +755,9 @@ FROM g
 
 @query(ANSWERS_SQL)
 def structured_answer_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A raw answer per document: its first letters in one of the shapes that a model may give; a shape in three languages."""
+    """A raw answer per document: its letters in one of the shapes that a model may give; a shape in three languages."""
     shapes = F.array(*[F.lit(v) for v in ANSWER_VARIANTS])
-    words = F.regexp_replace(F.substring("text", 1, 200), "[^A-Za-z .,]", "")
+    words = F.regexp_replace("text", "[^A-Za-z .,]", "")
     raw = F.replace(F.element_at(shapes, (F.col("doc_id") % len(ANSWER_VARIANTS) + 1).cast("int")), F.lit("@"), words)
     language = F.when(F.col("doc_id") % 3 == 0, "ar").when(F.col("doc_id") % 3 == 1, "en").otherwise("mixed")
     return table(spark, sf_dir, "documents").select("doc_id", A.acceptable(raw, F.array(F.lit("E1"), F.lit("E2")), language).isNotNull().alias("valid"))

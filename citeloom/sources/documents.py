@@ -16,7 +16,7 @@ from xml.etree import ElementTree
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +33,11 @@ CHUNK_SCHEMA = (
     "page_start int, page_end int, source_format string, locator_type string, locator_start int, locator_end int, language string, document_type string, source string, "
     "source_file string, file_hash string, extraction_methods array<string>, original_start_char int, original_end_char int, token_count int, tokenizer_name string, pipeline_version string"
 )
+# What the fields of a chunk may hold.
 SECTION_TYPES = ("document", "part", "chapter", "section", "article")
+EXTRACTION_METHODS = ("native", "ocr", "failed", "docx", "txt")
+KNOWN_VALUES = {"section_type": SECTION_TYPES, "source_format": ("pdf", "docx", "txt"), "locator_type": ("page", "block", "line")}
+# End of fixed values.
 
 
 @dataclass
@@ -271,6 +275,39 @@ def line_engine(read: Callable[[str, int, str, int], list[tuple[str, float]]], s
     return lambda document, page, language: ocr_text(read(document, page, language, settings.dpi), settings)
 
 
+def read_page(document: str, page: int, native: str | None, needed: bool, engine: Callable[[str, int, str], tuple[str, float | None]] | None, expected: str, remembered: str | None) -> tuple:
+    """(text, method, confidence, error, language to remember) of one page, see choose_ocr."""
+    if not needed:
+        return native, "native", None, None, remembered
+
+    def attempt(language: str) -> tuple | None:
+        if engine is None:
+            raise RuntimeError("no OCR engine")
+        text, confidence = engine(document, page, language)
+        quality = quality_of(normalized(text))
+        share = quality["arabic_ratio" if language == "ar" else "latin_ratio"]
+        return None if ocr_needed(quality, language) else (share, confidence or 0.0, quality["character_count"], text, confidence, language)
+
+    try:
+        if expected != "auto":
+            found = [attempt(expected)]
+        else:
+            own = language_of(quality_of(native or ""))
+            first = own if own in ("ar", "en") else remembered
+            if first:
+                found = [attempt(first)]
+                found = found if found[0] else [attempt("en" if first == "ar" else "ar")]
+            else:
+                found = [attempt("ar"), attempt("en")]
+        found = [f for f in found if f]
+        if not found:
+            raise RuntimeError("OCR text failed its quality checks")
+        best = max(found, key=lambda f: f[:3])
+        return best[3], "ocr", best[4], None, best[5]
+    except Exception as error:  # one page's failure is a row, not the job's end
+        return "", "failed", None, f"{type(error).__name__}: {error}", remembered
+
+
 def choose_ocr(pages: DataFrame, engine: Callable[[str, int, str], tuple[str, float | None]] | None, expected: str = "auto") -> DataFrame:
     """Reads pages that need OCR: adds original_text, extraction_method, ocr_mean_confidence, error.
 
@@ -285,37 +322,8 @@ def choose_ocr(pages: DataFrame, engine: Callable[[str, int, str], tuple[str, fl
         frame = frame.sort_values("page_number").reset_index(drop=True)
         remembered, out = None, []
         for row in frame.itertuples(index=False):
-            if not row.needs_ocr:
-                out.append((row.native_text, "native", None, None))
-                continue
-
-            def attempt(language: str) -> tuple | None:
-                if engine is None:
-                    raise RuntimeError("no OCR engine")
-                text, confidence = engine(row.document_id, row.page_number, language)
-                quality = quality_of(normalized(text))
-                share = quality["arabic_ratio" if language == "ar" else "latin_ratio"]
-                return None if ocr_needed(quality, language) else (share, confidence or 0.0, quality["character_count"], text, confidence, language)
-
-            try:
-                if expected != "auto":
-                    found = [attempt(expected)]
-                else:
-                    native = language_of(quality_of(row.native_text or ""))
-                    first = native if native in ("ar", "en") else remembered
-                    if first:
-                        found = [attempt(first)]
-                        found = found if found[0] else [attempt("en" if first == "ar" else "ar")]
-                    else:
-                        found = [attempt("ar"), attempt("en")]
-                found = [f for f in found if f]
-                if not found:
-                    raise RuntimeError("OCR text failed its quality checks")
-                best = max(found, key=lambda f: f[:3])
-                remembered = best[5]
-                out.append((best[3], "ocr", best[4], None))
-            except Exception as error:  # one page's failure is a row, not the job's end
-                out.append(("", "failed", None, f"{type(error).__name__}: {error}"))
+            *found, remembered = read_page(row.document_id, row.page_number, row.native_text, row.needs_ocr, engine, expected, remembered)
+            out.append(found)
         frame[["original_text", "extraction_method", "ocr_mean_confidence", "error"]] = pd.DataFrame(out, index=frame.index).values
         frame["ocr_mean_confidence"] = frame["ocr_mean_confidence"].astype(float)
         return frame
@@ -344,15 +352,53 @@ def pdf_records(files: DataFrame, reader: Reader, engine: Callable[[str, int, st
     )
 
 
+def numbered_lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """file, line_no (from 1), value: the lines of text files, each with its number in the file.
+
+    Spark cuts files into splits. A line's number is its place in the split, and how many lines the file's earlier splits hold: one row for each split is
+    counted and summed, and no file is read by one task for its numbers.
+    """
+    text = spark.read.option("pathGlobFilter", pattern).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n = None, 0
+        for batch in batches:
+            places = []
+            for place in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                at, n = place, n + 1 if place == at else 1
+                places.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64())], ["value", "file", "split", "place"])
+
+    placed = text.mapInArrow(run, "value string, file string, split bigint, place bigint")
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = text.groupBy("file", "split").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    # one row for each split
+    return placed.join(F.broadcast(sizes), ["file", "split"]).select("file", (F.col("_before") + F.col("place")).alias("line_no"), "value")
+
+
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Chunk files (``*.chunks.jsonl``), one object a line; a bad line, a missing field or an unknown section type is an error."""
-    rows = spark.read.schema(CHUNK_SCHEMA).option("mode", "FAILFAST").option("pathGlobFilter", "*.chunks.jsonl").json(path)
-    required = [f.name for f in rows.schema if f.name not in OPTIONAL]
-    missing = F.concat_ws(", ", *[F.when(F.col(n).isNull(), F.lit(n)) for n in required])
-    checked = F.when(missing != "", F.raise_error(F.concat(F.lit("chunk lacks "), missing))).when(
-        ~F.col("section_type").isin(*SECTION_TYPES), F.raise_error(F.concat(F.lit("unknown section type "), F.col("section_type")))
+    """Chunk files (``*.chunks.jsonl``), one object a line; blank lines are passed over.
+
+    A line that is no JSON object, lacks a field, or holds a value that its field does not know is an error that names the file and the line.
+    """
+    lines = numbered_lines(spark, path, "*.chunks.jsonl").where(F.col("value").rlike(r"(?U)\S"))
+    # each line is parsed once, for its fields and for the names it gives
+    parsed = lines.withColumn("_names", F.json_object_keys("value")).withColumn("_c", F.from_json("value", CHUNK_SCHEMA + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}))
+    fields = [f.name for f in spark.createDataFrame([], CHUNK_SCHEMA).schema]
+    lacks = F.array_except(F.array(*[F.lit(f) for f in fields]), F.col("_names"))
+    nulls = F.filter(F.array(*[F.when(F.col(f"_c.{f}").isNull(), F.lit(f)) for f in fields if f not in OPTIONAL]), lambda n: n.isNotNull())
+    unknown = F.concat_ws("; ", *[F.when(~F.col(f"_c.{f}").isin(*known), F.concat(F.lit(f"unknown {f.replace('_', ' ')} "), F.col(f"_c.{f}"))) for f, known in KNOWN_VALUES.items()])
+    methods = F.array_except("_c.extraction_methods", F.array(*[F.lit(m) for m in EXTRACTION_METHODS]))
+    fault = (
+        F.when(F.col("_names").isNull() | F.col("_c._bad").isNotNull(), "no JSON object of a chunk")
+        .when(F.size(lacks) > 0, F.concat(F.lit("chunk lacks "), F.array_join(lacks, ", ")))
+        .when(F.size(nulls) > 0, F.concat(F.lit("chunk lacks "), F.array_join(nulls, ", ")))
+        .when(unknown != "", unknown)
+        .when(F.size(methods) > 0, F.concat(F.lit("unknown extraction method "), F.array_join(methods, ", ")))
     )
-    return rows.withColumn("chunk_id", F.coalesce(checked.cast("string"), F.col("chunk_id")))
+    where = F.concat(fault, F.lit(" on line "), F.col("line_no"), F.lit(" of "), F.col("file"))
+    checked = F.when(fault.isNotNull(), F.raise_error(where).cast("string")).otherwise(F.col("_c.chunk_id"))
+    return parsed.select(checked.alias("chunk_id"), *[F.col(f"_c.{f}").alias(f) for f in fields if f != "chunk_id"])
 
 
 def idempotency(inputs: DataFrame, manifest: DataFrame, key: str = "artifact") -> DataFrame:
