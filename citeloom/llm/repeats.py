@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ WIDTH, GRAM = 200, 64
 #: Occurrences of an anchor that meet in one task at most, and how many rows are merged at a time.
 MOST, MERGED = 100_000, 32_768
 #: Rows of a shard.
-SHARD = 32_768
+SHARD = 8_192
 _BITS = 20
 _BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -65,6 +66,16 @@ def sliding_least(values: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(out[: len(values) - n + 1], out[n - size :]) if size < n else out
 
 
+def _crossing(ends: np.ndarray, start: int, stop: int, width: int) -> np.ndarray:
+    """Which of the windows that begin in start..stop would cross the end of their text."""
+    some = slice(np.searchsorted(ends, start, side="right"), np.searchsorted(ends, stop + width, side="left") + 1)
+    ends_here, begins = ends[some], ends[some.start - 1 : some.start - 1 + len(ends[some])]
+    over = np.zeros(stop - start + 1, np.int32)
+    np.add.at(over, np.clip(np.maximum(begins, ends_here - width + 1) - start, 0, stop - start), 1)
+    np.add.at(over, np.clip(ends_here - start, 0, stop - start), -1)
+    return np.cumsum(over[:-1]) > 0
+
+
 def anchors(data: np.ndarray, ends: np.ndarray, width: int, gram: int, piece: int = 1 << 18) -> tuple[np.ndarray, ...]:
     """(text number, place in the text, hash, first column, last column) of the anchors of texts that lie behind each other in ``data``.
 
@@ -75,11 +86,6 @@ def anchors(data: np.ndarray, ends: np.ndarray, width: int, gram: int, piece: in
     if windows <= 0:
         return none, none, none, none, none
     reach = width - gram
-    # windows that would cross the end of their text
-    over = np.zeros(len(data) + 1, np.int32)
-    np.add.at(over, np.maximum(ends[:-1], ends[1:] - width + 1), 1)
-    np.add.at(over, ends[1:], -1)
-    over = np.cumsum(over) > 0
     found = []
     for start in range(0, windows, piece):
         stop = min(windows, start + piece)
@@ -87,7 +93,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, width: int, gram: int, piece: in
         low = np.uint64((1 << _BITS) - 1)
         least = sliding_least((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), reach + 1)
         at = (least & low).astype(np.int64)
-        at[over[start:stop]] = -1
+        at[_crossing(ends, start, stop, width)] = -1
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         last = np.concatenate((first[1:], [len(at)])) - 1
         kept = at[first] >= 0
@@ -106,11 +112,18 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), ends
 
 
+def _parts(batch: pa.RecordBatch, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows with about so many bytes of text (column 1)."""
+    upto = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+    borders = [0, *(np.flatnonzero(np.diff(upto // size)) + 1).tolist(), batch.num_rows]
+    return (batch.slice(a, b - a) for a, b in zip(borders, borders[1:]) if b > a)
+
+
 def _anchor_rows(texts: DataFrame, width: int, gram: int) -> DataFrame:
     """tid, h, at (place, first and last column in one number)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             data, ends = text_bytes(batch.column(1))
             text, place, hashes, low, high = anchors(data, ends, width, gram)
             ids = batch.column(0).to_numpy()[text]
@@ -229,7 +242,7 @@ def _shards(found: DataFrame, width: int, gram: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(h[begins[:-1]]), blobs, *lists], ["h", "transform", "tids", "ats"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             data, ends = text_bytes(batch.column(1))
             marks = batch.column(2)
             text = np.repeat(np.arange(batch.num_rows), np.diff(marks.offsets.to_numpy()))
@@ -357,7 +370,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.sha2("text", 256))
     texts = source.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    texts = scratch.keep(texts.withColumn("tid", F.monotonically_increasing_id()), "texts")
+    texts = scratch.keep(texts.withColumn("tid", F.monotonically_increasing_id()), "texts", compression="zstd")
     spans = repeated_spans(scratch, texts, width, gram, most)
     # of texts that occur twice nothing is left; the others are cut
     whole = texts.where((F.col("copies") > 1) & (F.octet_length("text") >= width))
