@@ -129,6 +129,8 @@ def main(argv: list[str] | None = None) -> int:
         for cited, excerpt in zip(row.citations, row.excerpts):
             print(f"{cited.marker} {excerpt}")
         print(f"({row.reason}, {row.used_evidence} evidence)")
+        for name, value in row.diagnostics.asDict().items():
+            print(f"  {name}: {'none' if value is None else f'{value:.4f}' if isinstance(value, float) else value}")
         return 0
     found = health(spark, settings)
     for part, fine, detail in found:

@@ -62,7 +62,7 @@ def ingest(records: DataFrame, *, dimension: int = 64, **options) -> DataFrame:
 
 def answer(questions: DataFrame, collection: DataFrame, settings: Settings = Settings(), filters: dict[str, str | None] | None = None, client: Callable | None = None) -> DataFrame:
     """Cited answers for questions (query_id, query, query_vector, language) from a vector table: retrieval, cap, rerank, gate,
-    evidence, prompt, generation, validation.
+    evidence, prompt, generation, validation. ``diagnostics`` holds the gate's signals.
 
     ``client`` makes a generator (answers.http_client); it is asked only for questions that the gate lets through. Without one a
     deterministic extractive generator answers.
@@ -78,4 +78,4 @@ def answer(questions: DataFrame, collection: DataFrame, settings: Settings = Set
     else:
         open_ = prompted.join(gated.where("sufficient").select("query_id"), "query_id", "left_semi")
         prompted = answers.generate(open_, client, settings.generation_retries + 1)
-    return answers.assemble(gated.select("query_id", "query", "language", "sufficient", "reason"), prompted)
+    return answers.assemble(gated.select("query_id", "query", "language", "sufficient", "reason", gate.diagnostics().alias("diagnostics")), prompted)
