@@ -12,7 +12,7 @@ Defined results: null and empty texts match nothing; repeated rows match alike;
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
@@ -142,31 +142,58 @@ class Scanner:
         if not seen:
             return []
         told = {id(t) for w in seen for t in self.telling[w]}
-        found = []
+        pairs = list(zip(words, words[1:]))
         # size bound: the document's bigrams are the most that any run has
-        for t in self.by_least[: bisect_right(self.leasts, len(words) - 1)]:
-            if id(t) in told:
-                found += self._runs(t, words)
-        order = {id(t): i for i, t in enumerate(self.templates)}
-        taken, out = [], []
-        for dice, size, at, t in sorted(found, key=lambda m: (-m[0], -m[1], order[id(m[3])], m[2])):
-            if all(at + size <= a or b <= at for a, b in taken):
-                taken.append((at, at + size))
-                out.append((t.licence, at, size, dice))
+        fit = {id(t) for t in self.by_least[: bisect_right(self.leasts, len(pairs))]}
+        dice, size, order, at = [], [], [], []
+        for k, t in enumerate(self.templates):
+            if id(t) in told and id(t) in fit:
+                run = min(t.size, len(pairs))
+                score = 2 * shared_bigrams(pairs, t.bigrams, run) / (t.size + run)
+                starts = np.flatnonzero(score >= self.threshold)
+                dice.append(score[starts])
+                at.append(starts)
+                size.append(np.full(len(starts), run + 1))
+                order.append(np.full(len(starts), k))
+        if not dice:
+            return []
+        dice, size, order, at = map(np.concatenate, (dice, size, order, at))
+        begins: list[int] = []
+        taken: dict[int, tuple[int, int]] = {}
+        out = []
+        for i in np.lexsort((at, order, -size, -dice)).tolist():
+            a, n = int(at[i]), int(size[i])
+            k = bisect_left(begins, a + n)
+            # of the matches that begin before this one's end only the last can reach into it
+            if not k or taken[begins[k - 1]][1] <= a:
+                begins.insert(k, a)
+                taken[a] = (a, a + n)
+                out.append((self.templates[order[i]].licence, a, n, float(dice[i])))
         return sorted(out, key=lambda m: m[1])
 
-    def _runs(self, t: Template, words: list[bytes]) -> list[tuple[float, int, int, Template]]:
-        run = min(t.size, len(words) - 1)
-        inside = np.fromiter((b in t.bigrams for b in zip(words, words[1:])), np.int64, len(words) - 1)
-        total = np.concatenate(([0], np.cumsum(inside)))
-        upper = 2 * (total[run:] - total[:-run]) / (t.size + run)
-        out = []
-        for at in np.flatnonzero(upper >= self.threshold).tolist():
-            held = Counter(zip(words[at : at + run], words[at + 1 : at + run + 1]))
-            dice = 2 * (held & t.bigrams).total() / (t.size + run)
-            if dice >= self.threshold:
-                out.append((dice, run + 1, at, t))
-        return out
+
+def shared_bigrams(pairs: list[tuple[bytes, bytes]], wanted: Counter, run: int) -> np.ndarray:
+    """How many bigrams each run of ``run`` pairs shares with the template, repeats up to as often as the template has them.
+
+    An occurrence counts in the runs that hold it and fewer than that many of its kind before it; these begin in one interval, so that all
+    runs take one pass.
+    """
+    ids = {b: k for k, b in enumerate(wanted)}
+    own = np.fromiter((ids.get(b, -1) for b in pairs), np.int64, len(pairs))
+    place = np.flatnonzero(own >= 0)
+    kind = own[place]
+    if not len(place):
+        return np.zeros(len(pairs) - run + 1, np.int64)
+    by_kind = np.argsort(kind, kind="stable")
+    often = np.fromiter(wanted.values(), np.int64, len(wanted))[kind[by_kind]]
+    earlier = np.arange(len(by_kind)) - often
+    same = (earlier >= 0) & (kind[by_kind[np.maximum(earlier, 0)]] == kind[by_kind])
+    before = np.full(len(place), -1)
+    before[by_kind] = np.where(same, place[by_kind[np.maximum(earlier, 0)]], -1)
+    change = np.zeros(len(pairs) + 1, np.int64)
+    np.add.at(change, np.maximum(before, place - run) + 1, 1)
+    np.add.at(change, place + 1, -1)
+    return np.cumsum(change[:-1])[: len(pairs) - run + 1]
 
 
 def scan_licences(docs: DataFrame, *, templates: dict[str, list[str]] | None = None, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

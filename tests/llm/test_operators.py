@@ -606,6 +606,25 @@ def test_licences_match_brute_force(spark, docs, empty):
     assert scan_licences(empty).count() == 0 and scan_licences(docs).count() == 0
 
 
+def test_long_texts_of_licences_take_one_pass():
+    import time
+
+    from citeloom.llm.licences import TEMPLATES, Scanner, normalise, shared_bigrams
+
+    rng = random.Random(8)
+    for _ in range(40):
+        words = [rng.choice((b"a", b"b", b"c", b"d")) for _ in range(rng.randint(2, 40))]
+        pairs, run = list(zip(words, words[1:])), rng.randint(1, len(words) - 1)
+        wanted = Counter((rng.choice((b"a", b"b", b"x")), rng.choice((b"a", b"b"))) for _ in range(5))
+        assert shared_bigrams(pairs, wanted, run).tolist() == [(Counter(pairs[i : i + run]) & wanted).total() for i in range(len(pairs) - run + 1)]
+    apache, scanner = max(TEMPLATES["Apache-2.0"], key=len), Scanner(TEMPLATES, 0.8)
+    began = time.perf_counter()
+    found = scanner.matches(apache * 200)
+    took = time.perf_counter() - began
+    assert took < 40 and len(found) == 200 and {m[0] for m in found} == {"Apache-2.0"} and all(m[3] == 1 for m in found)
+    assert [m[1] for m in found] == [k * len(normalise(apache)) for k in range(200)]
+
+
 def test_every_licence_wins_over_its_relatives():
     from citeloom.llm.licences import TEMPLATES, Scanner
 
