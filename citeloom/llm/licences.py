@@ -7,7 +7,7 @@ bound), and a run that reaches the threshold must hold one of the template's tel
 without any of them fall short. What remains is counted by running sums of template bigrams before any run is compared.
 Of matches that overlap, the best one stands (then the longer, then the first in template order).
 
-Defined results: null and empty texts match nothing; repeated rows match alike; other columns are ignored.
+Defined results: null and empty texts match nothing; repeated rows match alike; null ids stay null; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

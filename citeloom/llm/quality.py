@@ -7,7 +7,8 @@ metadata columns by name and bucketed value. The model is fitted on a bounded sa
 and has a fixed size, which is what is broadcast.
 
 Defined results: null and empty texts are scored from their statistics (zero words); null metadata is a value of its own;
-without labels of both classes every score is the share of label 1 (or 0.5 with no labels at all).
+without labels of both classes every score is the share of label 1 (or 0.5 with no labels at all). Repeated rows score alike, null
+ids stay null, an empty table gives no rows, and columns other than the text, the id and the metadata are ignored (keep_quality passes them on).
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ the rules by rejections per second; ``apply_cascade`` then stops at each documen
 only the work does; so the name of the first failing rule may differ between runs, the verdict not.
 
 Defined results: null text counts as empty. An empty text has no words and passes rules that are shares of nothing; it fails
-a minimum of words. Repeated rows are judged alike. Other columns are passed on or ignored as each function says.
+a minimum of words. Repeated rows are judged alike, null ids stay null, an empty table gives no rows. Other columns are passed on or ignored as each function says.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ ordinary content (on both sides), which takes their gap away. The threshold on t
 windows above it are calibrated on the sample; listed toxic windows count more than once. A document's score is the probability for its count.
 
 Defined results: null and empty texts have no windows, hence the score of a count of nought; without toxic labels every
-score is that of a count of nought. Repeated rows score alike.
+score is that of a count of nought. Repeated rows score alike, null ids stay null, an empty table gives no rows, other columns are
+ignored (keep_ordinary passes them on).
 """
 
 from __future__ import annotations
