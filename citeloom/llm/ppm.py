@@ -42,8 +42,8 @@ from citeloom.session import Scratch
 #: Longest context in bytes, so that a gram fits one long with its class, and the longest that is broadcast.
 ORDER, LOW = 5, 2
 SPACE, ALPHABET = 32, 256
-#: Bytes of text per block of documents, words of vocabulary per group of buckets, buckets, and symbols taken at once.
-BLOCK_BYTES, BLOCK_WORDS, BUCKETS, CHUNK = 32 << 20, 50_000, 256, 1 << 18
+#: Bytes of text per block of documents, words of vocabulary per group of buckets, the fewest buckets, groups for each block, and symbols taken at once.
+BLOCK_BYTES, BLOCK_WORDS, BUCKETS, BLOCK_GROUPS, CHUNK = 32 << 20, 50_000, 256, 4, 1 << 18
 #: The class number of documents that are not trained on.
 OUT = 15
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -219,12 +219,14 @@ def mixture(log_p: np.ndarray, tokens: np.ndarray, starts: np.ndarray, prior: np
     return top + np.log10((10.0 ** (whole - top[:, None])).sum(axis=1))
 
 
-def _bags(docs: DataFrame, classes: int) -> DataFrame:
+def _bags(docs: DataFrame, classes: int, buckets: int) -> DataFrame:
     """Step 1. kind 0: doc_id, block, n_tokens, tokens. kind 1: block, number, word, training count; ends by class for the empty word. kind 2: block, bucket, grams, n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        # what a reused worker has kept from the large tables of another stage
+        pa.default_memory_pool().release_unused()
         part, block, size = TaskContext.get().partitionId() << 24, 0, 0
         number: dict[bytes, int] = {}
         trained = np.zeros(0, np.int64)
@@ -272,7 +274,7 @@ def _bags(docs: DataFrame, classes: int) -> DataFrame:
                 yield _rows(len(some), kind=1, block=part + block, number=pa.array(range(at, at + len(some)), pa.int32()), word=pa.array(some, pa.binary()), count=counts, ends=last)
             if held:
                 keys, n = summed(*map(np.concatenate, zip(*held)))
-                bucket = (((keys >> (4 + 8 * (ORDER - LOW))).astype(np.uint64) * _MIX) >> np.uint64(56)).astype(np.int64) * BUCKETS >> 8
+                bucket = (((keys >> (4 + 8 * (ORDER - LOW))).astype(np.uint64) * _MIX) >> np.uint64(40)).astype(np.int64) * buckets >> 24
                 order = np.argsort(bucket, kind="stable")
                 keys, n, bucket = keys[order], n[order], bucket[order]
                 names, start = np.unique(bucket, return_index=True)
@@ -364,7 +366,7 @@ def _short_contexts(counted: DataFrame) -> list[tuple[np.ndarray, ...]]:
     return out
 
 
-def _score_grams(counted: DataFrame, short, classes: int, groups: int) -> DataFrame:
+def _score_grams(counted: DataFrame, short, classes: int, groups: int, buckets: int) -> DataFrame:
     """Step 3. block, grams, log_p of each symbol after its context, by class. ``short``: a broadcast of the short contexts."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -394,7 +396,7 @@ def _score_grams(counted: DataFrame, short, classes: int, groups: int) -> DataFr
             }
         )
 
-    dealt = counted.select("block", "grams", "n", F.floor(F.col("bucket") * groups / BUCKETS).cast("int").alias("group"))
+    dealt = counted.select("block", "grams", "n", F.floor(F.col("bucket") * groups / buckets).cast("int").alias("group"))
     return dealt.groupBy("group").applyInArrow(run, "block bigint, grams binary, log_p binary")
 
 
@@ -439,7 +441,11 @@ def score_documents(
         for i, value in enumerate(named):
             cls = F.when(F.col(class_col) == value, i).otherwise(F.lit(classes - 1) if i == 0 else cls)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), trains.alias("train"), cls.cast("int").alias("cls"))
-    parts = scratch.keep(_bags(source, classes), "bags", partition_by="kind")
+    # buckets and groups grow with the text, so that what meets in one task does not
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    blocks = -(-size // BLOCK_BYTES)
+    buckets = max(BUCKETS, BLOCK_GROUPS * blocks)
+    parts = scratch.keep(_bags(source, classes, buckets), "bags", partition_by="kind")
     bags = parts.where("kind = 0").select("block", "doc_id", "n_tokens", "tokens")
     local = scratch.again(parts).where("kind = 1").select("block", "number", "word", "count", "ends")
     counted = scratch.again(parts).where("kind = 2").select("block", "bucket", "grams", "n")
@@ -449,9 +455,9 @@ def score_documents(
     tokens, types, size = sums[0] or 0, sums[1], sums[2]
     documents = np.array([n or 0 for n in closed], float)
     prior = np.log10((documents + 1) / (documents + 1).sum())
-    groups = min(BUCKETS, max(1, -(-size // BLOCK_WORDS)))
+    groups = min(buckets, max(1, -(-size // BLOCK_WORDS), BLOCK_GROUPS * blocks))
     short = spark.sparkContext.broadcast(_short_contexts(counted)[:classes])
-    scored = _score_grams(counted, short, classes, groups)
+    scored = _score_grams(counted, short, classes, groups, buckets)
     held = local.select("block", "number", "word").join(vocabulary, "word").select("block", "number", "word", "count")
     right = held.unionByName(scored, allowMissingColumns=True)
     floor = np.log10(tokens + types + 1)
@@ -496,6 +502,8 @@ def score_documents(
                 fold()
                 size = 0
         fold()
+        del scores, keys, log_p, words, counts, gram_rows
+        pa.default_memory_pool().release_unused()
         return pa.table(
             {
                 "doc_id": left.column("doc_id"),
