@@ -125,7 +125,7 @@ class Walk:
 
     def _end(self, text: str, start: int, stop: int, breaks: list[int]) -> int:
         fits = lambda e: self.passage(text[start:e]) <= self.config.maximum
-        if stop - start <= 64 * self.config.maximum and fits(stop):
+        if self.guide and self.guide.before(stop) - self.guide.before(start) <= self.config.maximum - self.overhead + SLACK and fits(stop):
             return stop
         if self.guide:
             hard = self._last_fit(fits, start + 1, stop, self.guide.place(self.guide.before(start) + self.config.maximum - self.overhead))
