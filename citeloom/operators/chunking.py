@@ -23,7 +23,7 @@ WORD_OVERHEAD = 3
 PIPELINE_VERSION = "1.2.0"
 WORDS = re.compile(r"[^\s\x1c-\x1f]+")
 #: How many tokens a slice's count may differ from what its place says.
-SLACK = 6
+SLACK = 3
 
 
 @dataclass(frozen=True)
@@ -127,6 +127,14 @@ class Walk:
         fits = lambda e: self.passage(text[start:e]) <= self.config.maximum
         if self.guide and self.guide.before(stop) - self.guide.before(start) <= self.config.maximum - self.overhead + SLACK and fits(stop):
             return stop
+        if self.guide and self.config.maximum - self.config.target >= 2 * SLACK:
+            # the hard end matters only where no end reaches the target
+            base = self.guide.before(start) - self.overhead
+            low, high = (min(stop, max(start, self.guide.place(base + n))) for n in (self.config.target - SLACK, self.config.maximum - SLACK))
+            likely = [e for e in self._ends(text, max(start, low - 1), high, breaks)[:-1] if self.guide.before(e) - base <= self.config.target + SLACK] if high > start else []
+            found = next((e for e in reversed(likely) if self.passage(text[start:e]) <= self.config.target), None)
+            if found is not None:
+                return found
         if self.guide:
             hard = self._last_fit(fits, start + 1, stop, self.guide.place(self.guide.before(start) + self.config.maximum - self.overhead))
         else:
