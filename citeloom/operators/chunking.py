@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -22,6 +24,8 @@ SENTENCE_ENDS = "\n.؟!؛;"
 WORD_OVERHEAD = 3
 PIPELINE_VERSION = "1.2.0"
 WORDS = re.compile(r"[^\s\x1c-\x1f]+")
+#: Sections with longer words than this are not walked by sums over words.
+LONG_WORD = 1000
 #: How many tokens a slice's count may differ from what its place says.
 SLACK = 3
 
@@ -88,19 +92,83 @@ class TokenPlaces:
         return int(np.interp(tokens, self.tokens, self.places)) if len(self.places) else 0
 
 
+class WordTokens(dict):
+    """How many tokens each word gives by a counter that takes words one by one; kept for the words seen last."""
+
+    def __init__(self, content: Callable[[str], int], reverse_runs: bool, most: int = 200_000):
+        self.content, self.reverse_runs, self.most = content, reverse_runs, most
+
+    def __missing__(self, word: str) -> int:
+        n = self.content(word if word.isascii() else normalized(word, self.reverse_runs))
+        if len(word) <= LONG_WORD:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = n
+        return n
+
+
+class WordSums:
+    """Exact counts of a section's slices: sums over its words, of which only those that a slice cuts are counted anew.
+
+    Words are what lies between white space, by which neither normalisation nor such a counter looks across.
+    """
+
+    def __init__(self, text: str, start: int, stop: int, tokens: WordTokens):
+        self.text, self.tokens = text, tokens
+        words = WORDS.findall(text, start, stop)
+        self.longest = max(map(len, words), default=0)
+        self.begins = [m.start() for m in WORDS.finditer(text, start, stop)]
+        self.stops = list(map(int.__add__, self.begins, map(len, words)))
+        # a section with long words is left to the other walks
+        self.sums = [0, *accumulate(map(tokens.__getitem__, words))] if self.longest <= LONG_WORD else []
+
+    def count(self, a: int, e: int) -> int:
+        i, j = bisect_right(self.stops, a), bisect_left(self.begins, e)
+        if i >= j:
+            return 0
+        first, last = max(a, self.begins[i]), min(e, self.stops[j - 1])
+        if i == j - 1:
+            return self.tokens[self.text[first:last]]
+        total = self.sums[j] - self.sums[i]
+        if first > self.begins[i]:
+            total += self.tokens[self.text[first : self.stops[i]]] - (self.sums[i + 1] - self.sums[i])
+        if last < self.stops[j - 1]:
+            total += self.tokens[self.text[self.begins[j - 1] : last]] - (self.sums[j] - self.sums[j - 1])
+        return total
+
+    def reached(self, start: int, room: int) -> int:
+        """The number of the first word with which the slice from ``start`` goes beyond the room; how many words there are if none does."""
+        i = bisect_right(self.stops, start)
+        whole = self.sums[i] if i < len(self.begins) and self.begins[i] < start else None
+        if whole is None:
+            return bisect_right(self.sums, self.sums[i] + room) - 1
+        cut = self.tokens[self.text[start : self.stops[i]]]
+        return i if cut > room else bisect_right(self.sums, self.sums[i + 1] - cut + room) - 1
+
+    def opened(self, end: int, room: int) -> int:
+        """The number of the first word from which on the slice up to ``end`` stays within the room."""
+        j = bisect_left(self.begins, end)
+        if j and self.stops[j - 1] > end:
+            cut = self.tokens[self.text[self.begins[j - 1] : end]]
+            return j if cut > room else bisect_left(self.sums, self.sums[j - 1] + cut - room, 0, j - 1)
+        return bisect_left(self.sums, self.sums[j] - room, 0, j)
+
+
 class Walk:
     """The general walk over one section for any token counter, in code points of the record's text.
 
     Tokens are those of the normalised slice, as it is indexed. Counts are taken not to fall as a slice grows, so the search for the end starts near the
     slice's beginning, and a long section costs no more per chunk than a short one. With ``starts`` (see TokenPlaces) the section is tokenised once, and
-    slices are counted only near the places that this points to.
+    slices are counted only near the places that this points to. With ``words`` (see WordSums: tokens of one normalised word, for counters that take words
+    one by one) each word is counted once and slices are sums, exactly; only a section with words of over LONG_WORD characters is walked as before.
     """
 
-    def __init__(self, passage: Callable[[str], int], content: Callable[[str], int], config: ChunkingConfig, reverse_runs: bool = False, starts: Callable[[str], list[int]] | None = None):
+    def __init__(self, passage: Callable[[str], int], content: Callable[[str], int], config: ChunkingConfig, reverse_runs: bool = False, starts: Callable[[str], list[int]] | None = None, words: Callable[[str], int] | None = None):
         self.config, self.reverse_runs, self.starts, self.guide = config, reverse_runs, starts, None
         self.overhead = passage("a") - content("a")
         self.passage = lambda text: passage(normalized(text, reverse_runs))
         self.content = lambda text: content(normalized(text, reverse_runs))
+        self.words, self.sums = WordTokens(words, reverse_runs) if words else None, None
 
     def _last_fit(self, fits: Callable[[int], bool], low: int, high: int, guess: int) -> int:
         """The largest place in low..high that fits, or low - 1; ``fits`` holds up to some place and not beyond. The search widens from the guess."""
@@ -123,8 +191,21 @@ class Walk:
                 high = middle - 1
         return low - 1
 
+    def _tokens(self, text: str, start: int, end: int) -> int:
+        return self.overhead + self.sums.count(start, end) if self.sums else self.passage(text[start:end])
+
     def _end(self, text: str, start: int, stop: int, breaks: list[int]) -> int:
-        fits = lambda e: self.passage(text[start:e]) <= self.config.maximum
+        fits = lambda e: self._tokens(text, start, e) <= self.config.maximum
+        if self.sums and self.config.maximum - self.config.target >= 2 * SLACK:
+            # every slice up to this word fits the target and none beyond it does; white space before it is an end
+            if fits(stop):
+                return stop
+            at = self.sums.reached(start, self.config.target - self.overhead)
+            low, high = max(start, self.sums.begins[at]), self.sums.stops[at]
+            inside = self._ends(text, low, high, breaks)[:-1]
+            found = next((e for e in reversed(inside) if self._tokens(text, start, e) <= self.config.target), low)
+            if found > start:
+                return found
         if self.guide and self.guide.before(stop) - self.guide.before(start) <= self.config.maximum - self.overhead + SLACK and fits(stop):
             return stop
         if self.guide and self.config.maximum - self.config.target >= 2 * SLACK:
@@ -164,7 +245,7 @@ class Walk:
             if found is not None:
                 return found
             ends = self._ends(text, start, hard, breaks)
-        return next((e for e in reversed(ends) if self.passage(text[start:e]) <= self.config.target), hard)
+        return next((e for e in reversed(ends) if self._tokens(text, start, e) <= self.config.target), hard)
 
     @staticmethod
     def _ends(text: str, start: int, hard: int, breaks: list[int]) -> list[int]:
@@ -175,6 +256,9 @@ class Walk:
     def _start(self, text: str, first: int, end: int) -> int:
         if not self.config.overlap:
             return end
+        if self.sums:
+            at = self.sums.opened(end, self.config.overlap)
+            return min(end, self.sums.stops[at - 1] + 1) if at else first
         fits = lambda a: self.content(text[a:end]) <= self.config.overlap
         # starts behind white space; the first that fits
         size = 64 if not self.guide else 64 + end - max(first, min(end, self.guide.place(self.guide.before(end) - self.config.overlap)))
@@ -192,7 +276,10 @@ class Walk:
     def spans(self, text: str, start: int, stop: int, breaks: list[int]) -> Iterator[tuple[int, int, str, int]]:
         """Trimmed spans of the section's chunks in turn, with their normalised texts and tokens. Chunks that normalise to nothing are left out."""
         first, at = start, start
-        self.guide = TokenPlaces(text, start, stop, self.starts, self.reverse_runs) if self.starts else None
+        self.sums = WordSums(text, start, stop, self.words) if self.words is not None else None
+        if self.sums and self.sums.longest > LONG_WORD:
+            self.sums = None
+        self.guide = TokenPlaces(text, start, stop, self.starts, self.reverse_runs) if self.starts and not self.sums else None
         while at < stop:
             end = self._end(text, at, stop, breaks)
             a, b = at, end
@@ -202,7 +289,7 @@ class Walk:
                 b -= 1
             form = normalized(text[a:b], self.reverse_runs)
             if form:
-                tokens = self.passage(text[a:b])
+                tokens = self._tokens(text, a, b)
                 if tokens > self.config.maximum:
                     raise ValueError(f"a chunk of {tokens} tokens exceeds the maximum of {self.config.maximum}")
                 yield a, b, form, tokens
@@ -216,12 +303,39 @@ Counter = Callable[[], tuple]
 
 
 def word_counter() -> tuple:
-    return lambda t: len(t.split()) + WORD_OVERHEAD, lambda t: len(t.split())
+    content = lambda t: len(t.split())
+    content.word_by_word = True
+    return lambda t: len(t.split()) + WORD_OVERHEAD, content
+
+
+#: Normalisers of tokenizers that change each word by itself, and first steps that leave white space out and cut each word by itself.
+OWN_NORMALIZERS = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents"}
+OWN_SPLITS = {"Whitespace", "WhitespaceSplit", "BertPreTokenizer"}
+SPACES_TO_ONE = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+WORD_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def takes_words_one_by_one(held) -> bool:
+    """If a tokenizer's tokens of a text are those of its words, by what it is made of; false where that is not certain."""
+
+    def steps(part, several: str) -> list[dict]:
+        state = json.loads(part.__getstate__()) if part is not None else {"type": "Sequence", several: []}
+        return state[several] if state["type"] == "Sequence" else [state]
+
+    if held.truncation or held.padding or any(re.search(r"\s", t.content) or t.lstrip or t.rstrip for t in held.get_added_tokens_decoder().values()):
+        return False
+    if not all(n["type"] in OWN_NORMALIZERS or n == SPACES_TO_ONE for n in steps(held.normalizer, "normalizers")):
+        return False
+    first = next(iter(steps(held.pre_tokenizer, "pretokenizers")), {"type": ""})
+    return first["type"] in OWN_SPLITS or first == {"type": "Split", "pattern": {"Regex": WORD_PARTS}, "behavior": "Removed", "invert": True}
 
 
 def _counts(held, prefix: str) -> tuple:
     starts = lambda t: [a for a, _ in held.encode(t, add_special_tokens=False).offsets]
-    return lambda t: len(held.encode(prefix + t).ids), lambda t: len(held.encode(t, add_special_tokens=False).ids), starts
+    content = lambda t: len(held.encode(t, add_special_tokens=False).ids)
+    # a prefix without white space behind it would grow together with the first word
+    content.word_by_word = (not prefix or prefix[-1].isspace()) and takes_words_one_by_one(held)
+    return lambda t: len(held.encode(prefix + t).ids), content, starts
 
 
 def tokenizer_counter(path: str, prefix: str = "passage: ") -> Counter:
@@ -253,9 +367,11 @@ def counter_name(counter: Callable) -> str:
     return getattr(counter, "tokenizer_name", "words")
 
 
-def _walks(counter: Counter, config: ChunkingConfig) -> list[Walk]:
+def task_walks(counter: Counter, config: ChunkingConfig) -> list[Walk]:
+    """The walks of a task, over texts as they are and with digit runs turned."""
     passage, content, *starts = counter()
-    return [Walk(passage, content, config, turned, *starts) for turned in (False, True)]
+    words = content if getattr(content, "word_by_word", False) else None
+    return [Walk(passage, content, config, turned, *starts, words=words) for turned in (False, True)]
 
 
 def chunk_spans(sections: DataFrame, counter: Counter = word_counter, config: ChunkingConfig = ChunkingConfig(), text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
@@ -268,7 +384,7 @@ def chunk_spans(sections: DataFrame, counter: Counter = word_counter, config: Ch
     made = ("chunk_in_section", "chunk_start", "chunk_end", "chunk_text", "normalized_chunk", "token_count")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        walk = _walks(counter, config)[0]
+        walk = task_walks(counter, config)[0]
         for frame in frames:
             out = []
             for held, start, stop, breaks, *own in frame.itertuples(index=False, name=None):
@@ -295,7 +411,7 @@ def chunk_record_sections(records: DataFrame, counter: Counter = word_counter, c
     names = [f.split()[0] for f in RECORD_CHUNK.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        walks = _walks(counter, config)
+        walks = task_walks(counter, config)
         for frame in frames:
             out = []
             for document, record, text, first, last, starts, ends, turned, sections in frame.itertuples(index=False, name=None):

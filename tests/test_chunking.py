@@ -137,3 +137,50 @@ def test_chunk_numbers_run_through_a_document(spark):
     found = pipeline.chunk_records(records, config=chunking.ChunkingConfig(60, 10, 70)).orderBy("chunk_index").collect()
     assert [c.chunk_index for c in found] == list(range(len(found)))
     assert [c.page_start for c in found] == sorted(c.page_start for c in found) and all(c.locator_start == c.page_start for c in found)
+
+
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("sizes", [(30, 5, 36), (60, 20, 70), (24, 0, 40), (30, 5, 32)])
+def test_sums_over_words_cut_where_the_plain_walk_does(seed, sizes):
+    counters = [chunking.word_counter]
+    if public_tokenizers := pytest.importorskip("public_tokenizers"):
+        counters.append(chunking.tokenizer_counter(public_tokenizers.path("word_bpe_49k.json")))
+    config, source = chunking.ChunkingConfig(*sizes), prose(seed, 400) + ("ab.c" * 120, "x" * 1200 + " y.z" * 50, "")[seed]
+    breaks = sorted(random.Random(seed).sample(range(len(source)), 20))
+    cut = lambda walk: list(walk.spans(source, 7, len(source) - 3, breaks))
+    for counter in counters:
+        passage, content, *_ = counter()
+        for turned, walk in zip((False, True), chunking.task_walks(counter, config)):
+            plain = chunking.Walk(passage, content, config, turned)
+            try:
+                wanted = cut(plain)
+            except ValueError as error:
+                with pytest.raises(ValueError, match=str(error)):
+                    cut(walk)
+            else:
+                assert cut(walk) == wanted
+
+
+def test_each_word_is_counted_about_once():
+    asked = [0]
+
+    def content(t):
+        asked[0] += len(t)
+        return len(t.split())
+
+    content.word_by_word = True
+    source = prose(1, 6000)
+    walk = chunking.task_walks(lambda: (lambda t: content(t) + 3, content), chunking.ChunkingConfig())[0]
+    assert len(list(walk.spans(source, 0, len(source), []))) > 10
+    # each end and start was searched with counts of whole slices before: some hundred times the text
+    assert asked[0] < len(source)
+
+
+def test_only_tokenizers_known_to_take_words_one_by_one_are_summed():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    held = {n: Tokenizer.from_file(public_tokenizers.path(n)) for n in ("word_bpe_49k.json", "byte_bpe_50k.json")}
+    assert [chunking.takes_words_one_by_one(t) for t in held.values()] == [True, False]
+    held["word_bpe_49k.json"].add_tokens(["two words"])
+    assert not chunking.takes_words_one_by_one(held["word_bpe_49k.json"])
