@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import Row, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
-from citeloom.operators.chunking import ChunkingConfig, Walk, word_counter
+from citeloom.operators.chunking import ChunkingConfig, task_walks, word_counter
 from citeloom.operators.structure import sections_of
 
 TEXT = "text"
@@ -60,11 +61,14 @@ class Chunks:
         own = [_field(n, T.IntegerType()) for n in ("chunk_index", "chunk_start", "chunk_end", "token_count")]
         return AnalyzeResult(T.StructType([*_passed_on(table), *own, _field("chunk_text", T.StringType())]))
 
+    def __init__(self) -> None:
+        # made once a partition for each set of limits
+        self.walk = lru_cache(lambda *limits: task_walks(word_counter, _limits(*limits))[0])
+
     def eval(self, row: Row, target: int | None = None, overlap: int | None = None, maximum: int | None = None) -> Iterator[tuple]:
         text = row[TEXT] or ""
         passed = [row[n] for n in row.__fields__ if n != TEXT]
-        walk = Walk(*word_counter(), _limits(target, overlap, maximum))
-        for k, (a, b, _, tokens) in enumerate(walk.spans(text, 0, len(text), [])):
+        for k, (a, b, _, tokens) in enumerate(self.walk(target, overlap, maximum).spans(text, 0, len(text), [])):
             yield (*passed, k, a, b, tokens, text[a:b])
 
 
