@@ -18,21 +18,29 @@ from citeloom.operators.buckets import BucketTable, last_rows
 POINT_PREFIX = "chunk:"
 
 
-def word_embedding(text: str | None, dimension: int = 64) -> np.ndarray:
-    """A vector without a model: each distinct word adds +1 or -1 to one component by the first 32 bits of its MD5; unit length."""
+def word_components(text: str | None, dimension: int = 64) -> np.ndarray:
+    """word_embedding in doubles.
+
+    A vector without a model: each distinct word adds +1 or -1 to one component by the first 32 bits of its MD5; unit length."""
     words = {w for w in re.split(r"\W+", (text or "").lower()) if w}
     hashes = np.fromiter((int.from_bytes(hashlib.md5(w.encode()).digest()[:4]) for w in words), np.int64, len(words))
     out = np.bincount(hashes % dimension, np.where((hashes >> 16) % 2 == 0, 1.0, -1.0), dimension)
     norm = np.sqrt((out**2).sum())
-    return (out / norm if norm else out).astype(np.float32)
+    return out / norm if norm else out
+
 
+def word_embedding(text: str | None, dimension: int = 64) -> np.ndarray:
+    """word_components as vectors are stored."""
+    return word_components(text, dimension).astype(np.float32)
 
-def hash_embedding(text: Column, dimension: int = 64) -> Column:
-    """word_embedding in Arrow batches."""
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
+def hash_embedding(text: Column, dimension: int = 64, double: bool = False) -> Column:
+    """word_embedding in Arrow batches; with ``double`` the components before they are rounded to floats."""
+    made = word_components if double else word_embedding
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType() if double else T.FloatType()))
     def encode(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: word_embedding(t, dimension))
+        return texts.map(lambda t: made(t, dimension))
 
     return encode(text)
 
