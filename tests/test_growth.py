@@ -15,3 +15,12 @@ def test_hashed_components_in_doubles(spark):
     found = spark.createDataFrame([(source,)], "t string").select(index.hash_embedding(F.col("t"), double=True), index.hash_embedding(F.col("t"))).first()
     shown = [np.floor(np.array(v, np.float64) * 10000 + 0.5).tolist() for v in found]
     assert found[0] == index.word_components(source).tolist() and shown[0] != shown[1]
+
+
+def test_an_expression_is_computed_once_before_python_and_once_after(spark):
+    costly = F.regexp_replace("t", "[^a-zé .]+", "")
+    frame = spark.createDataFrame([("CHAPTER é\n two",), (None,), ("",)] * 70, "t string")
+    for compose, most in ((True, 2), (False, 1)):
+        made = frame.select(text.normalize_text(costly, compose=compose).alias("n"))
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("[^a-zé .]+") <= most
+        assert {r.n for r in made.collect()} == {"é two", None, ""}
